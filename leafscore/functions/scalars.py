@@ -63,6 +63,13 @@ def harmonic(p: Column, r: Column, digits: int = 4) -> Column:
     return F.when(p + r > 0, F.round(2.0 * p * r / (p + r), digits)).otherwise(0.0)
 
 
+def mean4(value: Column | str) -> Column:
+    """Aggregate mean of non-negative four-decimal values, rounded half up in integers: no row-order effect."""
+    col = F.col(value) if isinstance(value, str) else value
+    total, n = F.sum(F.round(col * 10_000).cast("long")), F.count(col)
+    return F.when(n > 0, F.floor((2 * total + n) / (2 * n)) / 10_000)
+
+
 def clamp01(value: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafscore.functions import distance as D
-from leafscore.functions.scalars import harmonic, ratio
+from leafscore.functions.scalars import harmonic, mean4, ratio
 from leafscore.functions.text import normalize_field, normalize_text, words
 
 
@@ -107,7 +107,7 @@ def macro_prf(prf: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Mean of the rounded per-field rates."""
     names = [f"{m}_{t}" for t in ("raw", "normalized") for m in ("precision", "recall", "f1")]
     return prf.groupBy(*(keys or [])).agg(
-        *[F.round(F.coalesce(F.avg(n), F.lit(0.0)), 4).alias(f"macro_{n}") for n in names]
+        *[F.coalesce(mean4(n), F.lit(0.0)).alias(f"macro_{n}") for n in names]
     )
 
 

@@ -137,6 +137,23 @@ FROM {documents}""",
 SELECT condition_id, d, s, p, ROUND(AVG(cer), 4) AS cer, ROUND(AVG(cer) * 1.25E0, 4) AS wer,
   ROUND(1 - AVG(cer), 4) AS ned, ROUND(AVG(macro_match), 4) AS f1, COUNT(*) AS n
 FROM {run_records} WHERE status = 'success' GROUP BY condition_id, d, s, p""",
+    # The same with the degradation and clean-up policy spelled out.
+    "named_conditions": """
+SELECT *, CASE d WHEN 0 THEN 'none' WHEN 1 THEN 'gaussian_blur' WHEN 2 THEN 'motion_blur' WHEN 3 THEN 'gaussian_noise'
+    WHEN 4 THEN 'jpeg_compression' WHEN 5 THEN 'downsampling' WHEN 6 THEN 'rotation' WHEN 7 THEN 'perspective'
+    ELSE 'shadow' END AS degradation,
+  CASE p WHEN 0 THEN 'none' WHEN 1 THEN 'p_minimal_cleanup' WHEN 2 THEN 'p_contrast_enhancement'
+    WHEN 3 THEN 'p_standard_receipt_enhancement' ELSE 'p_aggressive_binarization' END AS preprocessing,
+  CASE WHEN s = 0 THEN 'B0' WHEN p = 0 THEN 'B1' ELSE 'B2' END AS baseline_type
+FROM {condition_means}""",
+    # Field pairs of a run: the condition is a property of the document.
+    "condition_fields": """
+SELECT concat('D', CAST(document_id % 8 + 1 AS STRING), '_S', CAST(document_id % 4 + 1 AS STRING), '_P0') AS condition_id,
+  document_id, field_name, pred, gt FROM {kie_pairs}""",
+    # Distortion of one array against another, by family and severity.
+    "calibration_pairs": """
+SELECT vec_id, concat('F', CAST(label % 8 AS STRING)) AS family, CAST(vec_id % 4 + 1 AS INT) AS severity, embedding
+FROM {embeddings}""",
     "processing_jobs": """
 SELECT event_id AS job_id, event_id % 3000 AS document_id,
   CASE event_type WHEN 'click' THEN 'pending' WHEN 'view' THEN 'completed' WHEN 'purchase' THEN 'retrying'
@@ -241,4 +258,9 @@ def duckdb_sql(body: str) -> str:
     ctes = [f"{n} AS ({VIEWS[n]})" for n in names]
     sql = (f"WITH {', '.join(ctes)} {body}" if ctes and not body.lstrip().upper().startswith("WITH ")
            else f"WITH {', '.join(ctes)}, {body.lstrip()[5:]}" if ctes else body)
-    return _NAME.sub(lambda m: ", 'g'" if m.group(1) == "g" else m.group(1), sql)
+
+    def known(m: re.Match) -> str:
+        name = m.group(1)
+        return ", 'g'" if name == "g" else name if name in VIEWS or name in TABLES else m.group(0)
+
+    return _NAME.sub(known, sql)
