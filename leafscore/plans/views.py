@@ -118,6 +118,13 @@ SELECT p_partkey AS document_id, (p_partkey * 37 % 2500) / 10.0E0 AS blur_score,
   (p_partkey * 13 % 700) / 10.0E0 AS contrast_score, (p_partkey * 7 % 300) / 10.0E0 AS noise_score,
   (p_partkey * 11 % 240 - 120) / 10.0E0 AS rotation_angle
 FROM {part}""",
+    # Documents with the columns listings use, and quality scores per document.
+    "filed_documents": """
+SELECT *, concat('scan-', document_type, '-', CAST(document_id AS STRING), '.PDF') AS filename,
+  coalesce(review_finished_at, processing_finished_at, created_at) AS updated_at
+FROM {doc_lifecycle}""",
+    "document_quality": """
+SELECT document_id, (document_id * 37 % 101) / 100.0E0 AS quality_score FROM {quality_measures}""",
     "run_records": """
 SELECT concat('D', CAST(d AS STRING), '_S', CAST(s AS STRING), '_P', CAST(p AS STRING)) AS condition_id, d, s, p,
   doc_id AS document_id,
