@@ -24,10 +24,11 @@ VALIDATION_REASONS = (
 # Days before today's midnight at which each preset starts.
 PRESET_DAYS = {"today": 0, "7d": 6, "30d": 29, "90d": 89}
 
-DETAIL_SCHEMA = (
-    "decision string, reason string, explanation string, "
-    "review_details struct<reasons: array<string>, validation_errors: array<string>>"
+DETAILS = (
+    "struct<reasons: array<string>, validation_errors: array<string>, "
+    "fields: map<string, struct<confidence: double, threshold: double, reason: string>>>"
 )
+METADATA = f"decision string, reason string, explanation string, review_details {DETAILS}"
 
 
 def period_bounds(
@@ -78,7 +79,7 @@ def metadata(column: str = "metadata_json") -> Column:
     """Event metadata as a struct; it may be an object or a JSON string holding one, bad JSON is null."""
     raw = F.col(column)
     text = F.when(raw.startswith('"'), F.get_json_object(raw, "$")).otherwise(raw)
-    return F.from_json(text, DETAIL_SCHEMA)
+    return F.from_json(text, METADATA)
 
 
 def list_documents(
