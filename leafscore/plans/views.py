@@ -214,6 +214,14 @@ FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', '?'{g}) AS gt FROM {document
     "run_fields": """
 SELECT document_id, field_name, gt AS value_a, CASE WHEN document_id % 8 = 0 THEN pred ELSE gt END AS value_b
 FROM {kie_pairs}""",
+    # Configuration entries per part, one of them volatile.
+    "config_entries": """
+SELECT p_partkey AS config_id, CASE k WHEN 0 THEN 'name' WHEN 1 THEN 'brand' WHEN 2 THEN 'size' ELSE 'timestamp' END AS key,
+  CASE k WHEN 0 THEN p_name WHEN 1 THEN p_brand WHEN 2 THEN CAST(p_size AS STRING) ELSE CAST(p_retailprice AS STRING) END AS value
+FROM {part} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) kk""",
+    # Short texts for the full robustness matrix.
+    "turns": """
+SELECT conv_id * 1000 + turn AS document_id, text FROM {conversations}""",
     "question_updates": """
 SELECT conv_id AS question_id, turn AS seq,
   CASE turn % 4 WHEN 0 THEN 'OPEN' WHEN 1 THEN 'IN_PROGRESS' WHEN 2 THEN 'EXPERIMENT_AVAILABLE' ELSE 'CLOSED' END AS status,
