@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pandas as pd
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,19 +18,47 @@ EXTENSIONS = {
 TREE = r"/(train|test)/(img|box|entities)/([^/]+)\.([^./]+)$"
 
 
+def _folders(root: str) -> list[tuple[str, str, str]]:
+    """(split, kind, folder) of the tree at ``root`` or in one nested folder; looks at folder names only."""
+    store, base = FileSystem.from_uri(root)
+    names = lambda d: [
+        i.path for i in store.get_file_info(FileSelector(d, allow_not_found=True)) if i.type == FileType.Directory
+    ]
+    top = names(base)
+    if not any(d.rsplit("/", 1)[-1] in ("train", "test") for d in top):
+        top = [inner for d in top for inner in names(d)]
+    out = []
+    for split in (d for d in top if d.rsplit("/", 1)[-1] in ("train", "test")):
+        for kind in names(split):
+            if kind.rsplit("/", 1)[-1] in EXTENSIONS:
+                out.append((split.rsplit("/", 1)[-1], kind.rsplit("/", 1)[-1], kind))
+    return out
+
+
 def _listing(spark: SparkSession, root: str) -> DataFrame:
-    """File metadata of the tree under ``root`` (or one nested folder); contents are never read."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select(F.col("path"), F.col("length").alias("size"))
-    )
-    part = lambda k: F.regexp_extract("path", TREE, k)
-    out = files.select(
-        part(1).alias("split"), part(2).alias("kind"), F.url_decode(part(3)).alias("stem"), F.lower(part(4)).alias("ext"),
-        "size", "path",
-    )
+    """File metadata of the tree, listed by one task per folder; contents are never read.
+
+    Spark's own file sources leave zero-length files out of a scan, and those are what the audit looks for.
+    """
+    scheme = root.split("://", 1)[0] + "://" if "://" in root else ""
+
+    def entries(batches):
+        for folders in batches:
+            for split, kind, folder in folders.itertuples(index=False):
+                store, base = FileSystem.from_uri(scheme + folder if scheme else folder)
+                files = [i for i in store.get_file_info(FileSelector(base)) if i.type == FileType.File]
+                for k in range(0, len(files), 10_000):
+                    part = files[k : k + 10_000]
+                    yield pd.DataFrame(
+                        {"split": split, "kind": kind, "name": [i.base_name for i in part],
+                         "size": [i.size for i in part], "path": [scheme + i.path for i in part]}
+                    )
+
+    folders = spark.createDataFrame(_folders(root), "split string, kind string, folder string")
+    spread = folders.repartition(max(1, len(EXTENSIONS) * 2), "folder")
+    rows = spread.mapInPandas(entries, "split string, kind string, name string, size bigint, path string")
+    part = lambda k: F.regexp_extract("name", r"^(.+)\.([^.]+)$", k)
+    out = rows.select("split", "kind", part(1).alias("stem"), F.lower(part(2)).alias("ext"), "size", "path")
     known = F.lit(False)
     for kind, endings in EXTENSIONS.items():
         known = known | ((F.col("kind") == kind) & F.col("ext").isin(endings))
