@@ -20,31 +20,30 @@ def parse_box_lines(lines: DataFrame) -> DataFrame:
     with a numeric ninth and tenth mean extra coordinates.
     """
     text = F.regexp_replace("line", "^\\x{FEFF}|[\\r\\n]+$", "")
-    parts = F.split("_t", ",")
-    number = lambda c: F.trim(c).try_cast("double")
-    rows = lines.withColumn("_t", text).where(F.trim("_t") != "").withColumn("_p", parts)
-    coords = F.transform(F.slice("_p", 1, 8), number)
-    extra = (F.size("_p") >= 11) & number(F.try_element_at("_p", F.lit(9))).isNotNull() & number(
-        F.try_element_at("_p", F.lit(10))
-    ).isNotNull()
-    rows = rows.withColumn("_c", coords)
-    finite = lambda c: c.isNull() | ~(F.isnan(c) | (F.abs(c) == float("inf")))
+    rows = lines.withColumn("_t", text).where(F.trim("_t") != "").withColumn("_p", F.split("_t", ","))
+    number = lambda i: F.trim(F.get("_p", F.lit(i))).try_cast("double")
+    rows = rows.withColumns({f"_c{i}": number(i) for i in range(8)})
+    coords = [F.col(f"_c{i}") for i in range(8)]
+    any_of = lambda test: reduce(lambda a, b: a | b, [test(c) for c in coords])
+    extra = (F.size("_p") >= 11) & number(8).isNotNull() & number(9).isNotNull()
     reason = (
         F.when(F.size("_p") < 9, "too_few_parts")
-        .when(F.exists("_c", lambda c: c.isNull()), "non_numeric")
-        .when(~F.forall("_c", finite), "non_finite")
+        .when(any_of(lambda c: c.isNull()), "non_numeric")
+        .when(any_of(lambda c: F.isnan(c) | (F.abs(c) == float("inf"))), "non_finite")
         .when(extra, "extra_coordinates")
     )
-    xs = F.filter("_c", lambda _, i: i % 2 == 0)
-    ys = F.filter("_c", lambda _, i: i % 2 == 1)
     keep = [c for c in lines.columns if c != "line"]
+    rows = rows.withColumn("reason", reason)
     valid = F.col("reason").isNull()
-    return rows.withColumn("reason", reason).select(
+    # The transcript starts after the eighth comma; the array keeps it verbatim when joined again.
+    return rows.select(
         *keep,
         "reason",
         F.when(valid, F.array_join(F.slice("_p", 9, 2**31 - 1), ",")).alias("transcript"),
-        *[F.when(valid, f(v)).alias(n) for n, f, v in (
-            ("x_min", F.array_min, xs), ("y_min", F.array_min, ys), ("x_max", F.array_max, xs), ("y_max", F.array_max, ys))],
+        F.when(valid, F.least(*coords[0::2])).alias("x_min"),
+        F.when(valid, F.least(*coords[1::2])).alias("y_min"),
+        F.when(valid, F.greatest(*coords[0::2])).alias("x_max"),
+        F.when(valid, F.greatest(*coords[1::2])).alias("y_max"),
     )
 
 

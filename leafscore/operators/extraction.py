@@ -261,7 +261,7 @@ def extract_address(
 ) -> DataFrame:
     """Address block below the company line, else the first three address-like tokens anywhere.
 
-    The block search is an ordered fold over at most ``3 * max_lines`` tokens per document.
+    The block search sees at most ``3 * max_lines`` tokens per document, the fallback keeps three.
     """
     location, negative = VOCABULARY[vocabulary]["location"], VOCABULARY[vocabulary]["address_negative"]
     start = company.select("document_id", (F.array_max("token_indices") + 1).alias("start"))
@@ -283,37 +283,38 @@ def extract_address(
     ordered = header.groupBy("document_id").agg(
         F.array_sort(F.collect_list(F.struct("idx", "t", "stop", "skip", "hits", "plain"))).alias("rows")
     )
-    empty = F.array().cast("array<struct<idx:int,t:string>>")
-    state = F.struct(F.lit(False).alias("done"), F.lit(0).alias("features"), empty.alias("parts"))
-
-    def step(acc: Column, row: Column) -> Column:
-        halted = acc["done"] | row["stop"]
-        take = ~halted & ~row["skip"] & (
-            (row["hits"] > 0)
-            | ((F.size(acc["parts"]) > 0) & row["plain"] & (F.size(acc["parts"]) < max_lines))
-        )
-        part = F.array(F.struct(row["idx"].cast("int").alias("idx"), row["t"].alias("t")))
-        return F.struct(
-            halted.alias("done"),
-            (acc["features"] + F.when(take, row["hits"]).otherwise(0)).alias("features"),
-            F.when(take, F.concat(acc["parts"], part)).otherwise(acc["parts"]).alias("parts"),
-        )
-
-    blocks = ordered.select("document_id", F.aggregate("rows", state, step).alias("s")).select("document_id", "s.*")
-    blocks = blocks.where(F.size("parts") > 0)
+    # Up to the first stop word, without contact lines, from the first address-like line on.
+    end = F.array_position(F.transform("rows", lambda r: r["stop"]), True).cast("int")
+    ordered = ordered.withColumn("rows", F.filter(
+        F.when(end > 0, F.slice("rows", F.lit(1), end - 1)).otherwise(F.col("rows")), lambda r: ~r["skip"]))
+    begin = F.array_position(F.transform("rows", lambda r: r["hits"] > 0), True).cast("int")
+    ordered = ordered.where(begin > 0).withColumn("rows", F.filter(
+        F.slice("rows", begin, F.size("rows")), lambda r: (r["hits"] > 0) | r["plain"]))
+    # Plain continuation lines count only while the block is shorter than max_lines; address-like ones always do.
+    later = F.slice("rows", F.lit(max_lines + 1), F.greatest(F.size("rows") - max_lines, F.lit(0)))
+    kept = F.concat(F.slice("rows", 1, max_lines), F.filter(later, lambda r: r["hits"] > 0))
+    blocks = ordered.select(
+        "document_id",
+        F.aggregate(kept, F.lit(0), lambda acc, r: acc + r["hits"]).alias("features"),
+        F.transform(kept, lambda r: F.struct(r["idx"].cast("int").alias("idx"), r["t"].alias("t"))).alias("parts"),
+    )
     first = Window.partitionBy("document_id").orderBy("idx")
     scattered = (
         marked.where((F.col("hits") > 0) & ~F.col("skip"))
-        .join(blocks.select("document_id"), "document_id", "left_anti")
         .withColumn("_k", F.row_number().over(first))
         .where("_k <= 3")
         .groupBy("document_id")
         .agg(
-            F.count("*").cast("int").alias("features"),
-            F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), "t"))).alias("parts"),
+            F.count("*").cast("int").alias("_features"),
+            F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), "t"))).alias("_parts"),
+        )
+    )
+    # Both are computed once; the scattered lines serve the documents without a block.
+    return _address_frame(
+        blocks.join(scattered, "document_id", "full").select(
+            "document_id", F.coalesce("features", "_features").alias("features"), F.coalesce("parts", "_parts").alias("parts")
         )
     )
-    return _address_frame(blocks.select("document_id", "features", "parts").unionByName(scattered))
 
 
 def extract_fields(

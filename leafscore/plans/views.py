@@ -10,6 +10,8 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafscore.operators.layout import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
@@ -232,6 +234,9 @@ SELECT conv_id AS question_id, turn AS seq,
 FROM {conversations}""",
 }
 
+# Views whose rows are costly to derive or to use: their driving table is spread over the cores when it is one small file.
+SPREAD = {"kie_pairs": ("orders", "o_orderkey"), "receipt_tokens": ("orders", "o_orderkey"), "run_records": ("documents", "doc_id")}
+
 _NAME = re.compile(r"\{(\w+)\}")
 
 
@@ -246,6 +251,9 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     inputs = {n: load(spark, sf_dir, n) for n in depends(name)}
+    if name in SPREAD:
+        table, key = SPREAD[name]
+        inputs[table] = spread(inputs[table], key)
     sql = VIEWS[name].replace("{g}", "")
     # JSON literals hold braces that are not names; the formatter only sees real ones.
     keep = _NAME.sub(lambda m: f"\0{m.group(1)}\1", sql).replace("{", "{{").replace("}", "}}")

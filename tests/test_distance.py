@@ -38,6 +38,22 @@ def test_long_sequences():
         assert D.sequence_distance(a, c) == table(a, c)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc", min_size=3, max_size=30), st.text("abc", max_size=34), st.integers(1, 12))
+def test_band_is_exact_up_to_its_width(a, b, k):
+    if not (k < len(a) <= len(b) <= len(a) + k):
+        return
+    want, got = table(a, b), D._banded_distance(a, b, k)
+    assert got == want if want <= k else got > k
+
+
+def test_band_is_used_for_long_sequences(monkeypatch):
+    rng = random.Random(9)
+    a = "".join(rng.choice("abcdefgh ") for _ in range(2600))
+    for b in (a.replace("e", "c"), "".join(c for c in a if rng.random() > 0.03) + "x" * 9, a[::-1]):
+        assert D.sequence_distance(a, b) == D._full_distance(*sorted((a, b), key=len))
+
+
 EDGES = [("", ""), ("", "abc"), ("abc", ""), ("abc", "abc"), ("abcdef", "abc"), (" ", "a b"), ("é", "e"), ("a b c", "a x c d")]
 
 
