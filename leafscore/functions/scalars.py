@@ -64,10 +64,11 @@ def harmonic(p: Column, r: Column, digits: int = 4) -> Column:
 
 
 def mean4(value: Column | str) -> Column:
-    """Aggregate mean of non-negative four-decimal values, rounded half up in integers: no row-order effect."""
+    """Aggregate mean of four-decimal values, rounded half away from zero in integers: no row-order effect."""
     col = F.col(value) if isinstance(value, str) else value
     total, n = F.sum(F.round(col * 10_000).cast("long")), F.count(col)
-    return F.when(n > 0, F.floor((2 * total + n) / (2 * n)) / 10_000)
+    size = F.floor((2 * F.abs(total) + n) / (2 * n))
+    return F.when(n > 0, F.signum(total).cast("long") * size / 10_000)
 
 
 def clamp01(value: Column) -> Column:

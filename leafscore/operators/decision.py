@@ -131,9 +131,11 @@ def document_confidence(
 
     Documents without fields score 0.
     """
-    value = F.round(clamp01(F.coalesce("confidence", F.lit(0.0))), 4)
+    value = F.round(clamp01(F.coalesce("confidence", F.lit(0.0))) * 10_000).cast("long")
     counted = value if not required else F.when(F.col("field_name").isin(*required), value)
-    f = fields.groupBy("document_id").agg(F.coalesce(F.avg(counted), F.lit(0.0)).alias("_f"))
+    # Four-decimal confidences are summed as integers, so that row order cannot tip a rounding.
+    mean = F.sum(counted) / F.count(counted) / 10_000
+    f = fields.groupBy("document_id").agg(F.coalesce(mean, F.lit(0.0)).alias("_f"))
     out = (
         docs.select("document_id")
         .join(f, "document_id", "left")

@@ -173,12 +173,12 @@ def policy_summary(recovered: DataFrame) -> DataFrame:
     cer, f1 = F.col("delta_cer"), F.col("delta_f1")
     return recovered.groupBy("p").agg(
         F.count("*").alias("conditions"),
-        F.round(F.avg(cer), 4).alias("mean_delta_cer"),
+        mean4(cer).alias("mean_delta_cer"),
         F.round(F.median(cer), 4).alias("median_delta_cer"),
         F.count_if(cer < 0).alias("cer_improved"),
         F.count_if(cer > 0).alias("cer_degraded"),
         F.count_if(cer == 0).alias("cer_unchanged"),
-        F.round(F.avg(f1), 4).alias("mean_delta_f1"),
+        mean4(f1).alias("mean_delta_f1"),
         F.round(F.median(f1), 4).alias("median_delta_f1"),
         F.count_if(f1 > 0).alias("f1_improved"),
         F.count_if(f1 < 0).alias("f1_degraded"),
@@ -188,7 +188,7 @@ def policy_summary(recovered: DataFrame) -> DataFrame:
 
 def recovery_pivot(recovered: DataFrame, policies: list[int], metric: str = "delta_cer") -> DataFrame:
     """degradation x policy mean delta; the policy list is explicit so no extra job discovers it."""
-    out = recovered.groupBy("d").pivot("p", policies).agg(F.round(F.avg(metric), 4))
+    out = recovered.groupBy("d").pivot("p", policies).agg(mean4(metric))
     return out.select("d", *[F.col(str(p)).alias(f"p{p}") for p in policies])
 
 
@@ -292,7 +292,7 @@ def overview_tracks(means: DataFrame, recovered: DataFrame) -> DataFrame:
     head = means.groupBy(track.alias("track")).agg(
         F.count("*").alias("conditions"),
         F.sum("n").alias("evaluations"),
-        F.round(F.avg("cer"), 4).alias("mean_cer"),
+        mean4("cer").alias("mean_cer"),
         F.max("cer").alias("max_cer"),
         F.countDistinct("d").alias("degradations"),
         F.countDistinct("p").alias("policies"),

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafscore.functions.scalars import ratio
+from leafscore.functions.scalars import mean4, ratio
 from leafscore.operators import scoring
 
 
@@ -47,7 +47,7 @@ def condition_text_stats(records: DataFrame, metrics: list[str], keys: list[str]
     aggs: list[Column] = [F.count("*").alias("sample_size")]
     for m in metrics:
         aggs += [
-            F.round(F.avg(m), 4).alias(f"{m}_mean"),
+            mean4(m).alias(f"{m}_mean"),
             F.round(F.median(m), 4).alias(f"{m}_median"),
             F.round(F.coalesce(F.stddev_samp(m), F.lit(0.0)), 4).alias(f"{m}_std"),
         ]

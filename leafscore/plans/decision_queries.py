@@ -81,7 +81,7 @@ def _(t):
     return D.ocr_confidence(t.page_tokens)
 
 
-@query("document_confidence", f"""WITH {OCR_CONF}, fc AS (SELECT document_id, avg(round({clamp_sql('coalesce(confidence, 0)')}, 4)) AS f FROM {{review_fields}} GROUP BY 1)
+@query("document_confidence", f"""WITH {OCR_CONF}, fc AS (SELECT document_id, sum(CAST(round({clamp_sql('coalesce(confidence, 0)')} * 10000) AS BIGINT)) / count(*)::DOUBLE / 10000.0E0 AS f FROM {{review_fields}} GROUP BY 1)
   SELECT d.document_id, CASE WHEN f IS NULL THEN 0.0E0 WHEN quality_score IS NOT NULL THEN
       {round_sql(clamp_sql('0.6E0 * f + 0.25E0 * coalesce(ocr_confidence, f) + 0.15E0 * quality_score'), 4)}
     ELSE {round_sql(clamp_sql('0.7E0 * f + 0.3E0 * coalesce(ocr_confidence, f)'), 4)} END AS document_confidence

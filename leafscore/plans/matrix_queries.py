@@ -27,11 +27,11 @@ def _(t):
     return X.condition_counts(t.run_records)
 
 
-@query("condition_text_stats", """SELECT condition_id, count(*) AS sample_size,
-  round(avg(cer), 4) AS cer_mean, round(median(cer), 4) AS cer_median, round(coalesce(stddev_samp(cer), 0), 4) AS cer_std,
-  round(avg(macro_match), 4) AS macro_match_mean, round(median(macro_match), 4) AS macro_match_median,
+@query("condition_text_stats", f"""SELECT condition_id, count(*) AS sample_size,
+  {mean_sql('cer')} AS cer_mean, round(median(cer), 4) AS cer_median, round(coalesce(stddev_samp(cer), 0), 4) AS cer_std,
+  {mean_sql('macro_match')} AS macro_match_mean, round(median(macro_match), 4) AS macro_match_median,
   round(coalesce(stddev_samp(macro_match), 0), 4) AS macro_match_std
-  FROM {run_records} WHERE status = 'success' GROUP BY condition_id""")
+  FROM {{run_records}} WHERE status = 'success' GROUP BY condition_id""")
 def _(t):
     return X.condition_text_stats(t.run_records, ["cer", "macro_match"])
 
@@ -184,10 +184,10 @@ def _(t):
         "ref_b1_condition_id", "delta_cer_recovery_b1", "delta_macro_f1_recovery_b1"))
 
 
-@query("policy_summary", f"""WITH {RECOVERED} SELECT p, count(*) AS conditions, round(avg(delta_cer), 4) AS mean_delta_cer,
+@query("policy_summary", f"""WITH {RECOVERED} SELECT p, count(*) AS conditions, {mean_sql('delta_cer')} AS mean_delta_cer,
     round(median(delta_cer), 4) AS median_delta_cer, count(*) FILTER (delta_cer < 0) AS cer_improved,
     count(*) FILTER (delta_cer > 0) AS cer_degraded, count(*) FILTER (delta_cer = 0) AS cer_unchanged,
-    round(avg(delta_f1), 4) AS mean_delta_f1, round(median(delta_f1), 4) AS median_delta_f1,
+    {mean_sql('delta_f1')} AS mean_delta_f1, round(median(delta_f1), 4) AS median_delta_f1,
     count(*) FILTER (delta_f1 > 0) AS f1_improved, count(*) FILTER (delta_f1 < 0) AS f1_degraded,
     count(*) FILTER (delta_f1 = 0) AS f1_unchanged FROM rc WHERE p > 0 GROUP BY p""")
 def _(t):
@@ -196,7 +196,7 @@ def _(t):
 
 
 @query("recovery_pivot", f"""WITH {RECOVERED} SELECT d, {', '.join(
-    f'round(avg(delta_cer) FILTER (p = {p}), 4) AS p{p}' for p in POLICIES)} FROM rc WHERE p > 0 GROUP BY d""")
+    f"{mean_sql(f'CASE WHEN p = {p} THEN delta_cer END')} AS p{p}" for p in POLICIES)} FROM rc WHERE p > 0 GROUP BY d""")
 def _(t):
     return M.recovery_pivot(M.recovery_from_degraded(t.condition_means, t.condition_means).where("p > 0"), POLICIES)
 
@@ -301,7 +301,7 @@ def _(t):
 @query("overview_tracks", f"""WITH {RECOVERED} SELECT track, conditions, evaluations, mean_cer, max_cer, degradations, policies,
     CASE WHEN track = 'B2' THEN (SELECT min(delta_cer) FROM rc WHERE p > 0) END AS best_delta_cer FROM (
   SELECT CASE WHEN s = 0 THEN 'B0' WHEN p = 0 THEN 'B1' ELSE 'B2' END AS track, count(*) AS conditions,
-    sum(n)::BIGINT AS evaluations, round(avg(cer), 4) AS mean_cer, max(cer) AS max_cer, count(DISTINCT d) AS degradations,
+    sum(n)::BIGINT AS evaluations, {mean_sql('cer')} AS mean_cer, max(cer) AS max_cer, count(DISTINCT d) AS degradations,
     count(DISTINCT p) AS policies FROM {{condition_means}} GROUP BY ALL)""")
 def _(t):
     means = t.condition_means

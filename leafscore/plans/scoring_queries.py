@@ -78,8 +78,9 @@ def prf_sql(tag: str, rounded: bool = False) -> str:
 PRF = MATCHES + f""", c AS (SELECT field_name, {PRF_COUNTS} FROM f GROUP BY field_name),
  prf AS (SELECT *, {prf_sql('raw')}, {prf_sql('normalized')} FROM c)"""
 def mean_sql(x: str) -> str:
-    """Mean of four-decimal values rounded half up in integers."""
-    return f"(2 * sum(CAST(round({x} * 10000) AS BIGINT)) + count({x})) // (2 * count({x})) / 10000.0E0"
+    """Mean of four-decimal values rounded half away from zero in integers."""
+    total = f"sum(CAST(round({x} * 10000) AS BIGINT))"
+    return f"sign({total}) * ((2 * abs({total}) + count({x})) // (2 * count({x}))) / 10000.0E0"
 
 
 MACRO = ", ".join(

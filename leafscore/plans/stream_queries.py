@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from leafscore.functions.scalars import mean4
 from leafscore.operators import matrix as M
 from leafscore.operators import stats as X
 from leafscore.plans.registry import query
+from leafscore.plans.scoring_queries import mean_sql
 from leafscore.session import shared_dir
 from leafscore.sources import runs
 from leafscore.streaming import kpis as K
@@ -113,7 +115,7 @@ def _(t):
 # File round trips: written from the tables to the shared folder and read back with explicit schemas ------------
 
 
-@query("read_run_records", "SELECT condition_id, count(*) AS records, count(*) FILTER (status <> 'success') AS failures, round(avg(cer), 4) AS mean_cer FROM {run_records} GROUP BY 1")
+@query("read_run_records", f"SELECT condition_id, count(*) AS records, count(*) FILTER (status <> 'success') AS failures, {mean_sql('cer')} AS mean_cer FROM {{run_records}} GROUP BY 1")
 def _(t):
     path = shared_dir(t.spark, "records")
     rows = t.run_records.select("condition_id", F.col("document_id").cast("string").alias("document_id"), F.col("s").alias("severity"), "status",
@@ -121,7 +123,7 @@ def _(t):
     runs.write_run_records(rows, path)
     back = runs.read_run_records(t.spark, path)
     return back.groupBy("condition_id").agg(
-        F.count("*").alias("records"), F.count_if(F.col("status") != "success").alias("failures"), F.round(F.avg("ocr_metrics.cer_normalized"), 4).alias("mean_cer"))
+        F.count("*").alias("records"), F.count_if(F.col("status") != "success").alias("failures"), mean4("ocr_metrics.cer_normalized").alias("mean_cer"))
 
 
 @query("read_summary", """SELECT condition_id, requested, successful, cer FROM (SELECT condition_id, count(*) AS requested, count(*) FILTER (status = 'success') AS successful FROM {run_records} GROUP BY 1)

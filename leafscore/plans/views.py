@@ -141,11 +141,15 @@ CROSS JOIN (SELECT 0 AS p UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT
 UNION ALL
 SELECT 'D0_S0_P0', 0, 0, 0, doc_id, 'success', (doc_id * 17 % 40 + 10) / 100.0E0, (doc_id * 13 % 5) / 4.0E0
 FROM {documents}""",
-    # Per-condition means, the form statistics over curves and recoveries start from.
+    # Per-condition means, the form statistics over curves and recoveries start from; summed as integers, so that
+    # row order cannot tip a rounding.
     "condition_means": """
-SELECT condition_id, d, s, p, ROUND(AVG(cer), 4) AS cer, ROUND(AVG(cer) * 1.25E0, 4) AS wer,
-  ROUND(1 - AVG(cer), 4) AS ned, ROUND(AVG(macro_match), 4) AS f1, COUNT(*) AS n
-FROM {run_records} WHERE status = 'success' GROUP BY condition_id, d, s, p""",
+SELECT condition_id, d, s, p, cer, wer, ROUND(1 - cer, 4) AS ned, f1, n FROM (
+  SELECT condition_id, d, s, p, n, FLOOR((200 * hundredths + n) / (2.0E0 * n)) / 10000.0E0 AS cer,
+    FLOOR((250 * hundredths + n) / (2.0E0 * n)) / 10000.0E0 AS wer, FLOOR((5000 * quarters + n) / (2.0E0 * n)) / 10000.0E0 AS f1
+  FROM (SELECT condition_id, d, s, p, COUNT(*) AS n, SUM(CAST(ROUND(cer * 100) AS BIGINT)) AS hundredths,
+      SUM(CAST(ROUND(macro_match * 4) AS BIGINT)) AS quarters
+    FROM {run_records} WHERE status = 'success' GROUP BY condition_id, d, s, p) c) m""",
     # The same with the degradation and clean-up policy spelled out.
     "named_conditions": """
 SELECT *, CASE d WHEN 0 THEN 'none' WHEN 1 THEN 'gaussian_blur' WHEN 2 THEN 'motion_blur' WHEN 3 THEN 'gaussian_noise'

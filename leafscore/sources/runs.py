@@ -57,8 +57,12 @@ def last_per_document(records: DataFrame, order: str, keys: list[str] | None = N
 
 
 def write_run_records(records: DataFrame, path: str, fmt: str = "json", mode: str = "errorifexists") -> None:
-    """One object per (condition, document), failures included, laid out by condition."""
-    records.write.mode(mode).partitionBy("condition_id").format(fmt).save(path)
+    """One object per (condition, document), failures included, laid out by condition.
+
+    The rebalance gives each condition few, evenly sized files: it splits a condition with very many rows and joins
+    small ones, instead of every task writing a file into every condition.
+    """
+    records.hint("rebalance", "condition_id").write.mode(mode).partitionBy("condition_id").format(fmt).save(path)
 
 
 def read_summary(spark: SparkSession, path: str, schema: str = SUMMARY) -> DataFrame:
