@@ -103,12 +103,31 @@ def field_prf(matches: DataFrame, keys: list[str] | None = None, f1_from_rounded
     return out
 
 
+MACRO = [f"{m}_{t}" for t in ("raw", "normalized") for m in ("precision", "recall", "f1")]
+
+
+def _macro() -> list[Column]:
+    return [F.coalesce(mean4(n), F.lit(0.0)).alias(f"macro_{n}") for n in MACRO]
+
+
 def macro_prf(prf: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Mean of the rounded per-field rates."""
-    names = [f"{m}_{t}" for t in ("raw", "normalized") for m in ("precision", "recall", "f1")]
-    return prf.groupBy(*(keys or [])).agg(
-        *[F.coalesce(mean4(n), F.lit(0.0)).alias(f"macro_{n}") for n in names]
+    return prf.groupBy(*(keys or [])).agg(*_macro())
+
+
+def macro_and_entity(prf: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Macro rates and entity scores in one aggregate over the few per-field rows.
+
+    Present predictions are tp + fp and present references tp + fn, so the pairs need no second pass.
+    """
+    total = lambda *names: F.coalesce(F.sum(sum((F.col(n) for n in names[1:]), F.col(names[0]))), F.lit(0))
+    out = prf.groupBy(*(keys or [])).agg(
+        *_macro(),
+        total("tp_normalized", "fn_normalized").alias("total_gt_entities"),
+        total("tp_normalized", "fp_normalized").alias("total_pred_entities"),
+        total("tp_normalized").alias("total_matched_entities"),
     )
+    return _entity_rates(out)
 
 
 def doc_em_rate(documents: DataFrame) -> DataFrame:
@@ -133,6 +152,10 @@ def entity_hmean(matches: DataFrame, keys: list[str] | None = None) -> DataFrame
         F.count_if(has_p).alias("total_pred_entities"),
         F.count_if(has_p & has_g & F.col("match_normalized")).alias("total_matched_entities"),
     )
+    return _entity_rates(out)
+
+
+def _entity_rates(out: DataFrame) -> DataFrame:
     tp = F.col("total_matched_entities")
     p, r = ratio(tp, F.col("total_pred_entities")), ratio(tp, F.col("total_gt_entities"))
     return out.withColumns({"entity_precision": p, "entity_recall": r, "entity_hmean": harmonic(p, r)})
@@ -151,9 +174,4 @@ def pair_with_truth(predictions: DataFrame, truths: DataFrame) -> tuple[DataFram
 
 def corpus_eval(matches: DataFrame) -> DataFrame:
     """One row with macro rates, exact-match rates and entity scores; zeros for an empty corpus."""
-    per_document = score_fields(matches)
-    return (
-        macro_prf(field_prf(matches))
-        .crossJoin(doc_em_rate(per_document))
-        .crossJoin(entity_hmean(matches))
-    )
+    return macro_and_entity(field_prf(matches)).crossJoin(doc_em_rate(score_fields(matches)))

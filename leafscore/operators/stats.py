@@ -185,9 +185,7 @@ def condition_kie_summary(matches: DataFrame) -> DataFrame:
         F.round(F.avg("fraction"), 4).alias("mean_match_fraction"),
     )
     prf = scoring.field_prf(matches, keys=["condition_id"], f1_from_rounded=True)
-    macro = scoring.macro_prf(prf, keys=["condition_id"])
-    entity = scoring.entity_hmean(matches, keys=["condition_id"])
-    return means.join(macro, "condition_id").join(entity, "condition_id")
+    return means.join(scoring.macro_and_entity(prf, keys=["condition_id"]), "condition_id")
 
 
 def run_totals(counts: DataFrame) -> DataFrame:
