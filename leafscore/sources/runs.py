@@ -16,6 +16,7 @@ RUN_RECORD = (
     "field_matches_raw: map<string,boolean>, field_matches_normalized: map<string,boolean>, raw_doc_em: boolean, "
     "normalized_doc_em: boolean>, predicted_fields map<string,string>"
 )
+# Key names as they stand in run summary files.
 _STAT = "struct<mean: double, median: double, std: double, ci_95: array<double>>"
 SUMMARY = (
     "experiment_id string, config_hash string, split string, conditions map<string, struct<"
