@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafscore.llm import exact_dedup, mixing
+from leafscore.llm import exact_dedup, language, mixing, quality
 from leafscore.llm.common import read
 
 QUERIES = {}
@@ -62,3 +62,17 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.quality_rules(docs, quality.fit_quality(docs, read(spark, sf_dir, "labels")))
+
+
+@query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
+    model = language.fit_language(docs.where("NOT held_out"))
+    return language.identify(docs.drop("lang"), model, ["doc_id", "held_out"])
