@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafscore.llm import exact_dedup, language, mixing, quality
+from leafscore.llm import exact_dedup, html_extract, language, mixing, packing, pii, quality
 from leafscore.llm.common import read
 
 QUERIES = {}
@@ -76,3 +76,33 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
     model = language.fit_language(docs.where("NOT held_out"))
     return language.identify(docs.drop("lang"), model, ["doc_id", "held_out"])
+
+
+@query
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin("email", "ip", "card", "phone"))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[count(k) for k in ("email", "ip", "card", "phone")],
+        F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Every piece of every document with its place; of the ids, their CRC goes on."""
+    pieces = packing.token_pieces(docs, ["doc_id"])
+    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+@query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
