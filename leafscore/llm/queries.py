@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafscore.llm import exact_dedup, html_extract, language, mixing, packing, pii, quality
+from leafscore.llm import exact_dedup, html_extract, language, mixing, near_dedup, packing, pii, quality
 from leafscore.llm.common import read
 
 QUERIES = {}
@@ -106,3 +106,8 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_extract.extract_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+@query
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(read(spark, sf_dir, "documents"), size=4, percent=80)
