@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafscore.llm import exact_dedup, html_extract, language, mixing, near_dedup, packing, pii, quality
-from leafscore.llm.common import read
+from leafscore.llm import exact_dedup, html_extract, language, mixing, near_dedup, packing, pii, quality, suffix_lm, token_counts
+from leafscore.llm.common import read, stored
 
 QUERIES = {}
 ORACLES = {}
@@ -111,3 +111,28 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(read(spark, sf_dir, "documents"), size=4, percent=80)
+
+
+@query
+def op6_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    docs = read(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "text")
+    training = docs.where("NOT held_out")
+    counts = suffix_lm.word_counts(training)
+    model = suffix_lm.fit_suffix_tree(training, counts)
+    return suffix_lm.score_texts(docs, counts, model, ["doc_id", "held_out"])
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after personal data is replaced by the name of its kind."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = stored(token_counts.count_trees(docs), "count-trees")
+    spans = pii.find_pii(docs).select("doc_id", F.explode("spans").alias("s"))
+    edits = spans.select("doc_id", "s.start", "s.end", F.concat(F.lit("["), F.upper("s.kind"), F.lit("]")).alias("replacement"))
+    edited = token_counts.recount(docs, trees, edits).select(
+        "doc_id", "text_hash", "n_edits", F.col("n_tokens").alias("edited"), "n_encoded").dropDuplicates(["doc_id", "text_hash"])
+    none = F.lit(0).cast("bigint")
+    return trees.select("doc_id", "text_hash", "n_tokens").join(edited, ["doc_id", "text_hash"], "left").select(
+        "doc_id", "n_tokens", F.coalesce("n_edits", none).alias("n_edits"), F.coalesce("edited", "n_tokens").alias("n_tokens_edited"),
+        F.coalesce("n_encoded", none).alias("n_encoded"))
