@@ -79,12 +79,13 @@ def map_slices(
     more = T.StructType.fromDDL(added).fields
     schema = T.StructType([df.schema[k] for k in keep] + more)
     names = schema.names
+    kinds = [{T.LongType: np.int64, T.DoubleType: np.float64, T.BooleanType: np.bool_}.get(type(f.dataType)) for f in more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = work()
         for batch in batches:
             for part in slices(batch, limit):
-                arrays = [a if isinstance(a, pa.Array) else pa.array(a) for a in compute(part)]
+                arrays = [a if isinstance(a, pa.Array) else pa.array(a.astype(k)) for a, k in zip(compute(part), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in keep] + arrays, names=names)
 
     return df.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
