@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +15,11 @@ from leafscore.llm.common import small_side, stored
 from leafscore.llm.graph import components
 from leafscore.llm.words import Texts, map_slices, mix64, ngrams, texts_of, words_of
 
-#: Values that a sketch retains. A pair at the threshold 0.8 shares 38 of 48 on average.
-RETAINED = 48
+#: Values that a sketch retains. A pair at the threshold 0.8 shares 64 of 80 on average, and 38 as good as surely.
+RETAINED = 80
 #: Chance that a pair of large sets at the threshold shares fewer retained values than is relied upon.
 MISS = 1e-10
-#: Members of an inverted list that are paired by a join; longer lists are compared block by block.
-JOINED = 64
+#: Members of an inverted list that are compared at once.
 BLOCK = 256
 
 
@@ -142,46 +142,56 @@ def led_pairs(lists: DataFrame, labels: DataFrame, leads: DataFrame | None) -> t
     return pairs, chosen.select("value", "lead")
 
 
-def joined_pairs(lists: DataFrame) -> DataFrame:
-    """All pairs of different components within short lists."""
-    x, y = lists.alias("x"), lists.alias("y")
-    on = (F.col("x.value") == F.col("y.value")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-    return x.join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+def common_enough(node: np.ndarray, component: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, sketch: pa.Array, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs from two sets of members, of different components, whose sketches share as much as the threshold needs."""
+    lengths = np.diff(sketch.offsets.to_numpy())
+    _, values = np.unique(sketch.flatten().to_numpy(), return_inverse=True)
+    x = np.zeros((len(node), int(values.max()) + 1), np.float32)
+    x[np.repeat(np.arange(len(node)), lengths), values] = 1
+    left, right = np.flatnonzero(left), np.flatnonzero(right)
+    least = np.minimum(sure_overlap(threshold), np.ceil(np.round(np.minimum.outer(n[left], n[right]) * threshold, 6)))
+    i, j = np.nonzero((x[left] @ x[right].T >= least) & (component[left][:, None] != component[right][None, :]))
+    a, b = node[left[i]], node[right[j]]
+    return np.minimum(a, b), np.maximum(a, b)
 
 
-def block_pairs(lists: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components from long lists: sketches are compared a block against a block in arrays.
+def block_pairs(lists: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different components within the lists: sketches are compared a block against a block in arrays.
 
-    A list's members are dealt to blocks by hash, and each pair of blocks is a group of at most two blocks, so no
+    A list's members are dealt to blocks by hash, and each pair of blocks is a group of about two blocks, so no
     group grows with the list, and only pairs that share enough retained values leave it.
     """
-    sure = sure_overlap(threshold)
     sized = lists.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn(
         "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "value", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component")
-    ready = dealt.join(reps.select("node", "sketch", F.col("n_shingles").alias("n")), "node")
+    keys = ["value", "low", "high"]
+    ready = dealt.join(sketched.select("node", "sketch", F.col("n_shingles").alias("n")), "node").repartition(*keys).sortWithinPartitions(*keys)
 
-    def compare(group: pa.Table) -> pa.Table:
+    def compare(group: pa.Table) -> pa.RecordBatch:
         node, component, block, n = (group.column(c).to_numpy() for c in ("node", "component", "block", "n"))
-        sketch = group.column("sketch").combine_chunks()
-        lengths = np.diff(sketch.offsets.to_numpy())
-        _, values = np.unique(sketch.flatten().to_numpy(), return_inverse=True)
-        x = np.zeros((len(node), values.max() + 1), np.float32)
-        x[np.repeat(np.arange(len(node)), lengths), values] = 1
-        left = np.flatnonzero(block == group.column("low")[0].as_py())
-        right = np.flatnonzero(block == group.column("high")[0].as_py())
-        least = np.minimum(sure, np.ceil(np.round(np.minimum.outer(n[left], n[right]) * threshold, 6)))
-        i, j = np.nonzero((x[left] @ x[right].T >= least) & (component[left][:, None] != component[right][None, :]))
-        a, b = node[left[i]], node[right[j]]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return ready.groupBy("value", "low", "high").applyInArrow(compare, "a long, b long")
-
-
-def estimated(pairs: DataFrame, reps: DataFrame, threshold: float, retained: int = RETAINED) -> DataFrame:
+        left, right = (block == group.column(c)[0].as_py() for c in ("low", "high"))
+        a, b = common_enough(node, component, n, left, right, group.column("sketch").combine_chunks(), threshold)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            code = np.stack([table.column(c).to_numpy() for c in keys])
+            ends = np.flatnonzero((code[:, 1:] != code[:, :-1]).any(0)) + 1
+            for at, to in zip([0, *ends[:-1]], ends, strict=True):
+                yield compare(table.slice(at, to - at))
+            rest = table.slice(ends[-1] if len(ends) else 0)
+        if rest is not None and rest.num_rows:
+            yield compare(rest)
+
+    return ready.mapInArrow(run, "a long, b long")
+
+
+def estimated(pairs: DataFrame, sketched: DataFrame, threshold: float, retained: int = RETAINED) -> DataFrame:
     """The pairs whose sizes and union sketch allow the threshold: enough of the union's smallest values lie in both."""
-    side = reps.select("node", "sketch", F.col("n_shingles").alias("n"))
+    side = sketched.select("node", "sketch", F.col("n_shingles").alias("n"))
     both = pairs.join(side.toDF("a", "sketch_a", "n_a"), "a").join(side.toDF("b", "sketch_b", "n_b"), "b")
     union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, retained)
     matches = F.size(F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), union))
@@ -198,19 +208,18 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * union).select("a", "b")
 
 
-def near_links(docs: DataFrame, reps: DataFrame, size: int, percent: int, star_rounds: int) -> tuple[DataFrame, DataFrame]:
-    """Labels ``(node, component)`` of the classes that have candidates, and the verified links found on the way."""
+def near_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, size: int, percent: int, star_rounds: int) -> DataFrame:
+    """Labels ``(node, component)`` of the classes that have candidates. ``rows`` are the sketches by node."""
     threshold = percent / 100
-    lists = stored(inverted_lists(reps, threshold), "lists")
-    listed = reps.join(lists.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "digest", "repeated")
-    listed = stored(listed, "listed")
+    lists = stored(inverted_lists(rows.join(classes.select("node"), "node", "left_semi"), threshold), "lists")
+    listed = stored(classes.join(lists.select("node").distinct(), "node", "left_semi"), "listed")
     wanted = small_side(listed.select(F.col("doc_id").alias("wanted")), 1_000_000)
     sets = full_sets(docs.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi"), size).join(
-        listed, ["doc_id", "digest"]).select("node", "set", "repeated")
+        listed, ["doc_id", "digest"]).select("node", "set")
     if listed.where("repeated").limit(1).count():  # rows that repeat doc_id and text alike
         sets = sets.dropDuplicates(["node"])
-    sets = stored(sets.select("node", "set"), "sets")
-    labels = stored(lists.select("node", F.col("node").alias("component")).distinct(), "labels")
+    sets = stored(sets, "sets")
+    labels = listed.select("node", F.col("node").alias("component"))
     links = leads = None
     for round_number in range(star_rounds + 1):
         lists = stored(unresolved(lists, labels).select("value", "node", "shared", "component", "members"), "open-lists")
@@ -219,15 +228,15 @@ def near_links(docs: DataFrame, reps: DataFrame, size: int, percent: int, star_r
         if round_number < star_rounds:
             pairs, leads = led_pairs(lists, labels, leads)
         else:
-            pairs = joined_pairs(lists.where(F.col("members") <= JOINED)).union(
-                block_pairs(lists.where(F.col("members") > JOINED), reps, threshold))
-        likely = stored(estimated(pairs.distinct(), reps, threshold), "likely")
+            pairs = block_pairs(lists, rows, threshold)
+        likely = stored(estimated(pairs.distinct(), rows, threshold), "likely")
         found = stored(verified(likely, sets, percent), "links")
         links = found if links is None else links.union(found)
-        labels = stored(labels.select("node").join(components(links).withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select(
+        joined = components(links).select(F.col("node").alias("linked"), "component")
+        labels = stored(listed.select("node").join(joined, F.col("node") == F.col("linked"), "left").select(
             "node", F.coalesce("component", "node").alias("component")), "labels")
         lists = lists.select("value", "node", "shared")
-    return labels, links
+    return labels
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, star_rounds: int = 3) -> DataFrame:
@@ -241,8 +250,8 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, star_rounds:
        leads; all others are paired with it only, so a list costs its length, not its square.
     3. Pairs pass the union-sketch estimate, then exact Jaccard on whole sets. The links give components.
     4. Lists that still hold several components choose a new leader outside the last one's component, for
-       ``star_rounds`` rounds; then all their remaining pairs of different components are compared, in a join for
-       short lists and block by block for long ones. Pairs within a component are never formed: they change nothing.
+       ``star_rounds`` rounds; then all their remaining pairs of different components are compared by their sketches,
+       block by block. Pairs within a component are never formed: they change nothing.
 
     Sets are compared whole. A linked pair is missed with a chance of about 10^-10 if its sets exceed the sketch, and
     never if they are within it. Null and empty texts have no shingles and are linked with nothing. A null doc_id
@@ -250,14 +259,12 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, star_rounds:
     of which stay if their id names the component. An empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
-    rows = stored(sketches(docs, size).withColumn("row", F.monotonically_increasing_id()), "sketches")
-    real = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    copies = real.groupBy("digest", "doc_id").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n"))
-    classes = stored(copies.groupBy("digest").agg(F.min(F.struct("doc_id", "row", (F.col("n") > 1).alias("repeated"))).alias("first")).select(
-        "digest", "first.*", F.monotonically_increasing_id().alias("node")), "classes")
-    reps = stored(rows.join(classes.select("row", "node", "repeated"), "row").select(
-        "node", "doc_id", "digest", "repeated", "n_shingles", "sketch"), "representatives")
-    labels, _ = near_links(docs, reps, size, percent, star_rounds)
+    rows = stored(sketches(docs, size).withColumn("node", F.monotonically_increasing_id()), "sketches")
+    copies = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest", "doc_id").agg(
+        F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
+    classes = stored(copies.groupBy("digest").agg(
+        F.min(F.struct("doc_id", "node", (F.col("n") > 1).alias("repeated"))).alias("first")).select("digest", "first.*"), "classes")
+    labels = near_links(docs, rows, classes, size, percent, star_rounds)
     placed = stored(classes.join(labels, "node", "left").select(
         "digest", "doc_id", F.coalesce("component", "node").alias("component")), "placed")
     names = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
