@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,10 @@ from leafscore.llm.common import small_side, stored
 from leafscore.llm.graph import components
 from leafscore.llm.words import Texts, map_slices, mix64, ngrams, texts_of, words_of
 
-#: Values that a sketch retains. A pair at the threshold 0.8 shares 64 of 80 on average, and 38 as good as surely.
-RETAINED = 80
+#: Values that the sketch of every document retains. A pair at the threshold 0.8 shares 38 of 48 on average.
+RETAINED = 48
+#: Values retained of the documents that share enough of those: for the inverted lists, and to estimate a pair.
+LISTED, ESTIMATED = 512, 128
 #: Chance that a pair of large sets at the threshold shares fewer retained values than is relied upon.
 MISS = 1e-10
 #: Members of an inverted list that are compared at once.
@@ -49,8 +52,10 @@ def set_digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def sketches(docs: DataFrame, size: int = 5, retained: int = RETAINED) -> DataFrame:
+def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``digest`` of the whole shingle set, and ``sketch``: its smallest hashes, ascending."""
+    retained = RETAINED
+
     def work():
         def one(part: pa.RecordBatch) -> list:
             sets = shingle_sets(texts_of(part.column("text")), size)
@@ -74,7 +79,8 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return map_slices(docs.select("doc_id", "text"), ["doc_id"], "digest binary, set array<long>", work, 1 << 19)
 
 
-def sure_overlap(threshold: float, retained: int = RETAINED, miss: float = MISS) -> int:
+@cache
+def sure_overlap(threshold: float, retained: int, miss: float = MISS) -> int:
     """Most values that two large sets at the threshold share among the union's smallest, but for a chance ``miss``.
 
     Each of those values lies in the intersection with a probability of at least the threshold.
@@ -87,7 +93,7 @@ def sure_overlap(threshold: float, retained: int = RETAINED, miss: float = MISS)
     return retained
 
 
-def needed_overlap(n: Column, threshold: float, retained: int = RETAINED) -> Column:
+def needed_overlap(n: Column, threshold: float, retained: int) -> Column:
     """Retained values that a set of ``n`` shingles surely shares with any set similar to it.
 
     A set within the sketch size is retained whole: all similar sets share ``threshold * n`` values with it, or, if
@@ -99,19 +105,32 @@ def needed_overlap(n: Column, threshold: float, retained: int = RETAINED) -> Col
         F.lit(sure_overlap(threshold, retained)))
 
 
-def inverted_lists(reps: DataFrame, threshold: float) -> DataFrame:
+def shared_values(postings: DataFrame) -> DataFrame:
+    """``postings`` (with a ``value``) whose value others hold too, with the number ``df`` of those that do."""
+    often = stored(postings.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "value-counts")
+    return postings.join(often, "value")
+
+
+def candidates(rows: DataFrame, threshold: float) -> DataFrame:
+    """``node`` of the documents that share enough retained values with others for a similar one to be among them."""
+    postings = rows.select(F.explode("sketch").alias("value"), "node", F.col("n_shingles").alias("n"))
+    return shared_values(postings).groupBy("node", "n").agg(F.count(F.lit(1)).alias("shared")).where(
+        F.col("shared") >= needed_overlap(F.col("n"), threshold, RETAINED)).select("node")
+
+
+def inverted_lists(sets: DataFrame, threshold: float) -> DataFrame:
     """``(value, node, shared)``: the retained values under which each document is listed, if another shares them.
 
     Two sketches that share s of their m values still meet if each is listed only under its m - s + 1 rarest, counted
-    over all documents. So values in very many documents, such as those of a common passage, list only documents
+    over all candidates. So values in very many documents, such as those of a common passage, list only documents
     that consist of little else, and no list is cut. ``shared`` counts a document's values that any other shares.
     """
-    postings = reps.select(F.explode("sketch").alias("value"), "node", F.col("n_shingles").alias("n"), F.size("sketch").alias("m"))
-    often = stored(postings.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "value-counts")
+    postings = sets.select(
+        F.explode(F.slice("set", 1, LISTED)).alias("value"), "node", F.size("set").alias("n"), F.least(F.size("set"), F.lit(LISTED)).alias("m"))
     own = Window.partitionBy("node")  # a document's own values, at most the sketch size
-    ranked = postings.join(often, "value").withColumn("shared", F.count(F.lit(1)).over(own)).withColumn(
+    ranked = shared_values(postings).withColumn("shared", F.count(F.lit(1)).over(own)).withColumn(
         "place", F.row_number().over(own.orderBy("df", "value")) + F.col("m") - F.col("shared"))
-    listed = ranked.where(F.col("place") <= F.col("m") - needed_overlap(F.col("n"), threshold) + 1)
+    listed = ranked.where(F.col("place") <= F.col("m") - needed_overlap(F.col("n"), threshold, LISTED) + 1)
     return listed.select("value", "node", "shared")
 
 
@@ -143,19 +162,24 @@ def led_pairs(lists: DataFrame, labels: DataFrame, leads: DataFrame | None) -> t
 
 
 def common_enough(node: np.ndarray, component: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, sketch: pa.Array, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs from two sets of members, of different components, whose sketches share as much as the threshold needs."""
+    """Pairs from two sets of members, of different components, whose sketches share as much as the threshold needs.
+
+    Sets within the sketch size are compared exactly.
+    """
     lengths = np.diff(sketch.offsets.to_numpy())
     _, values = np.unique(sketch.flatten().to_numpy(), return_inverse=True)
     x = np.zeros((len(node), int(values.max()) + 1), np.float32)
     x[np.repeat(np.arange(len(node)), lengths), values] = 1
     left, right = np.flatnonzero(left), np.flatnonzero(right)
-    least = np.minimum(sure_overlap(threshold), np.ceil(np.round(np.minimum.outer(n[left], n[right]) * threshold, 6)))
+    a, b = n[left][:, None], n[right][None, :]
+    exact = np.ceil(np.round((a + b) * threshold / (1 + threshold), 6))
+    least = np.where(np.maximum(a, b) <= ESTIMATED, exact, np.minimum(sure_overlap(threshold, ESTIMATED), np.ceil(np.round(np.minimum(a, b) * threshold, 6))))
     i, j = np.nonzero((x[left] @ x[right].T >= least) & (component[left][:, None] != component[right][None, :]))
     a, b = node[left[i]], node[right[j]]
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def block_pairs(lists: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
+def block_pairs(lists: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs of different components within the lists: sketches are compared a block against a block in arrays.
 
     A list's members are dealt to blocks by hash, and each pair of blocks is a group of about two blocks, so no
@@ -166,7 +190,8 @@ def block_pairs(lists: DataFrame, sketched: DataFrame, threshold: float) -> Data
     dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "value", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component")
     keys = ["value", "low", "high"]
-    ready = dealt.join(sketched.select("node", "sketch", F.col("n_shingles").alias("n")), "node").repartition(*keys).sortWithinPartitions(*keys)
+    sketched = sets.select("node", F.slice("set", 1, ESTIMATED).alias("sketch"), F.size("set").alias("n"))
+    ready = dealt.join(sketched, "node").repartition(*keys).sortWithinPartitions(*keys)
 
     def compare(group: pa.Table) -> pa.RecordBatch:
         node, component, block, n = (group.column(c).to_numpy() for c in ("node", "component", "block", "n"))
@@ -180,7 +205,7 @@ def block_pairs(lists: DataFrame, sketched: DataFrame, threshold: float) -> Data
             table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
             code = np.stack([table.column(c).to_numpy() for c in keys])
             ends = np.flatnonzero((code[:, 1:] != code[:, :-1]).any(0)) + 1
-            for at, to in zip([0, *ends[:-1]], ends, strict=True):
+            for at, to in zip([0, *ends[:-1]], ends, strict=True) if len(ends) else ():
                 yield compare(table.slice(at, to - at))
             rest = table.slice(ends[-1] if len(ends) else 0)
         if rest is not None and rest.num_rows:
@@ -189,15 +214,20 @@ def block_pairs(lists: DataFrame, sketched: DataFrame, threshold: float) -> Data
     return ready.mapInArrow(run, "a long, b long")
 
 
-def estimated(pairs: DataFrame, sketched: DataFrame, threshold: float, retained: int = RETAINED) -> DataFrame:
-    """The pairs whose sizes and union sketch allow the threshold: enough of the union's smallest values lie in both."""
-    side = sketched.select("node", "sketch", F.col("n_shingles").alias("n"))
-    both = pairs.join(side.toDF("a", "sketch_a", "n_a"), "a").join(side.toDF("b", "sketch_b", "n_b"), "b")
-    union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, retained)
-    matches = F.size(F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), union))
+def estimated(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and union sketch allow the threshold: enough of the union's smallest values lie in both.
+
+    If both sets are within the sketch size, the estimate is the similarity itself.
+    """
+    threshold = percent / 100
+    side = sets.select("node", F.slice("set", 1, ESTIMATED).alias("sketch"), F.size("set").alias("n"))
+    both = pairs.join(side.toDF("a", "sketch_a", "n_a"), "a").join(side.toDF("b", "sketch_b", "n_b"), "b").withColumn(
+        "union", F.array_union("sketch_a", "sketch_b")).withColumn("common", F.array_intersect("sketch_a", "sketch_b"))
+    matches = F.size(F.array_intersect("common", F.slice(F.array_sort("union"), 1, ESTIMATED)))
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    least = F.least(F.lit(sure_overlap(threshold, retained)), F.ceil(F.round(small * threshold, 6)))
-    return both.where((small >= F.round(large * threshold, 6)) & (matches >= least)).select("a", "b")
+    least = F.least(F.lit(sure_overlap(threshold, ESTIMATED)), F.ceil(F.round(small * threshold, 6)))
+    likely = F.when(large <= ESTIMATED, 100 * F.size("common") >= percent * F.size("union")).otherwise(matches >= least)
+    return both.where((100 * small >= percent * large) & likely).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -211,14 +241,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, size: int, percent: int, star_rounds: int) -> DataFrame:
     """Labels ``(node, component)`` of the classes that have candidates. ``rows`` are the sketches by node."""
     threshold = percent / 100
-    lists = stored(inverted_lists(rows.join(classes.select("node"), "node", "left_semi"), threshold), "lists")
-    listed = stored(classes.join(lists.select("node").distinct(), "node", "left_semi"), "listed")
+    firsts = rows.select("node", "n_shingles", "sketch").join(classes.select("node"), "node", "left_semi")
+    listed = stored(classes.join(candidates(firsts, threshold), "node", "left_semi"), "candidates")
     wanted = small_side(listed.select(F.col("doc_id").alias("wanted")), 1_000_000)
     sets = full_sets(docs.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi"), size).join(
         listed, ["doc_id", "digest"]).select("node", "set")
     if listed.where("repeated").limit(1).count():  # rows that repeat doc_id and text alike
         sets = sets.dropDuplicates(["node"])
     sets = stored(sets, "sets")
+    lists = stored(inverted_lists(sets, threshold), "lists")
     labels = listed.select("node", F.col("node").alias("component"))
     links = leads = None
     for round_number in range(star_rounds + 1):
@@ -228,14 +259,15 @@ def near_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, size: int,
         if round_number < star_rounds:
             pairs, leads = led_pairs(lists, labels, leads)
         else:
-            pairs = block_pairs(lists, rows, threshold)
-        likely = stored(estimated(pairs.distinct(), rows, threshold), "likely")
+            pairs = block_pairs(lists, sets, threshold)
+        likely = stored(estimated(pairs.distinct(), sets, percent), "likely")
         found = stored(verified(likely, sets, percent), "links")
         links = found if links is None else links.union(found)
         joined = components(links).select(F.col("node").alias("linked"), "component")
         labels = stored(listed.select("node").join(joined, F.col("node") == F.col("linked"), "left").select(
             "node", F.coalesce("component", "node").alias("component")), "labels")
-        lists = lists.select("value", "node", "shared")
+        if round_number < star_rounds:  # a leader has met all others of its list, or is linked with them
+            lists = lists.select("value", "node", "shared").join(leads.withColumnRenamed("lead", "node"), ["value", "node"], "left_anti")
     return labels
 
 
@@ -246,8 +278,9 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, star_rounds:
     ``percent`` / 100; a component is named after its smallest doc_id, which stays. Steps:
 
     1. Documents with equal sets form a class; one row stands for it from here on.
-    2. Classes are listed under their rarest retained values. In each list, the member that shares most of its values
-       leads; all others are paired with it only, so a list costs its length, not its square.
+    2. Classes that share enough retained values with others are candidates, listed under the rarest values of a larger
+       sketch. In each list, the member that shares most of its values leads; all others are paired with it only, so a
+       list costs its length, not its square.
     3. Pairs pass the union-sketch estimate, then exact Jaccard on whole sets. The links give components.
     4. Lists that still hold several components choose a new leader outside the last one's component, for
        ``star_rounds`` rounds; then all their remaining pairs of different components are compared by their sketches,

@@ -58,7 +58,10 @@ def near_rows(seed):
 
 
 @pytest.mark.parametrize("seed,size,rounds", [(1, 4, 3), (2, 5, 3), (3, 4, 0), (4, 4, 1)])
-def test_components_match_brute_force(make, seed, size, rounds):
+def test_components_match_brute_force(make, monkeypatch, seed, size, rounds):
+    if seed % 2:  # small sketches, so that the sets exceed them
+        for name, value in (("RETAINED", 32), ("LISTED", 48), ("ESTIMATED", 40)):
+            monkeypatch.setattr(nd, name, value)
     rows = near_rows(seed)
     want = brute(rows, size, 80)
     found = nd.near_groups(make(rows), size=size, star_rounds=rounds).collect()
@@ -77,6 +80,7 @@ def test_star_of_copies_that_are_not_alike_among_themselves(make):
 
 def test_long_lists_go_block_by_block(make, monkeypatch):
     monkeypatch.setattr(nd, "BLOCK", 4)
+    monkeypatch.setattr(nd, "ESTIMATED", 40)
     rows = near_rows(5)
     found = nd.near_groups(make(rows), size=4, star_rounds=0).collect()
     assert {r.doc_id: r.component_id for r in found} == {k: c for k, (_, c) in brute(rows, 4, 80).items()}
@@ -95,6 +99,7 @@ def test_odd_rows_and_empty_table(make, odd_rows):
 
 def test_sure_overlap_is_the_binomial_bound():
     assert nd.sure_overlap(0.8, 80, 1e-10) == 38 and nd.sure_overlap(1.0, 10, 1e-10) == 10
+    assert nd.sure_overlap(0.8, nd.LISTED) > 0.6 * nd.LISTED
 
 
 def test_components_of_chains_and_stars(spark):
