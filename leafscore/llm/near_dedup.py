@@ -161,7 +161,7 @@ def led_pairs(lists: DataFrame, labels: DataFrame, leads: DataFrame | None) -> t
     return pairs, chosen.select("value", "lead")
 
 
-def common_enough(node: np.ndarray, component: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, sketch: pa.Array, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def common_enough(node: np.ndarray, component: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, sketch: pa.Array, threshold: float, retained: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs from two sets of members, of different components, whose sketches share as much as the threshold needs.
 
     Sets within the sketch size are compared exactly.
@@ -173,7 +173,7 @@ def common_enough(node: np.ndarray, component: np.ndarray, n: np.ndarray, left:
     left, right = np.flatnonzero(left), np.flatnonzero(right)
     a, b = n[left][:, None], n[right][None, :]
     exact = np.ceil(np.round((a + b) * threshold / (1 + threshold), 6))
-    least = np.where(np.maximum(a, b) <= ESTIMATED, exact, np.minimum(sure_overlap(threshold, ESTIMATED), np.ceil(np.round(np.minimum(a, b) * threshold, 6))))
+    least = np.where(np.maximum(a, b) <= retained, exact, np.minimum(sure_overlap(threshold, retained), np.ceil(np.round(np.minimum(a, b) * threshold, 6))))
     i, j = np.nonzero((x[left] @ x[right].T >= least) & (component[left][:, None] != component[right][None, :]))
     a, b = node[left[i]], node[right[j]]
     return np.minimum(a, b), np.maximum(a, b)
@@ -189,14 +189,14 @@ def block_pairs(lists: DataFrame, sets: DataFrame, threshold: float) -> DataFram
         "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "value", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component")
-    keys = ["value", "low", "high"]
-    sketched = sets.select("node", F.slice("set", 1, ESTIMATED).alias("sketch"), F.size("set").alias("n"))
+    keys, retained = ["value", "low", "high"], ESTIMATED
+    sketched = sets.select("node", F.slice("set", 1, retained).alias("sketch"), F.size("set").alias("n"))
     ready = dealt.join(sketched, "node").repartition(*keys).sortWithinPartitions(*keys)
 
     def compare(group: pa.Table) -> pa.RecordBatch:
         node, component, block, n = (group.column(c).to_numpy() for c in ("node", "component", "block", "n"))
         left, right = (block == group.column(c)[0].as_py() for c in ("low", "high"))
-        a, b = common_enough(node, component, n, left, right, group.column("sketch").combine_chunks(), threshold)
+        a, b = common_enough(node, component, n, left, right, group.column("sketch").combine_chunks(), threshold, retained)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
