@@ -123,7 +123,7 @@ def inverted_lists(sets: DataFrame, threshold: float) -> DataFrame:
 
     Two sketches that share s of their m values still meet if each is listed only under its m - s + 1 rarest, counted
     over all candidates. So values in very many documents, such as those of a common passage, list only documents
-    that consist of little else, and no list is cut. ``shared`` counts a document's values that any other shares.
+    that consist of little else, and no list is cut. ``shared`` is the share of a document's values that others hold.
     """
     postings = sets.select(
         F.explode(F.slice("set", 1, LISTED)).alias("value"), "node", F.size("set").alias("n"), F.least(F.size("set"), F.lit(LISTED)).alias("m"))
@@ -131,7 +131,7 @@ def inverted_lists(sets: DataFrame, threshold: float) -> DataFrame:
     ranked = shared_values(postings).withColumn("shared", F.count(F.lit(1)).over(own)).withColumn(
         "place", F.row_number().over(own.orderBy("df", "value")) + F.col("m") - F.col("shared"))
     listed = ranked.where(F.col("place") <= F.col("m") - needed_overlap(F.col("n"), threshold, LISTED) + 1)
-    return listed.select("value", "node", "shared")
+    return listed.select("value", "node", (F.col("shared") / F.col("m")).alias("shared"))
 
 
 def unresolved(lists: DataFrame, labels: DataFrame) -> DataFrame:
@@ -146,8 +146,8 @@ def unresolved(lists: DataFrame, labels: DataFrame) -> DataFrame:
 def led_pairs(lists: DataFrame, labels: DataFrame, leads: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """A leader for each list, outside the component of its last one, paired with all members of other components.
 
-    The leader is the member that shares most of its retained values with others: in a group of copies of one text,
-    the text itself. Returns the pairs and the leaders ``(value, lead)``.
+    The leader is the member with the largest share of retained values that others hold: in a group of copies of one
+    text, the text itself. Returns the pairs and the leaders ``(value, lead)``.
     """
     able = lists
     if leads is not None:
@@ -161,10 +161,30 @@ def led_pairs(lists: DataFrame, labels: DataFrame, leads: DataFrame | None) -> t
     return pairs, chosen.select("value", "lead")
 
 
+def spanning(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) between numbered members reduced to a spanning forest: as connected, but fewer than the members."""
+    members, number = np.unique(np.concatenate([i, j]), return_inverse=True)
+    near = np.zeros((len(members), len(members)), bool)
+    near[number[: len(i)], number[len(i):]] = near[number[len(i):], number[: len(i)]] = True
+    fresh = np.ones(len(members), bool)
+    a, b = [], []
+    for start in range(len(members)):
+        todo = [start] if fresh[start] else []
+        fresh[start] = False
+        while todo:
+            at = todo.pop()
+            new = np.flatnonzero(near[at] & fresh)
+            fresh[new] = False
+            a += [at] * len(new)
+            b += new.tolist()
+            todo += new.tolist()
+    return members[np.array(a, int)], members[np.array(b, int)]
+
+
 def common_enough(node: np.ndarray, component: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, sketch: pa.Array, threshold: float, retained: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs from two sets of members, of different components, whose sketches share as much as the threshold needs.
 
-    Sets within the sketch size are compared exactly.
+    Sets within the sketch size are compared exactly, and of their links a spanning forest is enough.
     """
     lengths = np.diff(sketch.offsets.to_numpy())
     _, values = np.unique(sketch.flatten().to_numpy(), return_inverse=True)
@@ -175,7 +195,10 @@ def common_enough(node: np.ndarray, component: np.ndarray, n: np.ndarray, left:
     exact = np.ceil(np.round((a + b) * threshold / (1 + threshold), 6))
     least = np.where(np.maximum(a, b) <= retained, exact, np.minimum(sure_overlap(threshold, retained), np.ceil(np.round(np.minimum(a, b) * threshold, 6))))
     i, j = np.nonzero((x[left] @ x[right].T >= least) & (component[left][:, None] != component[right][None, :]))
-    a, b = node[left[i]], node[right[j]]
+    i, j = left[i], right[j]
+    sure = np.maximum(n[i], n[j]) <= retained
+    linked = spanning(i[sure], j[sure])
+    a, b = (node[np.concatenate([s, e[~sure]])] for s, e in zip(linked, (i, j), strict=True))
     return np.minimum(a, b), np.maximum(a, b)
 
 
