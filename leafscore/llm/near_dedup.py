@@ -18,7 +18,7 @@ from leafscore.llm.words import Texts, map_slices, mix64, ngrams, texts_of, word
 
 #: Values that the sketch of every document retains. A pair at the threshold 0.8 shares 38 of 48 on average.
 RETAINED = 48
-#: Values retained of the documents that share enough of those: for the inverted lists, and to estimate a pair.
+#: Values retained of the documents that share enough of those: for inverted lists and blocks, and to estimate a pair.
 LISTED, ESTIMATED = 512, 128
 #: Chance that a pair of large sets at the threshold shares fewer retained values than is relied upon.
 MISS = 1e-10
@@ -135,12 +135,17 @@ def inverted_lists(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def unresolved(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """The lists that hold more than one component, with their number of members and each member's component."""
+    """The lists that hold more than one component, with their number of members and each member's component.
+
+    Of lists with the same members, told by their number and two 64-bit hashes, one is enough; copies of a text share
+    most of their values, so this leaves few.
+    """
     named = stored(lists.join(labels, "node"), "named-lists")
     spread = named.groupBy("value").agg(
-        F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
-    still = stored(spread.where("low <> high").select("value", "members"), "spread-lists")
-    return named.join(still, "value")
+        F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high"),
+        F.bit_xor(F.xxhash64("node")).alias("mark"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("other_mark"))
+    still = spread.where("low <> high").groupBy("members", "mark", "other_mark").agg(F.min("value").alias("value"))
+    return named.join(stored(still.select("value", "members"), "spread-lists"), "value")
 
 
 def led_pairs(lists: DataFrame, labels: DataFrame, leads: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -212,7 +217,7 @@ def block_pairs(lists: DataFrame, sets: DataFrame, threshold: float) -> DataFram
         "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "value", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component")
-    keys, retained = ["value", "low", "high"], ESTIMATED
+    keys, retained = ["value", "low", "high"], LISTED
     sketched = sets.select("node", F.slice("set", 1, retained).alias("sketch"), F.size("set").alias("n"))
     ready = dealt.join(sketched, "node").repartition(*keys).sortWithinPartitions(*keys)
 

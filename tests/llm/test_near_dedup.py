@@ -80,7 +80,7 @@ def test_star_of_copies_that_are_not_alike_among_themselves(make):
 
 def test_long_lists_go_block_by_block(make, monkeypatch):
     monkeypatch.setattr(nd, "BLOCK", 4)
-    monkeypatch.setattr(nd, "ESTIMATED", 40)
+    monkeypatch.setattr(nd, "LISTED", 100)
     rows = near_rows(5)
     found = nd.near_groups(make(rows), size=4, star_rounds=0).collect()
     assert {r.doc_id: r.component_id for r in found} == {k: c for k, (_, c) in brute(rows, 4, 80).items()}
