@@ -242,13 +242,19 @@ def block_pairs(lists: DataFrame, sets: DataFrame, threshold: float) -> DataFram
     return ready.mapInArrow(run, "a long, b long")
 
 
+def sets_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets that occur in the pairs: after the first round few pairs are left, and only their sets are shuffled."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    return sets.join(small_side(nodes, 1_000_000), "node", "left_semi")
+
+
 def estimated(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sizes and union sketch allow the threshold: enough of the union's smallest values lie in both.
 
     If both sets are within the sketch size, the estimate is the similarity itself.
     """
     threshold = percent / 100
-    side = sets.select("node", F.slice("set", 1, ESTIMATED).alias("sketch"), F.size("set").alias("n"))
+    side = sets_of(pairs, sets).select("node", F.slice("set", 1, ESTIMATED).alias("sketch"), F.size("set").alias("n"))
     both = pairs.join(side.toDF("a", "sketch_a", "n_a"), "a").join(side.toDF("b", "sketch_b", "n_b"), "b").withColumn(
         "union", F.array_union("sketch_a", "sketch_b")).withColumn("common", F.array_intersect("sketch_a", "sketch_b"))
     matches = F.size(F.array_intersect("common", F.slice(F.array_sort("union"), 1, ESTIMATED)))
@@ -260,7 +266,8 @@ def estimated(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose whole sets have a Jaccard similarity of at least ``percent`` / 100, computed in integers."""
-    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").withColumn(
+    whole = sets_of(pairs, sets)
+    both = pairs.join(whole.toDF("a", "set_a"), "a").join(whole.toDF("b", "set_b"), "b").withColumn(
         "common", F.size(F.array_intersect("set_a", "set_b")))
     union = F.size("set_a") + F.size("set_b") - F.col("common")
     return both.where(100 * F.col("common") >= percent * union).select("a", "b")
@@ -288,7 +295,7 @@ def near_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, size: int,
             pairs, leads = led_pairs(lists, labels, leads)
         else:
             pairs = block_pairs(lists, sets, threshold)
-        likely = stored(estimated(pairs.distinct(), sets, percent), "likely")
+        likely = stored(estimated(stored(pairs.distinct(), "pairs"), sets, percent), "likely")
         found = stored(verified(likely, sets, percent), "links")
         links = found if links is None else links.union(found)
         joined = components(links).select(F.col("node").alias("linked"), "component")
