@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -27,6 +29,27 @@ def build_session(app: str = "leafscore", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's source to the executors, once per application, unless it is installed.
+
+    Functions that run in Python workers are pickled by module name, so the workers must be able to import the package
+    whatever their working directory is.
+    """
+    context = spark.sparkContext
+    package = Path(__file__).resolve().parent
+    if context.applicationId in _SHIPPED or "site-packages" in package.parts:
+        return
+    archive = os.path.join(context._temp_dir, f"{package.name}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder for written intermediate tables, visible to every executor.
 
