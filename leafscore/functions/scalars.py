@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leafscore.functions.text import strip
+
 # Review reason code -> category; any other code is a validation reason.
 REASON_CATEGORY = {
     "low_confidence": "confidence",
@@ -93,8 +95,8 @@ def bucket(value: Column, edges: list[tuple[str, float, float]]) -> Column:
 
 def parse_amount(text: Column) -> Column:
     """Strict decimal after currency marks and separators; null when anything else remains."""
-    s = F.trim(F.regexp_replace(F.trim(text), r"(?i)^([$€£]|RM|USD|EUR)\s*", ""))
-    s = F.trim(F.regexp_replace(s, r"(?i)\s*([$€£]|RM|USD|EUR)$", ""))
+    s = strip(F.regexp_replace(strip(text), r"(?i)^([$€£]|RM|USD|EUR)\s*", ""))
+    s = strip(F.regexp_replace(s, r"(?i)\s*([$€£]|RM|USD|EUR)$", ""))
     s = (
         F.when(s.contains(",") & ~s.contains("."), F.replace(s, F.lit(","), F.lit(".")))
         .when(s.contains(","), F.replace(s, F.lit(","), F.lit("")))
@@ -105,7 +107,7 @@ def parse_amount(text: Column) -> Column:
 
 def is_date_text(text: Column) -> Column:
     """True when the text has one of the accepted date shapes and at least four characters."""
-    s = F.trim(text)
+    s = strip(text)
     hit = F.lit(False)
     for shape in DATE_SHAPES:
         hit = hit | s.rlike(shape)
@@ -162,7 +164,7 @@ def confident_tokens(tokens: Column, minimum: float) -> Column:
     cleaned = F.transform(
         tokens,
         lambda t: F.struct(
-            F.trim(t["text"]).alias("text"), clamp01(F.coalesce(t["confidence"], F.lit(0.0))).alias("confidence")
+            strip(t["text"]).alias("text"), clamp01(F.coalesce(t["confidence"], F.lit(0.0))).alias("confidence")
         ),
     )
     return F.filter(cleaned, lambda t: t["confidence"] >= minimum)

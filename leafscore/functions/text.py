@@ -27,6 +27,11 @@ def nfc(text: Column) -> Column:
     return F.coalesce(_compose(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
+def strip(text: Column) -> Column:
+    """White space of every kind (tabs, line ends, no-break spaces) cut from both ends."""
+    return F.regexp_replace(text, rf"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+
+
 def _clean(text: Column, compose: bool) -> Column:
     value = F.coalesce(text, F.lit(""))
     return F.regexp_replace(nfc(value) if compose else value, _CONTROL, "")
@@ -51,7 +56,7 @@ def normalize_amount(text: Column, strict: bool = True) -> Column:
 
     ``strict=True`` reads ``1,234.50`` as ``1`` (the scoring protocol); ``strict=False`` drops thousands commas.
     """
-    s = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    s = strip(F.coalesce(text, F.lit("")))
     mark = rf"(?i)(?:RM|MYR|\$|{SPACE_CLASS})+"
     s = F.regexp_replace(F.regexp_replace(s, "^" + mark, ""), mark + "$", "")
     if not strict:
@@ -72,7 +77,7 @@ def normalize_field(name: Column, value: Column, compose: bool = True) -> Column
 
 def words(text: Column) -> Column:
     """White-space separated words; an empty array for blank text."""
-    stripped = F.regexp_replace(text, rf"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    stripped = strip(text)
     return F.when(stripped == "", F.array().cast("array<string>")).otherwise(
         F.split(stripped, SPACE_CLASS + "+")
     )

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafscore.functions.text import strip
+
 ENTITY_KEYS = ("company", "date", "address", "total")
 
 
@@ -20,7 +22,7 @@ def parse_box_lines(lines: DataFrame) -> DataFrame:
     with a numeric ninth and tenth mean extra coordinates.
     """
     text = F.regexp_replace("line", "^\\x{FEFF}|[\\r\\n]+$", "")
-    rows = lines.withColumn("_t", text).where(F.trim("_t") != "").withColumn("_p", F.split("_t", ","))
+    rows = lines.withColumn("_t", text).where(strip("_t") != "").withColumn("_p", F.split("_t", ","))
     number = lambda i: F.trim(F.get("_p", F.lit(i))).try_cast("double")
     rows = rows.withColumns({f"_c{i}": number(i) for i in range(8)})
     coords = [F.col(f"_c{i}") for i in range(8)]
@@ -89,7 +91,7 @@ def record_checks(rows: DataFrame) -> DataFrame:
 
     checks = F.array_compact(
         F.array(
-            code(F.col("document_id").isNull() | (F.trim(F.col("document_id").cast("string")) == ""), "empty_id"),
+            code(F.col("document_id").isNull() | (strip(F.col("document_id").cast("string")) == ""), "empty_id"),
             code(F.col("confidence").isNotNull() & conf.isNull(), "confidence_not_a_number"),
             code(nan(conf), "confidence_not_finite"),
             code(~conf.between(0.0, 1.0), "confidence_out_of_range"),
@@ -238,7 +240,7 @@ def audit_text_table(documents: DataFrame, labels: DataFrame) -> DataFrame:
     copies = documents.groupBy(F.xxhash64("text"), F.sha2("text", 256)).agg(F.count("*").alias("n"))
     texts = documents.agg(
         F.count("*").alias("rows"),
-        F.count_if(F.col("text").isNull() | (F.trim("text") == "")).alias("empty"),
+        F.count_if(F.col("text").isNull() | (strip("text") == "")).alias("empty"),
         F.count_if(F.char_length("text") != F.col("n_chars")).alias("length"),
     )
     dup = copies.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n") - 1)), F.lit(0)).alias("duplicate"))

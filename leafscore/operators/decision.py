@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafscore.functions.scalars import clamp01, is_date_text, parse_amount
+from leafscore.functions.text import strip
 
 # Required fields by document type (receipt rules for unknown types) and confidence thresholds.
 REQUIRED = {
@@ -159,7 +160,7 @@ def validate_document(docs: DataFrame, fields: DataFrame) -> DataFrame:
     Adds ``errors`` in fixed order, ``is_valid`` and ``failed_reason`` (the first error). When a field occurs more
     than once in a document the greatest value stands for it.
     """
-    active = F.trim(F.coalesce("corrected_value", "value", F.lit("")))
+    active = strip(F.coalesce("corrected_value", "value", F.lit("")))
     names = ["company", "date", "total"]
     pivoted = fields.groupBy("document_id").agg(
         *[F.max(F.when(F.col("field_name") == n, active)).alias(n) for n in names]

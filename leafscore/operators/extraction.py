@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafscore.functions.scalars import join_address, plausible_date
-from leafscore.functions.text import contains_any, digit_ratio, is_upper
+from leafscore.functions.text import contains_any, digit_ratio, is_upper, strip
 
 # Keyword lists of the configured vocabulary ("full") and of the built-in one ("short").
 VOCABULARY = {
@@ -77,7 +77,7 @@ COLUMNS = ["document_id", "field_name", "value", "confidence", "token_indices",
 def tokens_or_lines(tokens: DataFrame, pages: DataFrame) -> DataFrame:
     """Tokens, and for documents without any the non-blank lines of ``pages.full_text`` as tokens."""
     bare = pages.join(tokens.select("document_id").distinct(), "document_id", "left_anti")
-    lines = F.filter(F.transform(F.split("full_text", r"\R"), lambda s: F.trim(s)), lambda s: s != "")
+    lines = F.filter(F.transform(F.split("full_text", r"\R"), lambda s: strip(s)), lambda s: s != "")
     extra = bare.select("document_id", F.posexplode(lines).alias("idx", "text"))
     return tokens.select("document_id", "idx", "text").unionByName(extra)
 
@@ -100,7 +100,7 @@ def _matches(pattern: str, rule: str, rank: int, base: float, build) -> Column:
         found,
         lambda m, i: F.when(
             build(lambda k: part(m, k)),
-            F.struct(F.lit(base).alias("base"), F.lit(rank).alias("rank"), i.alias("pos"), F.trim(m).alias("value"),
+            F.struct(F.lit(base).alias("base"), F.lit(rank).alias("rank"), i.alias("pos"), strip(m).alias("value"),
                      F.lit(rule).alias("rule")),
         ),
     )
@@ -135,7 +135,7 @@ def date_candidates(tokens: DataFrame, vocabulary: str = "full", low: int = 1990
         )
     )
     rows = (
-        tokens.withColumn("t", F.trim("text"))
+        tokens.withColumn("t", strip("text"))
         .where(F.col("t").rlike(r"\d"))
         .select("document_id", "idx", keyed.alias("here"), F.explode(found).alias("c"))
     )
@@ -177,7 +177,7 @@ def extract_total(
     positive, negative = VOCABULARY[vocabulary]["total"], VOCABULARY[vocabulary]["total_negative"]
     upper = F.upper("text")
     good, bad, grand = contains_any(upper, positive), contains_any(upper, negative), upper.contains("GRAND")
-    amounts = tokens.withColumn("t", F.trim("text")).select(
+    amounts = tokens.withColumn("t", strip("text")).select(
         "document_id",
         "idx",
         good.alias("good"),
@@ -220,7 +220,7 @@ def extract_total(
 def extract_company(tokens: DataFrame, vocabulary: str = "full", header_lines: int = 5) -> DataFrame:
     """Best header line among the first ``2 * header_lines`` tokens."""
     legal, negative = VOCABULARY[vocabulary]["company_legal"], VOCABULARY[vocabulary]["company_negative"]
-    t = F.trim("text")
+    t = strip("text")
     rows = tokens.where(F.col("idx") < header_lines * 2).withColumn("value", t)
     v = F.col("value")
     rows = rows.where(
@@ -267,7 +267,7 @@ def extract_address(
     start = company.select("document_id", (F.array_max("token_indices") + 1).alias("start"))
     upper = F.upper(F.col("t"))
     digits = digit_ratio(F.col("t"))
-    marked = tokens.withColumn("t", F.trim("text")).select(
+    marked = tokens.withColumn("t", strip("text")).select(
         "document_id",
         "idx",
         "t",
@@ -415,7 +415,7 @@ def reading_lines(boxes: DataFrame, factor: float = 0.5, exact: bool = True) ->
 def reading_order(boxes: DataFrame, factor: float = 0.5, exact: bool = True) -> DataFrame:
     """Lines of text top to bottom: ``(document_id, line_no, text)``; blank lines are dropped."""
     lines = reading_lines(boxes, factor, exact)
-    words = F.array_sort(F.collect_list(F.struct("x_min", "y_min", "idx", F.trim("text").alias("t"))))
+    words = F.array_sort(F.collect_list(F.struct("x_min", "y_min", "idx", strip("text").alias("t"))))
     kept = F.filter(F.transform(words, lambda s: s["t"]), lambda s: s != "")
     out = lines.groupBy("document_id", "segment", "line").agg(
         F.min("y_min").alias("top"), F.array_join(kept, " ").alias("text")

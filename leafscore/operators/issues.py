@@ -166,8 +166,16 @@ def _lookup(table: dict[str, str], key: Column, default: str) -> Column:
     return F.coalesce(F.try_element_at(m, key), F.lit(default))
 
 
+# Names of the degradations that quality signals correspond to, and the sentence that points to them.
+RESEARCH_NAMES = {"D1": "Gaussian Blur Robustness", "D3": "Gaussian Noise Robustness", "D6": "Rotation & Skew Robustness"}
+RESEARCH_SENTENCE = (
+    "Research evidence available: %s (%s). B1 degradation curves and B2 preprocessing benchmarks are available for operator "
+    "inspection.")
+
+
 def derive_issues(docs: DataFrame, events: DataFrame, jobs: DataFrame, quality: DataFrame) -> DataFrame:
-    """Issue rows per document: one for a pipeline failure, then one per decision reason.
+    """Issue rows per document: one for a pipeline failure, then one per decision reason, with what was observed against
+    which threshold, and the production, historical and research evidence.
 
     Research evidence names the first matching quality signal; further ones are in ``evidence_rows``.
     """
@@ -195,6 +203,12 @@ def derive_issues(docs: DataFrame, events: DataFrame, jobs: DataFrame, quality:
         F.col("event_at").alias("created_at"),
         F.lit(False).alias("can_review"),
         F.lit(True).alias("can_retry"),
+        F.coalesce(
+            "error_message", F.concat(F.lit("Processing terminated due to pipeline failure ("), code, F.lit(")."))
+        ).alias("description"),
+        F.lit(None).cast("double").alias("observed_value"),
+        F.lit(None).cast("double").alias("threshold"),
+        missing.alias("research"),
     )
     explained = explain_decision(docs, events).select("document_id", F.posexplode("reasons").alias("position", "r"))
     reasons = explained.select(
@@ -249,6 +263,11 @@ def derive_issues(docs: DataFrame, events: DataFrame, jobs: DataFrame, quality:
             F.col("event_at").alias("created_at"),
             (F.col("status") == "manual_review").alias("can_review"),
             F.col("status").isin("error", "manual_review").alias("can_retry"),
+            F.col("message").alias("description"),
+            F.col("observed").cast("double").alias("observed_value"),
+            F.col("limit").cast("double").alias("threshold"),
+            F.when((cat == "quality") & F.col("condition_code").isNotNull(), F.format_string(
+                RESEARCH_SENTENCE, _lookup(RESEARCH_NAMES, F.col("condition_code"), ""), F.col("condition_code"))).alias("research"),
         )
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafscore.functions.scalars import derive_seed, mean4
+from leafscore.functions.text import strip
 
 CONTROL = "D0_S0_P0"
 
@@ -29,8 +30,8 @@ METRICS = ["cer", "wer", "ned", "f1"]
 def condition_id(degradation: Column, severity: Column, preprocessing: Column) -> Column:
     """``D1_S2_P_clahe`` from names; unknown degradations are upper-cased, blank preprocessing is ``P0``."""
     table = F.create_map(*[F.lit(x) for pair in DEGRADATION_CODE.items() for x in pair])
-    code = F.coalesce(F.try_element_at(table, F.lower(F.trim(degradation))), F.upper(degradation))
-    prep = F.trim(preprocessing)
+    code = F.coalesce(F.try_element_at(table, F.lower(strip(degradation))), F.upper(degradation))
+    prep = strip(preprocessing)
     low = F.lower(prep)
     p_code = (
         F.when(low.isin("none", "p0", "raw", ""), "P0")
@@ -266,8 +267,8 @@ def curve_extents(means: DataFrame) -> DataFrame:
     return out.crossJoin(F.broadcast(control)).withColumns(fill).drop("_c", "_f")
 
 
-def impact_lists(deltas: DataFrame, recovered: DataFrame, impacts: int = 32, recoveries: int = 50) -> DataFrame:
-    """Report lists: the first degradation impacts and recoveries in condition order."""
+def impact_lists(deltas: DataFrame, recovered: DataFrame, impacts: int | None = None, recoveries: int | None = None) -> DataFrame:
+    """Report lists: degradation impacts and recoveries, all of them or the first so many in condition order."""
     parts = F.split("condition_id", "_")
     head = deltas.where((F.col("p") == 0) & (F.col("condition_id") != CONTROL)).select(
         F.lit("impact").alias("kind"),
@@ -283,11 +284,18 @@ def impact_lists(deltas: DataFrame, recovered: DataFrame, impacts: int = 32, rec
         F.regexp_extract(parts[1], r"^S(\d+)$", 1).cast("int").alias("severity"),
         F.col("delta_cer").alias("value"),
     )
-    return head.orderBy("condition_id").limit(impacts).unionByName(tail.orderBy("condition_id").limit(recoveries))
+
+    def first(rows: DataFrame, n: int | None) -> DataFrame:
+        return rows if n is None else rows.orderBy("condition_id").limit(n)
+
+    return first(head, impacts).unionByName(first(tail, recoveries))
 
 
 def overview_tracks(means: DataFrame, recovered: DataFrame) -> DataFrame:
-    """One row per track: number of conditions and its headline metrics, read from the data."""
+    """One row per track: number of conditions and its headline metrics, read from the data.
+
+    A track without conditions has a row as well, which says that it is not available.
+    """
     track = F.when(F.col("s") == 0, "B0").when(F.col("p") == 0, "B1").otherwise("B2")
     head = means.groupBy(track.alias("track")).agg(
         F.count("*").alias("conditions"),
@@ -298,7 +306,9 @@ def overview_tracks(means: DataFrame, recovered: DataFrame) -> DataFrame:
         F.countDistinct("p").alias("policies"),
     )
     gain = recovered.where("p > 0").agg(F.lit("B2").alias("track"), F.min("delta_cer").alias("best_delta_cer"))
-    return head.join(F.broadcast(gain), "track", "left")
+    tracks = means.agg(F.count("*")).select(F.explode(F.array(F.lit("B0"), F.lit("B1"), F.lit("B2"))).alias("track"))
+    out = tracks.join(head, "track", "left").join(F.broadcast(gain), "track", "left")
+    return out.na.fill(0, ["conditions", "evaluations"]).withColumn("available", F.col("conditions") > 0)
 
 
 def branch_means(means: DataFrame) -> DataFrame:

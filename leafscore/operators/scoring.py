@@ -7,23 +7,28 @@ from pyspark.sql import functions as F
 
 from leafscore.functions import distance as D
 from leafscore.functions.scalars import harmonic, mean4, ratio
-from leafscore.functions.text import normalize_field, normalize_text, words
+from leafscore.functions.text import normalize_field, normalize_text, strip, words
 
 
 def score_text(pairs: DataFrame, pred: str = "pred", gt: str = "gt", long_texts: bool = True) -> DataFrame:
     """Raw and normalized error rates of each pair over whole texts; adds eight metric columns.
 
-    Every distance is computed once and shared by the rates that need it.
+    Every distance is computed once and shared by the rates that need it: normalizing usually leaves the words of a
+    text as they are, so most rows need one word distance for both.
     """
-    out = pairs
+    raw = {"_p0": F.coalesce(pred, F.lit("")), "_g0": F.coalesce(gt, F.lit(""))}
+    out = pairs.withColumns(raw)
+    out = out.withColumn("_w0", D.word_distance(F.col("_p0"), F.col("_g0"), long_texts))
     for tag in ("raw", "normalized"):
-        p, g = F.col(pred), F.col(gt)
         if tag == "normalized":
-            out = out.withColumn("_p", normalize_text(p)).withColumn("_g", normalize_text(g))
+            out = out.withColumns({"_p": normalize_text(F.col(pred)), "_g": normalize_text(F.col(gt))})
+            same = (words(F.col("_p")) == words(F.col("_p0"))) & (words(F.col("_g")) == words(F.col("_g0")))
+            own = D.word_distance(F.when(~F.col("_same"), F.col("_p")), F.when(~F.col("_same"), F.col("_g")), long_texts)
+            out = out.withColumn("_same", same).withColumn("_w", F.when(F.col("_same"), F.col("_w0")).otherwise(own))
         else:
-            out = out.withColumn("_p", F.coalesce(p, F.lit(""))).withColumn("_g", F.coalesce(g, F.lit("")))
+            out = out.withColumns({"_p": F.col("_p0"), "_g": F.col("_g0"), "_w": F.col("_w0")})
         p, g = F.col("_p"), F.col("_g")
-        out = out.withColumn("_c", D.char_distance(p, g, long_texts)).withColumn("_w", D.word_distance(p, g, long_texts))
+        out = out.withColumn("_c", D.char_distance(p, g, long_texts))
         plen, glen = F.char_length(p), F.char_length(g)
         out = out.withColumns(
             {
@@ -33,7 +38,7 @@ def score_text(pairs: DataFrame, pred: str = "pred", gt: str = "gt", long_texts:
                 f"char_edit_distance_{tag}": F.col("_c"),
             }
         ).drop("_p", "_g", "_c", "_w")
-    return out
+    return out.drop("_p0", "_g0", "_w0", "_same")
 
 
 def field_matches(pairs: DataFrame, compose: bool = True) -> DataFrame:
@@ -56,8 +61,8 @@ def field_matches(pairs: DataFrame, compose: bool = True) -> DataFrame:
         out = out.withColumns(
             {
                 f"match_{tag}": a == b,
-                f"has_pred_{tag}": F.trim(a) != "",
-                f"has_gt_{tag}": F.trim(b) != "",
+                f"has_pred_{tag}": strip(a) != "",
+                f"has_gt_{tag}": strip(b) != "",
             }
         )
     return out

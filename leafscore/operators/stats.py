@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafscore.functions.scalars import mean4, ratio
@@ -123,7 +123,8 @@ def bootstrap_ci_counts(
 
     Resampling n rows with replacement is a multinomial draw over the distinct values, so the rows are first
     counted per (keys, metric, value). Values carry four decimals: a group holds its distinct values, never its
-    rows, however many documents a condition has.
+    rows, however many documents a condition has. The seed moves by 20 for each group in key order and by 1 for each
+    metric, so that no two draw the same stream.
     """
     long = records.select(
         *keys,
@@ -133,6 +134,8 @@ def bootstrap_ci_counts(
     ).select(*keys, "_m.metric", "_m.value")
     counts = long.where(F.col("value").isNotNull()).groupBy(*keys, "metric", "value").agg(F.count("*").alias("n"))
     group = [*keys, "metric"]
+    places = counts.select(*keys).distinct().withColumn("_place", F.row_number().over(Window.orderBy(*keys)) - 1)
+    counts = counts.join(F.broadcast(places), keys)  # one row per condition
     types = dict(counts.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in group) + ", n long, ci_lower double, ci_upper double"
     low, high = 50.0 * (1.0 - ci), 100.0 - 50.0 * (1.0 - ci)
@@ -144,7 +147,7 @@ def bootstrap_ci_counts(
         if n == 1:
             bounds = (float(x[0]), float(x[0]))
         else:
-            rng = np.random.default_rng(seed + values.index(key[-1]))
+            rng = np.random.default_rng(seed + 20 * int(pdf["_place"].iloc[0]) + values.index(key[-1]))
             step = max(1, 2_000_000 // len(x))
             means = np.concatenate(
                 [rng.multinomial(n, c / n, size=min(step, iterations - i)) @ x / n for i in range(0, iterations, step)]

@@ -10,6 +10,7 @@ from leafscore.operators import matrix as M
 from leafscore.operators import robustness as R
 from leafscore.operators import sampling as P
 from leafscore.operators.layout import spread
+from leafscore.plans.matrix_queries import configured
 from leafscore.plans.registry import query
 from leafscore.plans.scoring_queries import text_sql
 
@@ -278,14 +279,9 @@ DEGRADED = f"""dg AS (SELECT document_id, degradation, severity, CASE degradatio
     ELSE concat(left(text, seed % greatest(1, n - n * severity // 20)), repeat('#', n * severity // 20), substr(text, (seed % greatest(1, n - n * severity // 20)) + n * severity // 20 + 1)) END AS pred FROM ch)"""
 
 
-def _b1(t):
-    named = t.named_conditions
-    return M.condition_matrix(named.select("degradation"), named.select("s"), named.where("p = 0").select("preprocessing"))
-
-
 @query("degrade_text", f"WITH {B1}, {DEGRADED} SELECT * FROM dg")
 def _(t):
-    cells = M.matrix_expand(t.turns, _b1(t))
+    cells = M.matrix_expand(t.turns, configured(t, preprocessing=False))
     pred = R.degrade_text(F.col("text"), F.col("degradation"), F.col("severity"), F.col("derived_seed"))
     return cells.select("document_id", "degradation", "severity", pred.alias("pred"))
 
@@ -301,23 +297,20 @@ SQUEEZE = "trim(regexp_replace({0}, '[ \\t]+', ' ', 'g'))"
     ELSE {SQUEEZE.format("regexp_replace(lower(" + UNDO.format('text') + "), '[^A-Za-z0-9\\s]', '', 'g')")} END AS restored
   FROM {{documents}} CROSS JOIN (SELECT DISTINCT preprocessing AS policy FROM {{named_conditions}})""")
 def _(t):
-    policies = t.named_conditions.select(F.col("preprocessing").alias("policy")).distinct()
+    policies = t.spark.createDataFrame([(p,) for p in R.POLICIES], "policy string")
     rows = t.documents.select("doc_id", "text").crossJoin(F.broadcast(policies))
     return rows.select("doc_id", "policy", R.restore_text(F.col("text"), F.col("policy")).alias("restored"))
 
 
-def _full_matrix(t):
-    named = t.named_conditions
-    return M.condition_matrix(named.select("degradation"), named.select("s"), named.select("preprocessing"))
-
-
 @query("robustness_matrix")
 def _(t):
     """All 161 conditions over the conversation turns, scored; checked by its parts and in the tests."""
-    return R.robustness_records(spread(t.turns, "document_id"), _full_matrix(t))
+    return R.robustness_records(spread(t.turns, "document_id"), configured(t))
 
 
 @query("robustness_summary")
 def _(t):
     """Degradation-only conditions over whole turns, summarized with intervals, deltas and recoveries."""
-    return R.robustness_summary(R.robustness_records(spread(t.turns, "document_id"), _b1(t)))
+    records = R.robustness_records(spread(t.turns, "document_id"), configured(t, preprocessing=False))
+    # Scored once; counts, statistics and intervals read the rows.
+    return R.robustness_summary(t.once(records, "robustness"))

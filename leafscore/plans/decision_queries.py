@@ -9,7 +9,7 @@ from leafscore.operators import decision as D
 from leafscore.operators import issues as I
 from leafscore.operators import matrix as M
 from leafscore.plans.ops_queries import CATEGORY
-from leafscore.plans.registry import query
+from leafscore.plans.registry import query, strip_sql
 
 
 def codes(column: str):
@@ -92,14 +92,21 @@ def _(t):
 
 AMOUNT = """TRY_CAST(CASE WHEN regexp_matches({0}, '^\\d+(\\.\\d+)?$') THEN {0} END AS DOUBLE)"""
 CLEAN = """(CASE WHEN contains(am, ',') AND NOT contains(am, '.') THEN replace(am, ',', '.') WHEN contains(am, ',') THEN replace(am, ',', '') ELSE am END)"""
-STRIP = "trim(regexp_replace(trim(regexp_replace(trim({0}), '^([$€£]|RM|USD|EUR)\\s*', '', 'i')), '\\s*([$€£]|RM|USD|EUR)$', '', 'i'))"
+
+
+def unmarked(x: str) -> str:
+    """An amount without currency marks."""
+    front = strip_sql(f"regexp_replace({strip_sql(x)}, '^([$€£]|RM|USD|EUR)\\s*', '', 'i')")
+    return strip_sql(f"regexp_replace({front}, '\\s*([$€£]|RM|USD|EUR)$', '', 'i')")
+
+
 DATE_OK = "(length({0}) >= 4 AND (regexp_matches({0}, '^\\d{{4}}[-/.]\\d{{1,2}}[-/.]\\d{{1,2}}$') OR regexp_matches({0}, '^\\d{{1,2}}[-/.]\\d{{1,2}}[-/.]\\d{{2,4}}$') OR regexp_matches({0}, '^\\d{{1,2}}\\s+[A-Za-z]{{3,9}}\\s+\\d{{2,4}}$') OR regexp_matches({0}, '^[A-Za-z]{{3,9}}\\s+\\d{{1,2}},?\\s+\\d{{2,4}}$')))"
 
 
 def validation_sql(fields: str, docs: str = "{doc_lifecycle}") -> str:
-    return f"""pv AS (SELECT document_id, document_type, coalesce(co, '') AS co, coalesce(da, '') AS da, coalesce(tt, '') AS tt, {STRIP.format("coalesce(tt, '')")} AS am
+    return f"""pv AS (SELECT document_id, document_type, coalesce(co, '') AS co, coalesce(da, '') AS da, coalesce(tt, '') AS tt, {unmarked("coalesce(tt, '')")} AS am
     FROM {docs} LEFT JOIN (SELECT document_id, max(v) FILTER (field_name = 'company') AS co, max(v) FILTER (field_name = 'date') AS da,
-      max(v) FILTER (field_name = 'total') AS tt FROM (SELECT document_id, field_name, trim(coalesce(corrected_value, value)) AS v FROM {fields}) GROUP BY 1) USING (document_id)),
+      max(v) FILTER (field_name = 'total') AS tt FROM (SELECT document_id, field_name, {strip_sql("coalesce(corrected_value, value, '')")} AS v FROM {fields}) GROUP BY 1) USING (document_id)),
   pw AS (SELECT *, {AMOUNT.format(CLEAN)} AS n FROM pv),
   er0 AS (SELECT document_id, document_type, da, tt, list_filter([CASE WHEN co = '' THEN 'company|missing_required_field' END, CASE WHEN da = '' THEN 'date|missing_required_field' END,
       CASE WHEN tt = '' AND document_type NOT IN ('act', 'contract') THEN 'total|missing_required_field' END, CASE WHEN length(co) = 1 THEN 'company|empty_value' END,
@@ -140,12 +147,12 @@ def _(t):
     return D.decide(t.doc_lifecycle, t.review_fields, D.quality_score(t.quality_measures)).drop("validation_errors", "low_fields")
 
 
-@query("parse_amount", f"SELECT document_id, field_name, {AMOUNT.format(CLEAN)} AS amount FROM (SELECT *, {STRIP.format('pred')} AS am FROM {{kie_pairs}})")
+@query("parse_amount", f"SELECT document_id, field_name, {AMOUNT.format(CLEAN)} AS amount FROM (SELECT *, {unmarked('pred')} AS am FROM {{kie_pairs}})")
 def _(t):
     return t.kie_pairs.select("document_id", "field_name", parse_amount(F.col("pred")).alias("amount"))
 
 
-@query("is_date_text", f"SELECT document_id, field_name, {DATE_OK.format('trim(pred)')} AS is_date FROM {{kie_pairs}}")
+@query("is_date_text", f"SELECT document_id, field_name, {DATE_OK.format(strip_sql('pred'))} AS is_date FROM {{kie_pairs}}")
 def _(t):
     return t.kie_pairs.select("document_id", "field_name", is_date_text(F.col("pred")).alias("is_date"))
 
@@ -287,10 +294,14 @@ ISSUES = f"""{EXPLAIN}, {EVID}, {SIMILAR}, dr AS (SELECT *, {RESOLUTION} AS rez
         WHEN 'processing' THEN 'Pipeline Execution Issue' ELSE 'Manual Review Routing Reason' END, CASE WHEN field IS NOT NULL THEN concat(': ', field) ELSE '' END) AS title,
       CASE category WHEN 'confidence' THEN 'confidence_engine' WHEN 'validation' THEN 'document_validator' WHEN 'quality' THEN 'quality_analyzer' ELSE 'decision_engine' END AS source,
       rez AS issue_status, CASE WHEN ob IS NOT NULL AND li IS NOT NULL THEN concat('Observed value (', ob, ') failed configured policy threshold (', li, ').') ELSE message END AS production,
-      historical, CASE WHEN category = 'quality' THEN cond END AS condition_code, event_at AS created_at, status = 'manual_review' AS can_review, status IN ('error','manual_review') AS can_retry FROM i0
+      historical, CASE WHEN category = 'quality' THEN cond END AS condition_code, event_at AS created_at, status = 'manual_review' AS can_review, status IN ('error','manual_review') AS can_retry,
+      message AS description, ob::DOUBLE AS observed_value, li::DOUBLE AS threshold, CASE WHEN category = 'quality' AND cond IS NOT NULL THEN concat('Research evidence available: ',
+        CASE cond WHEN 'D1' THEN 'Gaussian Blur Robustness' WHEN 'D3' THEN 'Gaussian Noise Robustness' ELSE 'Rotation & Skew Robustness' END, ' (', cond,
+        '). B1 degradation curves and B2 preprocessing benchmarks are available for operator inspection.') END AS research FROM i0
     UNION ALL SELECT dr.document_id, concat('iss-', dr.document_id, '-proc'), 'processing', 'critical', coalesce(nullif(review_reason, 'none'), 'pipeline_failure'), NULL,
       'Document Processing Pipeline Failure', 'processing_pipeline', rez, coalesce(jb.error_message, concat('Processing failed with error code: ', coalesce(nullif(review_reason, 'none'), 'pipeline_failure'))),
-      NULL, NULL, st.event_at, false, true FROM dr LEFT JOIN {JOB} jb USING (document_id) LEFT JOIN {STAMP.format('processing_failed')} st USING (document_id) WHERE dr.status = 'error')"""
+      NULL, NULL, st.event_at, false, true, coalesce(jb.error_message, concat('Processing terminated due to pipeline failure (', coalesce(nullif(review_reason, 'none'), 'pipeline_failure'), ').')),
+      NULL, NULL, NULL FROM dr LEFT JOIN {JOB} jb USING (document_id) LEFT JOIN {STAMP.format('processing_failed')} st USING (document_id) WHERE dr.status = 'error')"""
 
 
 def _issues(t):

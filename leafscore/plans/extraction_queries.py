@@ -39,14 +39,17 @@ def _(t):
     return flat(X.extract_date(t.receipt_tokens))
 
 
-@query("extract_total", f"""WITH {TOK}, am AS (SELECT *, regexp_extract(t, '([0-9]{{1,6}}\\.[0-9]{{2}})\\b', 1) AS value,
+TOTAL = f"""WITH {TOK}, am AS (SELECT *, regexp_extract(t, '([0-9]{{1,6}}\\.[0-9]{{2}})\\b', 1) AS value,
       {any_sql('u', FULL['total'])} AS good, {any_sql('u', FULL['total_negative'])} AS bad,
       coalesce({any_sql('pu', FULL['total'])} AND NOT {any_sql('pu', FULL['total_negative'])}, false) AS pg,
       contains(u, 'GRAND') OR coalesce(contains(pu, 'GRAND'), false) AS gr FROM tk),
   sc AS (SELECT *, CASE WHEN gr THEN 0.95E0 ELSE 0.85E0 END AS confidence FROM am WHERE value <> '' AND NOT bad AND (good OR pg)),
   rk AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY confidence DESC, value::DOUBLE DESC, idx) AS rn FROM sc)
   SELECT document_id, 'total' AS field_name, value, confidence, CASE WHEN pg THEN concat((idx - 1)::VARCHAR, ',', idx::VARCHAR) ELSE idx::VARCHAR END AS token_indices,
-    'keyword_proximity' AS rule FROM rk WHERE rn = 1""")
+    'keyword_proximity' AS rule FROM rk WHERE rn = 1"""
+
+
+@query("extract_total", TOTAL)
 def _(t):
     return flat(X.extract_total(t.receipt_tokens))
 
@@ -64,15 +67,34 @@ def _(t):
     return flat(X.extract_company(t.receipt_tokens))
 
 
-@query("extract_address")
+ADDRESS = f"""ad AS (SELECT document_id, idx, t, {any_sql('upper(t)', X.ADDRESS_STOP)} AS stop, {any_sql('upper(t)', FULL['address_negative'])} AS skip,
+      {any_sql('upper(t)', FULL['location'])}::INT + regexp_matches(t, '\\b[0-9]{{{{5}}}}\\b')::INT AS hits,
+      NOT (contains(upper(t), 'TEL') OR len(regexp_extract_all(t, '[0-9]')) / greatest(1, length(t))::DOUBLE > 0.6) AND length(t) > 3 AS plain FROM tk),
+  hd AS (SELECT ad.*, min(ad.idx) FILTER (stop) OVER (PARTITION BY ad.document_id) AS cut FROM ad LEFT JOIN (SELECT document_id, idx + 1 AS start FROM ck WHERE rn = 1) st USING (document_id)
+    WHERE ad.idx >= coalesce(start, 0) AND ad.idx < coalesce(start, 0) + 18),
+  bg AS (SELECT *, min(idx) FILTER (hits > 0) OVER (PARTITION BY document_id) AS begins FROM hd WHERE (cut IS NULL OR idx < cut) AND NOT skip),
+  pl AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY idx) AS r FROM bg WHERE idx >= begins AND (hits > 0 OR plain)),
+  bk AS (SELECT document_id, sum(hits)::BIGINT AS features, list(t ORDER BY idx) AS parts, list(idx ORDER BY idx) AS ix FROM pl WHERE r <= 6 OR hits > 0 GROUP BY 1),
+  sc AS (SELECT document_id, count(*) AS features, list(t ORDER BY idx) AS parts, list(idx ORDER BY idx) AS ix
+    FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY idx) AS r FROM ad WHERE hits > 0 AND NOT skip) WHERE r <= 3 GROUP BY 1),
+  ab AS (SELECT document_id, coalesce(bk.features, sc.features) AS features, coalesce(bk.parts, sc.parts) AS parts, coalesce(bk.ix, sc.ix) AS ix FROM bk FULL JOIN sc USING (document_id)),
+  ay AS (SELECT document_id, 'address' AS field_name, list_reduce(parts, lambda a, b: concat(a, CASE WHEN ends_with(a, ',') OR ends_with(a, '-') THEN ' '
+      WHEN starts_with(b, ',') THEN '' ELSE ', ' END, b)) AS value, round(least(1.0E0, 0.65E0 + least(0.30E0, features * 0.10E0)), 4) AS confidence,
+    array_to_string(ix, ',') AS token_indices, 'header_address_block' AS rule FROM ab)"""
+
+
+@query("extract_address", f"WITH {TOK}, {COMPANY}, {ADDRESS} SELECT * FROM ay")
 def _(t):
-    """An ordered fold; checked against a plain loop in the tests."""
-    return flat(X.extract_address(t.receipt_tokens, X.extract_company(t.receipt_tokens)))
+    tokens = t.once(t.receipt_tokens, "tokens")
+    return flat(X.extract_address(tokens, X.extract_company(tokens)))
 
 
-@query("extract_fields")
+@query("extract_fields", f"""WITH {TOK}, {COMPANY}, {ADDRESS}, fd AS (WITH {DATE}), ft AS ({TOTAL}),
+  al AS (SELECT document_id, 'company' AS field_name, t AS value, confidence, idx::VARCHAR AS token_indices, 'header_legal_heuristic' AS rule FROM ck WHERE rn = 1
+    UNION ALL SELECT * FROM ay UNION ALL SELECT * FROM fd UNION ALL SELECT * FROM ft) SELECT * FROM al WHERE confidence >= 0.2""")
 def _(t):
-    return flat(X.extract_fields(t.receipt_tokens))
+    """The tokens are written once: every field reads them."""
+    return flat(X.extract_fields(t.once(t.receipt_tokens, "tokens")))
 
 
 @query("candidate_rank", f"""WITH {TOK}, {COMPANY} SELECT document_id, idx, t AS value, confidence, rn AS rank FROM ck""")

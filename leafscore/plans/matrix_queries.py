@@ -11,6 +11,7 @@ from leafscore.operators import stats as X
 from leafscore.operators.layout import spread
 from leafscore.plans.registry import query
 from leafscore.plans.scoring_queries import ENTITY, MATCHES, PRF_COUNTS, harmonic_sql, mean_sql, prf_sql, ratio_sql
+from leafscore.sources.tables import matrix_frames
 
 POLICIES = [1, 2, 3, 4]
 
@@ -288,8 +289,8 @@ def _(t):
 
 
 @query("impact_lists", f"""WITH {DELTAS}, {RECOVERED},
-  a AS (SELECT 'impact' AS kind, condition_id, cer AS value FROM dl WHERE p = 0 AND s > 0 ORDER BY condition_id LIMIT 32),
-  b AS (SELECT 'recovery' AS kind, condition_id, delta_cer AS value FROM rc WHERE p > 0 ORDER BY condition_id LIMIT 50),
+  a AS (SELECT 'impact' AS kind, condition_id, cer AS value FROM dl WHERE p = 0 AND s > 0),
+  b AS (SELECT 'recovery' AS kind, condition_id, delta_cer AS value FROM rc WHERE p > 0),
   u AS (SELECT * FROM a UNION ALL SELECT * FROM b)
   SELECT kind, condition_id, split_part(condition_id, '_', 1) AS degradation, split_part(condition_id, '_', 2)[2:]::INT AS severity,
     value FROM u""")
@@ -299,7 +300,7 @@ def _(t):
 
 
 @query("overview_tracks", f"""WITH {RECOVERED} SELECT track, conditions, evaluations, mean_cer, max_cer, degradations, policies,
-    CASE WHEN track = 'B2' THEN (SELECT min(delta_cer) FROM rc WHERE p > 0) END AS best_delta_cer FROM (
+    CASE WHEN track = 'B2' THEN (SELECT min(delta_cer) FROM rc WHERE p > 0) END AS best_delta_cer, conditions > 0 AS available FROM (
   SELECT CASE WHEN s = 0 THEN 'B0' WHEN p = 0 THEN 'B1' ELSE 'B2' END AS track, count(*) AS conditions,
     sum(n)::BIGINT AS evaluations, {mean_sql('cer')} AS mean_cer, max(cer) AS max_cer, count(DISTINCT d) AS degradations,
     count(DISTINCT p) AS policies FROM {{condition_means}} GROUP BY ALL)""")
@@ -327,6 +328,17 @@ GRID_SQL = f"""c0 AS (SELECT 'none' AS degradation, 0 AS severity, 'none' AS pre
     WHEN preprocessing = 'none' THEN 'B1' ELSE 'B2' END AS baseline_type FROM c0)"""
 
 
+#: The matrix whose conditions documents are put under: a bounded list, known without reading a table.
+MATRIX = {"matrix": {"severities": [1, 2, 3, 4], "preprocessing_pipelines": {
+    "p_minimal_cleanup": {}, "p_contrast_enhancement": {}, "p_standard_receipt_enhancement": {}, "p_aggressive_binarization": {}}}}
+
+
+def configured(t, preprocessing: bool = True):
+    """Conditions of the configured matrix; without ``preprocessing`` the control and the degradations alone."""
+    degradations, severities, pipelines = matrix_frames(t.spark, MATRIX)
+    return M.condition_matrix(degradations, severities, pipelines if preprocessing else pipelines.limit(0))
+
+
 def _matrix(t):
     named = t.named_conditions
     return M.condition_matrix(named.select("degradation"), named.select("s"), named.select("preprocessing"))
@@ -342,7 +354,7 @@ def _(t):
   FROM {{documents}} CROSS JOIN cm""")
 def _(t):
     docs = t.documents.select(F.col("doc_id").alias("document_id"))
-    return M.matrix_expand(docs, _matrix(t)).select("document_id", "condition_id", "derived_seed")
+    return M.matrix_expand(docs, configured(t)).select("document_id", "condition_id", "derived_seed")
 
 
 @query("condition_id", f"SELECT {CID} AS id, degradation, severity, preprocessing FROM (SELECT *, s AS severity FROM {{named_conditions}})")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from leafscore.plans import views
+from leafscore.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +25,21 @@ class Tables:
             raise AttributeError(name)
         return views.load(self.spark, self.sf_dir, name)
 
+    def once(self, rows: DataFrame, label: str) -> DataFrame:
+        """The rows written to the shared folder and read back: for frames that are dear to derive and read often."""
+        path = shared_dir(self.spark, label)
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+
+#: White space of every kind, as the operators strip it.
+SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+
+
+def strip_sql(x: str) -> str:
+    """DuckDB SQL for ``strip``."""
+    return f"regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+
 
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under a name, with DuckDB SQL over ``{table}``/``{view}`` names."""

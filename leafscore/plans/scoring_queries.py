@@ -8,7 +8,7 @@ from leafscore.functions import distance as D
 from leafscore.functions.text import normalize_amount, normalize_field_text, normalize_text
 from leafscore.operators import scoring as S
 from leafscore.operators.layout import spread
-from leafscore.plans.registry import query
+from leafscore.plans.registry import SPACE, query, strip_sql
 
 # DuckDB forms of the normalizers, for ASCII field values.
 EDGE = """' ''"`:,.;#~!?*[](){}'"""
@@ -24,7 +24,7 @@ def field_text_sql(x: str) -> str:
 
 
 def amount_sql(x: str) -> str:
-    s = f"regexp_replace(regexp_replace(trim({x}), '^(RM|MYR|[$]|\\s)+', '', 'i'), '(RM|MYR|[$]|\\s)+$', '', 'i')"
+    s = f"regexp_replace(regexp_replace({strip_sql(x)}, '^(RM|MYR|[$]|{SPACE})+', '', 'i'), '(RM|MYR|[$]|{SPACE})+$', '', 'i')"
     whole = f"regexp_extract({s}, '(\\d+)(\\.(\\d+))?', 1)"
     cents = f"regexp_extract({s}, '(\\d+)(\\.(\\d+))?', 3)"
     return f"CASE WHEN {whole} = '' THEN lower({s}) ELSE concat({whole}, '.', rpad({cents}, 2, '0')) END"
@@ -43,12 +43,20 @@ def similarity_sql(dist: str, plen: str, glen: str) -> str:
             f"ELSE greatest(0.0E0, 1 - {dist} / greatest({glen}, {plen})::DOUBLE) END")
 
 
-WORDS = "CASE WHEN trim({0}) = '' THEN []::VARCHAR[] ELSE regexp_split_to_array(trim({0}), '\\s+') END"
+def words_sql(x: str) -> str:
+    return f"CASE WHEN {strip_sql(x)} = '' THEN []::VARCHAR[] ELSE regexp_split_to_array({strip_sql(x)}, '{SPACE}+') END"
+
+
+def folded(x: str) -> str:
+    """DuckDB's distance counts bytes: other characters become one byte that the data does not hold."""
+    return f"regexp_replace({x}, '[^\\x01-\\x7e]', '~', 'g')"
+
+
 MATCHES = f"""
 WITH m AS (SELECT document_id, field_name, pred AS pr, gt AS gr, {field_sql('field_name', 'pred')} AS pn,
     {field_sql('field_name', 'gt')} AS gn FROM {{kie_pairs}}),
  f AS (SELECT document_id, field_name, pr, gr, pn, gn, pr = gr AS mr, pn = gn AS mn,
-    trim(pr) <> '' AS hpr, trim(gr) <> '' AS hgr, trim(pn) <> '' AS hpn, trim(gn) <> '' AS hgn FROM m)"""
+    {strip_sql('pr')} <> '' AS hpr, {strip_sql('gr')} <> '' AS hgr, {strip_sql('pn')} <> '' AS hpn, {strip_sql('gn')} <> '' AS hgn FROM m)"""
 
 PRF_COUNTS = """
     count(*) FILTER (hpr AND hgr AND mr) AS tp_raw, count(*) FILTER (hpr AND NOT (hgr AND mr)) AS fp_raw,
@@ -105,14 +113,14 @@ def _(t):
 
 
 @query("cer", f"""SELECT document_id, field_name,
-    {error_rate_sql('levenshtein(pred, gt)', 'length(pred)', 'length(gt)')} AS cer FROM {{kie_pairs}}""")
+    {error_rate_sql(f"levenshtein({folded('pred')}, {folded('gt')})", 'length(pred)', 'length(gt)')} AS cer FROM {{kie_pairs}}""")
 def _(t):
     return t.kie_pairs.select(
         "document_id", "field_name", D.cer(F.col("pred"), F.col("gt"), long_texts=False).alias("cer"))
 
 
 @query("char_ned", f"""SELECT document_id, field_name,
-    {similarity_sql('levenshtein(pred, gt)', 'length(pred)', 'length(gt)')} AS char_ned FROM {{kie_pairs}}""")
+    {similarity_sql(f"levenshtein({folded('pred')}, {folded('gt')})", 'length(pred)', 'length(gt)')} AS char_ned FROM {{kie_pairs}}""")
 def _(t):
     return t.kie_pairs.select(
         "document_id", "field_name", D.char_ned(F.col("pred"), F.col("gt"), long_texts=False).alias("char_ned"))
@@ -121,7 +129,7 @@ def _(t):
 _CODES = "array_to_string(list_transform({w}, lambda x: chr((40 + list_position(dict, x))::INT)), '')"
 
 
-@query("wer", f"""WITH w AS (SELECT document_id, field_name, {WORDS.format('pred')} AS wp, {WORDS.format('gt')} AS wg
+@query("wer", f"""WITH w AS (SELECT document_id, field_name, {words_sql('pred')} AS wp, {words_sql('gt')} AS wg
     FROM {{kie_pairs}}), c AS (SELECT *, list_concat(wp, wg) AS dict FROM w)
     SELECT document_id, field_name, {error_rate_sql(
         f"levenshtein({_CODES.format(w='wp')}, {_CODES.format(w='wg')})", 'len(wp)', 'len(wg)')} AS wer FROM c""")

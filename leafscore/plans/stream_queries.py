@@ -13,7 +13,7 @@ from leafscore.session import shared_dir
 from leafscore.sources import runs
 from leafscore.streaming import kpis as K
 from leafscore.streaming import lifecycle as L
-from leafscore.streaming.run import run_available
+from leafscore.streaming.run import run_available, with_open_windows
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 DELAY = "1 day"
@@ -35,13 +35,13 @@ def _naive(df):
 
 DAILY = """SELECT date_trunc('day', created_at) AS window_start, date_trunc('day', created_at) + INTERVAL 1 DAY AS window_end, action, count(*) AS events
   FROM {audit_events} GROUP BY 1, 2, 3"""
-CLOSED = "date_trunc('milliseconds', (SELECT max(created_at) FROM {audit_events}) - INTERVAL 1 DAY)"
 
 
-@query("stream_daily_kpis", f"SELECT * FROM ({DAILY}) WHERE window_end <= {CLOSED}")
+@query("stream_daily_kpis", DAILY)
 def _(t):
-    """Windows still open at the final watermark are held back, as in any append-mode stream."""
-    return _naive(run_available(K.daily_kpis(_stream(t), DELAY), "daily"))
+    """Append mode holds windows back that are open at the final watermark; the input has ended, so they follow."""
+    closed = run_available(K.daily_kpis(_stream(t), DELAY), "daily")
+    return _naive(with_open_windows(closed, K.daily_kpis(_batch(t)), ["window_start", "action"]))
 
 
 @query("batch_daily_kpis", DAILY)
@@ -63,12 +63,12 @@ def share(n: str) -> str:
 SLIDING = f"""WITH c AS (SELECT created_at, field_name, date_trunc('day', created_at) AS d FROM {{audit_events}} WHERE action = 'field_corrected'),
   w AS (SELECT d - k * INTERVAL 1 DAY AS window_start, d - k * INTERVAL 1 DAY + INTERVAL 7 DAY AS window_end, field_name FROM c CROSS JOIN (SELECT unnest(range(7)) AS k))
   SELECT window_start, window_end, count(*) AS corrections, {share('total')}, {share('company')}, {share('date')}, {share('address')} FROM w"""
-CORRECTED_CLOSED = "date_trunc('milliseconds', (SELECT max(created_at) FROM {audit_events} WHERE action = 'field_corrected') - INTERVAL 1 DAY)"
 
 
-@query("stream_correction_rate", f"{SLIDING} WHERE window_end <= {CORRECTED_CLOSED} GROUP BY 1, 2")
+@query("stream_correction_rate", f"{SLIDING} GROUP BY 1, 2")
 def _(t):
-    return _naive(run_available(K.correction_rate(_stream(t), DELAY), "rate"))
+    closed = run_available(K.correction_rate(_stream(t), DELAY), "rate")
+    return _naive(with_open_windows(closed, K.correction_rate(_batch(t)), ["window_start"]))
 
 
 @query("batch_correction_rate", f"{SLIDING} GROUP BY 1, 2")
@@ -80,12 +80,12 @@ SESSIONS = """(WITH r AS (SELECT document_id, created_at, event_id FROM {audit_e
   g AS (SELECT *, (created_at - lag(created_at) OVER w >= INTERVAL 6 HOUR)::INT AS cut FROM r WINDOW w AS (PARTITION BY document_id ORDER BY created_at, event_id)),
   s AS (SELECT *, sum(coalesce(cut, 0)) OVER (PARTITION BY document_id ORDER BY created_at, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM g)
   SELECT document_id, min(created_at) AS session_start, max(created_at) + INTERVAL 6 HOUR AS session_end, count(*) AS events FROM s GROUP BY document_id, sid)"""
-REVIEW_CLOSED = "date_trunc('milliseconds', (SELECT max(created_at) FROM {audit_events} WHERE action IN ('field_corrected', 'review_completed')) - INTERVAL 1 DAY)"
 
 
-@query("stream_review_sessions", f"SELECT * FROM {SESSIONS} WHERE session_end <= {REVIEW_CLOSED}")
+@query("stream_review_sessions", f"SELECT * FROM {SESSIONS}")
 def _(t):
-    return _naive(run_available(K.review_sessions(_stream(t), DELAY), "sessions"))
+    closed = run_available(K.review_sessions(_stream(t), DELAY), "sessions")
+    return _naive(with_open_windows(closed, K.review_sessions(_batch(t)), ["document_id", "session_start"]))
 
 
 @query("batch_review_sessions", f"SELECT * FROM {SESSIONS}")
@@ -168,3 +168,46 @@ def _(t):
     docs = t.documents.agg(F.count("*").alias("_n"))
     return conditions.groupBy("baseline_type").agg(F.count("*").alias("conditions")).crossJoin(docs).select(
         "baseline_type", "conditions", (F.col("conditions") * F.col("_n")).alias("evaluations"))
+
+
+@query("write_run_records", "SELECT condition_id, document_id::VARCHAR AS document_id, s AS severity, status, cer FROM {run_records}")
+def _(t):
+    """Every written record read back as plain rows of the partitioned JSON table."""
+    path = shared_dir(t.spark, "written-records")
+    rows = t.run_records.select("condition_id", F.col("document_id").cast("string").alias("document_id"), F.col("s").alias("severity"), "status", "cer")
+    runs.write_run_records(rows, path)
+    return t.spark.read.schema("condition_id string, document_id string, severity int, status string, cer double").json(path)
+
+
+@query("write_summary", """SELECT condition_id, requested, failed, status FROM (SELECT condition_id, requested, requested - successful AS failed,
+    CASE WHEN successful = 0 THEN 'ALL_FAILED' WHEN requested > successful THEN 'PARTIAL_FAILURE' ELSE 'SUCCESS' END AS status
+  FROM (SELECT condition_id, count(*) AS requested, count(*) FILTER (status = 'success') AS successful FROM {run_records} GROUP BY 1))""")
+def _(t):
+    """The written document parsed as text, apart from the reader."""
+    path = shared_dir(t.spark, "written-summary")
+    runs.write_summary(X.condition_counts(t.run_records).select("condition_id", "requested", "failed", "status"), path, experiment_id="matrix")
+    body = F.from_json("value", "struct<conditions: map<string, struct<requested: long, failed: long, status: string>>>")
+    return t.spark.read.text(path).select(F.explode(body["conditions"]).alias("condition_id", "c")).select("condition_id", "c.*")
+
+
+@query("write_condition_csv", "SELECT condition_id, degradation, s AS severity, n AS sample_size, cer, wer FROM {named_conditions}")
+def _(t):
+    path = shared_dir(t.spark, "written-csv")
+    runs.write_condition_csv(t.named_conditions.select("condition_id", "degradation", F.col("s").alias("severity"), F.col("n").alias("sample_size"), "cer", "wer"), path)
+    return t.spark.read.schema("condition_id string, degradation string, severity int, sample_size bigint, cer double, wer double").option("header", "true").csv(path)
+
+
+@query("read_ops_tables", """SELECT d.document_id, d.status, coalesce(f.fields, 0) AS fields, coalesce(a.events, 0) AS events FROM {doc_lifecycle} d
+  LEFT JOIN (SELECT document_id, count(*) AS fields FROM {extracted_fields} GROUP BY 1) f ON d.document_id = f.document_id
+  LEFT JOIN (SELECT document_id, count(*) AS events FROM {audit_events} GROUP BY 1) a ON d.document_id = a.document_id""")
+def _(t):
+    """The operational tables as an export leaves them: one parquet table each, read by name."""
+    from leafscore.sources.tables import read_ops_tables
+
+    folder = shared_dir(t.spark, "ops")
+    for name, rows in {"documents": t.doc_lifecycle, "extracted_fields": t.extracted_fields, "audit_events": t.audit_events}.items():
+        rows.write.parquet(f"{folder}/{name}.parquet")
+    tables = read_ops_tables(t.spark, folder, ("documents", "extracted_fields", "audit_events"))
+    count = lambda name, as_: tables[name].groupBy("document_id").agg(F.count("*").alias(as_))
+    out = tables["documents"].select("document_id", "status").join(count("extracted_fields", "fields"), "document_id", "left")
+    return out.join(count("audit_events", "events"), "document_id", "left").na.fill(0, ["fields", "events"])

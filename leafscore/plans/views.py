@@ -67,15 +67,17 @@ SELECT event_id, event_id % 3000 AS document_id,
 FROM {events}""",
     "extracted_fields": """
 SELECT l_orderkey AS document_id,
-  CASE l_linenumber WHEN 1 THEN 'company' WHEN 2 THEN 'date' WHEN 3 THEN 'address' ELSE 'total' END AS field_name,
+  CASE l_linenumber WHEN 1 THEN 'company' WHEN 2 THEN 'date' WHEN 3 THEN 'address' WHEN 4 THEN 'total'
+    WHEN 5 THEN 'tax' WHEN 6 THEN 'cashier' ELSE 'unknown' END AS field_name,
   CAST(l_partkey AS STRING) AS value,
   CASE WHEN l_returnflag = 'R' THEN CAST(l_partkey + l_suppkey % 2 AS STRING) END AS corrected_value,
   CASE WHEN l_partkey % 40 = 0 THEN NULL ELSE (l_partkey * 31 + l_suppkey * 7 + l_linenumber) % 101 / 100.0E0 END
     AS confidence
-FROM {lineitem} WHERE l_linenumber <= 4""",
+FROM {lineitem}""",
     "kie_pairs": """
 SELECT document_id, field_name,
-  CASE WHEN (document_id + f) % 9 = 0 THEN '' WHEN (document_id + f) % 5 = 0 THEN concat('x', gt)
+  CASE WHEN (document_id + f) % 9 = 0 THEN '' WHEN (document_id + f) % 37 = 0 THEN concat(chr(9), chr(10))
+       WHEN (document_id + f) % 41 = 0 THEN concat(chr(160), gt, chr(9)) WHEN (document_id + f) % 5 = 0 THEN concat('x', gt)
        WHEN (document_id + f) % 4 = 0 THEN
          CASE WHEN field_name = 'total' THEN concat('RM ', gt) ELSE concat(' "', upper(gt), '",') END
        ELSE gt END AS pred, gt
@@ -84,7 +86,7 @@ FROM (SELECT o_orderkey AS document_id, f,
     CASE f WHEN 0 THEN c_name
       WHEN 1 THEN concat(lpad(CAST(day(o_orderdate) AS STRING), 2, '0'), '/',
         lpad(CAST(month(o_orderdate) AS STRING), 2, '0'), '/', CAST(year(o_orderdate) AS STRING))
-      WHEN 2 THEN CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE concat('JALAN ', CAST(o_custkey AS STRING), ', ', n_name) END
+      WHEN 2 THEN CASE WHEN o_orderkey % 13 = 0 THEN '' WHEN o_orderkey % 29 = 0 THEN chr(160) ELSE concat('JALAN ', CAST(o_custkey AS STRING), ', ', n_name) END
       ELSE CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS STRING) END AS gt
   FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey
   CROSS JOIN (SELECT 0 AS f UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) ff) t""",
@@ -108,13 +110,13 @@ SELECT document_id, idx, text, idx % 3 * 40.0E0 AS x_min, (6 - idx) * 12.0E0 + d
   CASE WHEN (document_id + idx) % 19 = 0 THEN NULL WHEN (document_id + idx) % 23 = 0 THEN 'n/a'
        ELSE CAST((document_id * 13 + idx * 29) % 101 / 100.0E0 AS STRING) END AS confidence
 FROM {receipt_tokens}""",
-    # Whole documents: every character outside printable ASCII is folded to one '?', so lengths are kept.
+    # Whole documents with their lines: every character outside ASCII is folded to one '?', so lengths are kept.
     "ocr_pairs": """
 SELECT doc_id AS document_id, gt,
   CASE WHEN doc_id % 10 = 0 THEN gt WHEN doc_id % 10 = 1 THEN ''
        WHEN doc_id % 10 < 6 THEN replace(replace(gt, 'e', 'c'), 'l', '1')
        ELSE replace(gt, 'th', '') END AS pred
-FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', '?'{g}) AS gt FROM {documents}) t""",
+FROM (SELECT doc_id, regexp_replace(text, '[^ -~\n\t]', '?'{g}) AS gt FROM {documents}) t""",
     "quality_measures": """
 SELECT p_partkey AS document_id, (p_partkey * 37 % 2500) / 10.0E0 AS blur_score,
   (p_partkey * 13 % 700) / 10.0E0 AS contrast_score, (p_partkey * 7 % 300) / 10.0E0 AS noise_score,
@@ -176,10 +178,10 @@ SELECT event_id AS job_id, event_id % 3000 AS document_id,
 FROM {events}""",
     # Field values as an operator sees them in review: recognized value, optional correction, confidence.
     "review_fields": """
-SELECT document_id, field_name, pred AS value,
+SELECT document_id, field_name, CASE WHEN (document_id * 7 + length(field_name)) % 29 <> 0 THEN pred END AS value,
   CASE WHEN (document_id + length(field_name)) % 6 = 0 THEN gt END AS corrected_value,
   0.7E0 + (document_id * 31 + length(field_name) * 17) % 31 / 100.0E0 AS confidence
-FROM {kie_pairs} WHERE (document_id * 7 + length(field_name)) % 29 <> 0""",
+FROM {kie_pairs}""",
     "corpus_files": """
 SELECT split, kind, stem, CASE WHEN doc_id % 211 = 7 THEN 0 ELSE n_chars END AS size FROM (
   SELECT doc_id, n_chars, concat('doc', CAST(doc_id AS STRING)) AS stem,
@@ -216,7 +218,7 @@ SELECT doc_id AS document_id, gt AS text_a,
   CASE WHEN doc_id % 3 = 0 THEN replace(gt, 'the', 'tho') WHEN doc_id % 7 = 0 THEN concat(gt, ' x') ELSE gt END AS text_b,
   doc_id % 20 AS tokens_a, doc_id % 20 + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS tokens_b,
   200.0E0 + doc_id * 37 % 400 AS ms_a, 60.0E0 + doc_id * 53 % 150 AS ms_b
-FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', '?'{g}) AS gt FROM {documents}) t""",
+FROM (SELECT doc_id, regexp_replace(text, '[^ -~\n\t]', '?'{g}) AS gt FROM {documents}) t""",
     "run_fields": """
 SELECT document_id, field_name, gt AS value_a, CASE WHEN document_id % 8 = 0 THEN pred ELSE gt END AS value_b
 FROM {kie_pairs}""",

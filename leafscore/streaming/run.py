@@ -7,14 +7,15 @@ from pyspark.sql import DataFrame
 from leafscore.session import shared_dir
 
 
-def run_available(stream: DataFrame, label: str, output_mode: str = "append") -> DataFrame:
-    """Write a stream to a parquet sink with its checkpoint in the shared folder, until no input is left.
+def run_available(stream: DataFrame, label: str, output_mode: str = "append", location: str | None = None) -> DataFrame:
+    """Write a stream to a parquet sink with its checkpoint in a shared folder, until no input is left.
 
-    The file sink commits each micro-batch once, so a restart after losing executors or the driver neither repeats
-    nor drops rows.
+    The file sink commits each micro-batch once. A job that is to be resumed names a stable ``location``: a later
+    call with it goes on where the last one stopped and neither repeats nor drops rows. Without one, every call
+    starts afresh in a folder of its own.
     """
     spark = stream.sparkSession
-    base = shared_dir(spark, label)
+    base = location or shared_dir(spark, label)
     query = (
         stream.writeStream.format("parquet")
         .outputMode(output_mode)
@@ -24,3 +25,11 @@ def run_available(stream: DataFrame, label: str, output_mode: str = "append") ->
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+
+
+def with_open_windows(closed: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """What a windowed stream has delivered plus the windows still open at its last watermark, from the batch twin.
+
+    Call it when the input has ended: append mode holds those windows back until later events close them.
+    """
+    return closed.unionByName(batch.join(closed.select(*keys), keys, "left_anti"))

@@ -116,3 +116,13 @@ def test_long_word_guard(spark):
     assert rows.select(D.word_distance(F.col("a"), F.col("b"))).first()[0] == 1500
     with pytest.raises(Exception, match="long_texts"):
         rows.select(D.word_distance(F.col("a"), F.col("b"), long_texts=False)).collect()
+
+
+def test_rows_with_very_many_words_take_the_long_form(spark):
+    """More distinct words than the dictionary alphabet: exact, in the same column as short rows."""
+    many = [f"w{i}" for i in range(3000)]
+    other = many[:1000] + ["x"] + many[1200:]
+    rows = [(" ".join(many), " ".join(other)), ("a b", "a c"), ("a", "a"), (None, "a"), ("w " * 3000, "w " * 2999)]
+    got = [r[0] for r in spark.createDataFrame(rows, "a string, b string").select(
+        D.word_distance(F.col("a"), F.col("b"), long_texts=False)).collect()]
+    assert got == [200, 1, 0, None, 1]

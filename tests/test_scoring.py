@@ -56,3 +56,19 @@ def test_single_row_group_has_no_deviation(spark):
     rows = spark.createDataFrame([("a", "success", 0.25)], "condition_id string, status string, cer double")
     r = X.condition_text_stats(rows, ["cer"]).first()
     assert (r["cer_mean"], r["cer_median"], r["cer_std"]) == (0.25, 0.25, 0.0)
+
+
+def test_any_white_space_is_blank(spark):
+    """Tabs, line ends and no-break spaces alone are neither a prediction nor a reference."""
+    rows = [(1, "company", "\t\n", "x"), (2, "company", "x", "\u00a0"), (3, "date", "\x1f", "\u00a0"), (4, "date", "a", "a")]
+    matches = S.field_matches(spark.createDataFrame(rows, "document_id int, field_name string, pred string, gt string"))
+    got = {r.document_id: (r.has_pred_raw, r.has_gt_raw, r.has_pred_normalized, r.has_gt_normalized) for r in matches.collect()}
+    assert got == {1: (False, True, False, True), 2: (True, False, True, False), 3: (False,) * 4, 4: (True,) * 4}
+    prf = {r.field_name: (r.precision_raw, r.recall_raw) for r in S.field_prf(matches).collect()}
+    assert prf == {"company": (0.0, 0.0), "date": (1.0, 1.0)}
+
+
+def test_words_shared_by_raw_and_normalized_texts_are_measured_once_and_right(spark):
+    rows = [("a  b\nc", "a b d"), ("x\u200by z", "xy z"), ("e\u0301 b", "\u00e9 b"), ("", "a"), (None, None)]
+    got = S.score_text(spark.createDataFrame(rows, "pred string, gt string")).select("wer_raw", "wer_normalized").collect()
+    assert [tuple(r) for r in got] == [(0.3333, 0.3333), (0.5, 0.0), (0.5, 0.0), (1.0, 1.0), (0.0, 0.0)]

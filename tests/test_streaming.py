@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from leafscore.streaming import kpis as K
 from leafscore.streaming import lifecycle as L
-from leafscore.streaming.run import run_available
+from leafscore.streaming.run import run_available, with_open_windows
 
 SCHEMA = "event_id bigint, document_id bigint, action string, field_name string, created_at timestamp"
 ACTIONS = ["document_uploaded", "decision_evaluated", "field_corrected", "review_completed", "processing_failed"]
@@ -94,3 +94,30 @@ def test_shared_folder_comes_from_the_session(tmp_path):
     assert shared_dir(Named("/shared"), "x").startswith("/shared/x-")
     with pytest.raises(ValueError, match="checkpoint"):
         shared_dir(Named(None), "x")
+
+
+def test_a_stopped_stream_resumes_without_repeats_or_gaps(spark, tmp_path):
+    """The same location goes on after the first run; a new one starts afresh."""
+    folder, location = str(tmp_path / "audit"), str(tmp_path / "sink")
+
+    def add(part):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+
+    def run(**where):
+        rows_ = K.dedup(spark.readStream.schema(SCHEMA).parquet(folder), "60 days")
+        return sorted(r.event_id for r in run_available(rows_, "t", **where).collect())
+
+    add(rows()[:150])
+    assert run(location=location) == list(range(150))
+    add(rows()[100:300])
+    assert run(location=location) == list(range(300))
+    assert run(location=location) == list(range(300))
+    assert run() == list(range(300))
+
+
+def test_open_windows_follow_when_the_input_ends(spark):
+    batch_ = spark.createDataFrame(rows(), SCHEMA)
+    whole = K.daily_kpis(batch_)
+    last = whole.agg(F.max("window_end")).first()[0]
+    closed = whole.where(F.col("window_end") < last)
+    assert sorted(map(tuple, with_open_windows(closed, whole, ["window_start", "action"]).collect())) == sorted(map(tuple, whole.collect()))
