@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,27 +41,42 @@ def advance(state: tuple, action: str, millis: float) -> tuple[tuple, float | No
     return (name, retries, corrections, opened), wait, False
 
 
-def _update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    current = tuple(state.get) if state.exists else ("", 0, 0, -1.0)
-    frames = [b for b in batches]
-    if not frames:
-        return
-    rows = pd.concat(frames).sort_values(["created_at", "event_id"])
-    out = []
-    for event_id, action, when in zip(rows["event_id"], rows["action"], rows["created_at"]):
-        current, wait, late = advance(current, action, when.value / 1e6)
-        out.append((key[0], event_id, action, current[0], current[1], current[2], wait, late))
-    state.update(current)
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
-
-
-def lifecycle(events: DataFrame) -> DataFrame:
+def _updater(keep_ms: int | None):
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        current = tuple(state.get) if state.exists else ("", 0, 0, -1.0)
+        frames = [b for b in batches]
+        if not frames:
+            return
+        rows = pd.concat(frames).sort_values(["created_at", "event_id"])
+        out = []
+        for event_id, action, when in zip(rows["event_id"], rows["action"], rows["created_at"]):
+            current, wait, late = advance(current, action, when.value / 1e6)
+            out.append((key[0], event_id, action, current[0], current[1], current[2], wait, late))
+        state.update(current)
+        if keep_ms is not None:
+            last = int(rows["created_at"].iloc[-1].value // 1_000_000)
+            state.setTimeoutTimestamp(max(last + keep_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+
+    return update
+
+
+def lifecycle(events: DataFrame, keep: timedelta | None = None, delay: str = "1 day") -> DataFrame:
     """Every event with the state it led to. Works on a stream; state per document is four values.
 
-    Within a micro-batch a document's events are applied in time order; across batches in arrival order.
+    Within a micro-batch a document's events are applied in time order; across batches in arrival order. With ``keep``
+    a document's state expires once the watermark (``delay`` behind the latest event) is that much past its last
+    event, so state does not grow with all documents ever seen; a later event starts the document anew.
     """
     rows = events.select("document_id", "event_id", "action", "created_at")
-    return rows.groupBy("document_id").applyInPandasWithState(_update, OUTPUT, STATE, "append", "NoTimeout")
+    if keep is None:
+        return rows.groupBy("document_id").applyInPandasWithState(_updater(None), OUTPUT, STATE, "append", "NoTimeout")
+    rows = rows.withWatermark("created_at", delay)
+    update = _updater(int(keep.total_seconds() * 1000))
+    return rows.groupBy("document_id").applyInPandasWithState(update, OUTPUT, STATE, "append", "EventTimeTimeout")
 
 
 def lifecycle_batch(events: DataFrame) -> DataFrame:

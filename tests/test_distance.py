@@ -110,13 +110,6 @@ def test_run_compare(spark):
     assert one["exact_text_match_rate"] == 0.5 and one["token_count_diff_sum"] == 2
 
 
-def test_long_word_guard(spark):
-    a, b = " ".join(f"w{i}" for i in range(1500)), " ".join(f"v{i}" for i in range(1500))
-    rows = spark.createDataFrame([(a, b)], "a string, b string")
-    assert rows.select(D.word_distance(F.col("a"), F.col("b"))).first()[0] == 1500
-    with pytest.raises(Exception, match="long_texts"):
-        rows.select(D.word_distance(F.col("a"), F.col("b"), long_texts=False)).collect()
-
 
 def test_rows_with_very_many_words_take_the_long_form(spark):
     """More distinct words than the dictionary alphabet: exact, in the same column as short rows."""

@@ -121,3 +121,24 @@ def test_open_windows_follow_when_the_input_ends(spark):
     last = whole.agg(F.max("window_end")).first()[0]
     closed = whole.where(F.col("window_end") < last)
     assert sorted(map(tuple, with_open_windows(closed, whole, ["window_start", "action"]).collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_lifecycle_state_expires(spark, tmp_path):
+    """Day files: document 1 returns long after its state has expired and starts anew; document 2 stays in time."""
+    start = datetime(2024, 1, 1)
+    days = [
+        [(1, 1, "review_completed", None, start), (2, 2, "field_corrected", None, start)],
+        [(3, 2, "field_corrected", None, start + timedelta(days=2))],
+        [(4, 3, "document_uploaded", None, start + timedelta(days=30)), (5, 2, "field_corrected", None, start + timedelta(days=30))],
+        [(6, 3, "decision_evaluated", None, start + timedelta(days=31))],
+        [(7, 1, "field_corrected", None, start + timedelta(days=60)), (8, 3, "field_corrected", None, start + timedelta(days=32))],
+    ]
+    folder = str(tmp_path / "events")
+    for part in days:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    files = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+    got = {r.event_id: (r.state, r.corrections, r.late) for r in run_available(L.lifecycle(files, timedelta(days=10)), "t").collect()}
+    assert got[3] == ("corrected", 2, False) and got[8] == ("corrected", 1, False)
+    assert got[7] == ("corrected", 1, False)  # the completed state of document 1 is gone
+    kept = {r.event_id: (r.state, r.late) for r in run_available(L.lifecycle(files), "t").collect()}
+    assert kept[7] == ("completed", True)
