@@ -6,6 +6,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,11 +83,11 @@ def fit_language(
     sample = usable.select("doc_id", "lang", "text", drawn.alias("draw")).join(
         F.broadcast(rates.select(F.col("lang").alias("of"), "n")),  # at most max_languages rows
         (F.col("lang") == F.col("of")) & (F.col("draw") < sample_per_language / F.col("n")),
-    ).select("lang", "draw", F.lower("text").alias("text"))
+    ).select("lang", "draw", "text")
 
     def work():
         def one(part: pa.RecordBatch) -> list:
-            bits = np.packbits(presence(texts_of(part.column("text"))) > 0, axis=1)
+            bits = np.packbits(presence(texts_of(pc.utf8_lower(part.column("text")))) > 0, axis=1)
             return [pa.array([r.tobytes() for r in bits], pa.binary())]
         return one
 
@@ -104,15 +105,15 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
-    """``docs``' columns ``keep`` plus ``lang_pred`` and ``score`` of every whole text, read from ``text`` alone.
+def identify(docs: DataFrame, model: LanguageModel, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs``' columns ``keep`` plus the language and score of every whole text, read from ``text`` alone.
 
     Kernels against the landmarks are products of presence matrices of up to 256 texts. The score is the winning
     regression value, from -1 and 1 brought to 0 and 1. Null texts, texts without a letter, and every text if the
     model knows no language, get ``und`` and score 0. Repeated rows get equal results; a tie goes to the first
     language by name.
     """
-    names = np.array([*model.names, UNDETERMINED], dtype=object)
+    found_names = np.array([*model.names, UNDETERMINED], dtype=object)
 
     def work():
         def one(part: pa.RecordBatch) -> list:
@@ -120,14 +121,16 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFram
             best = np.full(part.num_rows, len(model.names))
             score = np.zeros(part.num_rows)
             for at in range(0, part.num_rows if model.names else 0, BLOCK):
-                x = presence(texts_of(part.column("text").slice(at, BLOCK)))
+                x = presence(texts_of(pc.utf8_lower(part.column("text").slice(at, BLOCK))))
                 value = (x @ model.landmarks.T) @ model.weights
                 best[at: at + BLOCK] = value.argmax(1)
                 score[at: at + BLOCK] = np.clip((value.max(1) + 1) / 2, 0, 1)
             best[~letters], score[~letters] = len(model.names), 0
-            return [pa.array(names[best], pa.string()), score]
+            return [pa.array(found_names[best], pa.string()), score]
         return one
 
-    ready = docs.select(F.struct(*keep).alias("kept"), has_letter(F.col("text")).alias("letters"), F.lower("text").alias("text"))
-    found = map_slices(ready, ["kept", "letters"], "lang_pred string, score double", work)
-    return found.select(*[F.col("kept")[k].alias(k) for k in keep], "lang_pred", "score")
+    others = [k for k in keep if k != "text"]  # the text travels once
+    ready = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("kept"), has_letter(F.col("text")).alias("letters"), "text")
+    found = map_slices(ready, ["kept", "letters", *(["text"] if "text" in keep else [])], "language string, value double", work)
+    return found.select(
+        *["text" if k == "text" else F.col("kept")[k].alias(k) for k in keep], F.col("language").alias(names[0]), F.col("value").alias(names[1]))
