@@ -20,9 +20,9 @@ LEAST_LANGUAGE_SCORE = 0.25
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents in one of the languages that the documents themselves are labelled with."""
     model = language.fit_language(docs)
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    found = language.identify(rows, model, ["row"])
-    return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
+    found = language.identify(docs, model, docs.columns, names=("_language", "_language_score"))
+    kept = (F.col("_language") != language.UNDETERMINED) & (F.col("_language_score") >= LEAST_LANGUAGE_SCORE)
+    return found.where(kept).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
