@@ -1,13 +1,19 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-A context of one or more preceding words becomes a state if it is frequent enough and if the distribution of what
-follows it diverges enough from that of its longest kept suffix. A token is scored by the longest suffix of its
-history that is a state.
+A context of one or more preceding words becomes a state if the distribution of what follows it diverges enough from
+that of its longest kept suffix. A token is scored by the longest suffix of its history that is a state.
+
+Which contexts and continuations are kept depends on absolute counts, so what the tree gathers grows with the corpus.
+It is held as written tables. A score is a sum of one value per run of words in the text: the log ratio of a kept
+continuation to its suffix's probability, and the back-off weight of a state. So the tables are looked up by one key.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -16,30 +22,65 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafscore.llm.common import stored
-from leafscore.llm.words import Texts, Words, map_slices, ngrams, slices, texts_of, words_of
+from leafscore.llm.words import Texts, Words, map_slices, mix64, slices, texts_of, words_of
 
 #: Hash that stands for the end of a text.
 END = np.uint64(0x5851F42D4C957F2D)
+#: Bits of the filters that tell which runs of words cannot be in a table; fuller filters only let more through.
+FILTER_BITS = 27
 
 
 class Level(NamedTuple):
-    """States of one context length: hashes in order, log10 of the back-off weights, and their (state, word) entries."""
+    """States of one context length: hashes in order and log10 of the back-off weights."""
 
     states: np.ndarray
     backoff: np.ndarray
-    entries: np.ndarray
-    logp: np.ndarray
 
 
-class SuffixModel(NamedTuple):
-    """Totals, the discount, the frequent words with their counts (the end of a text among them), and the levels."""
+@dataclass
+class SuffixModel:
+    """Totals, the discount of the root, and the written tree.
+
+    ``table`` has one row per word of the corpus and per run of words with a value: ``key``, ``n`` (how often it is a
+    word), ``seen``, ``delta`` (log10 of its probability over its suffix's, less the back-off weight), ``backoff`` and
+    ``length`` in words. ``words`` to ``values`` are its frequent rows, the rest is met by a join.
+    """
 
     tokens: int
     distinct: int
     discount: float
-    words: np.ndarray
-    counts: np.ndarray
-    levels: tuple[Level, ...]
+    depth: int
+    table: DataFrame
+    frequent: float
+
+    @cached_property
+    def hot(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys in order, word counts and values of rows that make up a share ``frequent`` of all tokens, and of the end."""
+        rows = self.table.where(self.is_hot()).select("key", "n", (F.col("delta") + F.col("backoff")).alias("value")).toArrow()
+        keys = rows.column("key").to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        return keys[order], rows.column("n").to_numpy()[order], rows.column("value").to_numpy()[order]
+
+    def is_hot(self) -> Column:
+        return (F.col("seen") >= self.frequent * self.tokens) | (F.col("key") == F.lit(int(END.view(np.int64))))
+
+    @cached_property
+    def _whole(self) -> dict[str, np.ndarray]:
+        """The whole table as arrays; for small models, to look at."""
+        rows = self.table.toArrow().to_pandas().sort_values("key", key=lambda k: k.to_numpy().view(np.uint64))
+        return {c: rows[c].to_numpy() for c in rows} | {"key": rows["key"].to_numpy().view(np.uint64)}
+
+    @property
+    def levels(self) -> tuple[Level, ...]:
+        """The states by context length, up to the longest; for small models, to look at."""
+        t = self._whole
+        out = []
+        for length in range(1, self.depth + 1):
+            mine = (t["length"] == length) & (t["backoff"] != 0)
+            out.append(Level(t["key"][mine], t["backoff"][mine]))
+        while out and not len(out[-1].states):
+            out.pop()
+        return tuple(out)
 
 
 def stream(texts: Texts) -> Words:
@@ -62,188 +103,217 @@ def place(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
+def pair_hash(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of a run of words from those of the runs without its last and without its first word."""
+    return mix64(first * np.uint64(0xFF51AFD7ED558CCD) + mix64(last + np.uint64(0x632BE59BD9B4E019)))
+
+
+def runs(tokens: Words, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For 1 to ``longest`` tokens: hashes of the runs at every position, and whether the run is within one text."""
+    hashes = tokens.hash
+    for length in range(1, longest + 1):
+        if length > 1:
+            hashes = pair_hash(hashes[:-1], hashes[1:])
+        yield hashes, tokens.doc[: len(hashes)] == tokens.doc[length - 1:]
+        if len(hashes) < 2:
+            break
+
+
 def contexts(tokens: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the ``length`` tokens before a token, and the token's number, wherever the text has that many before it."""
-    at, hashes = ngrams(tokens, length)
-    inside = (at + length < len(tokens.hash))
-    at, hashes = at[inside], hashes[inside]
-    same = tokens.doc[at] == tokens.doc[at + length]
-    return hashes[same], at[same] + length
+    found = list(runs(tokens, length))
+    if len(found) < length:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    hashes, _ = found[-1]
+    at = np.flatnonzero(tokens.doc[: max(len(tokens.hash) - length, 0)] == tokens.doc[length:])
+    return hashes[at], at + length
 
 
 class Tally:
-    """Counts by 64-bit key with a bounded number of keys in memory."""
+    """Counts by a pair of 64-bit keys with a bounded number of pairs in memory."""
 
     def __init__(self, limit: int = 500_000) -> None:
-        self.limit, self.keys, self.counts, self.held = limit, [], [], 0
+        self.limit, self.parts, self.held = limit, [], 0
 
-    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.unique(keys, return_counts=True)
-        self.keys.append(keys)
-        self.counts.append(counts)
-        self.held += len(keys)
+    def add(self, first: np.ndarray, last: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append(self._summed(first, last, np.ones(len(first), np.int64)))
+        self.held += len(self.parts[-1][0])
         if self.held > 2 * self.limit:
             self._merge()
             if self.held > self.limit:
                 yield from self.flush()
 
+    @staticmethod
+    def _summed(first: np.ndarray, last: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key = pair_hash(first, last)
+        order = np.argsort(key)
+        key = key[order]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        return first[order][starts], last[order][starts], np.add.reduceat(n[order], starts) if len(key) else n
+
     def _merge(self) -> None:
-        keys, number = np.unique(np.concatenate(self.keys), return_inverse=True)
-        counts = np.bincount(number, np.concatenate(self.counts), len(keys)).astype(np.int64)
-        self.keys, self.counts, self.held = [keys], [counts], len(keys)
+        self.parts = [self._summed(*(np.concatenate(c) for c in zip(*self.parts, strict=True)))]
+        self.held = len(self.parts[0][0])
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.held:
             self._merge()
+            first, last, n = self.parts[0]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(self.keys[0].view(np.int64)), pa.array(self.counts[0].astype(np.int64))], names=["key", "n"])
-        self.keys, self.counts, self.held = [], [], 0
+                [pa.array(first.view(np.int64)), pa.array(last.view(np.int64)), pa.array(n)], names=["context", "suffix", "n"])
+        self.parts, self.held = [], 0
 
 
-def tallied(docs: DataFrame, keys: Callable[[Words], np.ndarray]) -> DataFrame:
-    """``(key, n)`` summed over the token streams of all whole texts: combined per task, then by the exchange."""
+def tallied(docs: DataFrame, pairs: Callable[[Words], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """``(context, suffix, n)`` summed over the token streams of all whole texts: combined per task, then by the exchange."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
         for batch in batches:
             for part in slices(batch):
-                yield from tally.add(keys(stream(texts_of(part.column("text")))))
+                yield from tally.add(*pairs(stream(texts_of(part.column("text")))))
         yield from tally.flush()
 
-    return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(run, "context long, suffix long, n long")
+    return found.groupBy("context", "suffix").agg(F.sum("n").alias("n"))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """``(key, n)``: how often each word, and the end of a text, occurs in the documents."""
-    return stored(tallied(docs, lambda tokens: tokens.hash), "word-counts")
+    found = tallied(docs, lambda tokens: (np.zeros(len(tokens.hash), np.uint64), tokens.hash))
+    return stored(found.select(F.col("suffix").alias("key"), "n"), "word-counts")
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """Bitmap of the ``key`` values modulo 2**FILTER_BITS: a fixed size, whatever the number of keys."""
+    bit = F.pmod("key", F.lit(1 << FILTER_BITS)) + 1
+    rows = keys.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("at")).groupBy("bucket").agg(
+        F.bitmap_construct_agg("at").alias("bits")).toArrow()
+    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for bucket, bits in zip(rows.column("bucket").to_pylist(), rows.column("bits").to_pylist(), strict=True):
+        out[(bucket - 1) * 4096: bucket * 4096] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False for keys that are certainly not among those of the filter."""
+    bit = keys & np.uint64((1 << FILTER_BITS) - 1)
+    return (bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+
 
+def run_counts(docs: DataFrame, length: int, shorter: DataFrame, least: int) -> DataFrame:
+    """``context``, ``suffix``, ``n`` and ``key`` of all runs of ``length`` words seen ``least`` times or more.
 
-def _sorted(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    rows = table.toArrow()
-    keys = rows.column("key").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], rows.column("n").to_numpy().astype(np.int64)[order]
+    ``shorter`` holds the ``key`` of the runs one word shorter that were seen as often. A filter over them spares the
+    exchange most runs that cannot pass; those that it lets through in error are counted and then left out like others.
+    """
+    bitmap = key_filter(shorter)
+
+    def pairs(tokens: Words) -> tuple[np.ndarray, np.ndarray]:
+        found = list(runs(tokens, length - 1))
+        if len(found) < length - 1 or len(found[-1][0]) < 2:
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        hashes = found[-1][0]
+        known = passes(bitmap, hashes)
+        inside = (tokens.doc[: len(hashes) - 1] == tokens.doc[length - 1:]) & known[:-1] & known[1:]
+        return hashes[:-1][inside], hashes[1:][inside]
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first, last = (b.column(k).to_numpy().view(np.uint64) for k in range(2))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pair_hash(first, last).view(np.int64))], names=["context", "suffix", "n", "key"])
+
+    frequent = tallied(docs, pairs).where(F.col("n") >= least)
+    return stored(frequent.mapInArrow(keyed, "context long, suffix long, n long, key long"), f"runs-{length}")
 
 
-def grow_level(
-    keys: np.ndarray, counts: np.ndarray, candidates: np.ndarray, totals: np.ndarray, below: Callable, words: int, gain: float,
-) -> Level:
-    """The candidate contexts that pass the divergence test, as a level.
+def free_exchanges(docs: DataFrame) -> None:
+    """Let Spark delete the exchange files of frames that are no longer referred to; it does so when it collects garbage."""
+    gc.collect()
+    docs.sparkSession._jvm.System.gc()
 
-    ``keys`` are candidate * words + next word. A context passes if its own distribution raises the likelihood of its
-    training occurrences over that of its longest kept suffix by ``gain`` nats per occurrence and by more than the
-    description length of its entries. Counts are discounted by a half; the rest of the mass goes to the suffix.
+
+def looked_up(rows: DataFrame, on: str, table: DataFrame, columns: dict[str, str], hot: float, outer: bool = False) -> DataFrame:
+    """``rows`` with ``columns`` (old name: new name) of the table's row whose ``key`` is ``on``.
+
+    The table's rows with ``n`` of at least ``hot``, a bounded number, are broadcast, so that the many rows of a frequent
+    context do not meet in one task; the others are joined by an exchange.
     """
-    context, word = keys // words, keys % words
-    p = (counts - 0.5) / totals[context]
-    lower = below(context, word)
-    own, under = (np.bincount(context, v, len(candidates)) for v in (p, lower))
-    weight = np.maximum(1 - own, 1e-9) / np.maximum(1 - under, 1e-9)
-    seen, entries = np.bincount(context, counts, len(candidates)), np.bincount(context, minlength=len(candidates))
-    better = np.bincount(context, counts * np.log(p / lower), len(candidates)) + (totals - seen) * np.log(weight)
-    kept = (better > gain * totals) & (better > 0.5 * (entries + 1) * np.log(np.maximum(totals, 2)))
-    number = np.cumsum(kept) - 1
-    mine = kept[context]
-    return Level(candidates[kept], np.log10(weight[kept]), number[context[mine]] * words + word[mine], np.log10(p[mine]))
+    side = table.select(F.col("key").alias("_key"), (F.col("n") >= hot).alias("_hot"), *[F.col(a).alias(b) for a, b in columns.items()])
+    first = rows.join(F.broadcast(side.where("_hot")), F.col(on) == F.col("_key"), "left")
+    found = first.where("_key IS NOT NULL").select(*rows.columns, *columns.values())
+    rest = first.where("_key IS NULL").select(*rows.columns).join(side.where("NOT _hot"), F.col(on) == F.col("_key"), "left" if outer else "inner")
+    return found.unionByName(rest.select(*rows.columns, *columns.values()))
 
 
 def fit_suffix_tree(
-    docs: DataFrame, counts: DataFrame, depth: int = 2, frequent: float = 1e-6, context_share: float = 2e-4,
-    entry_share: float = 1e-6, gain: float = 0.02,
+    docs: DataFrame, counts: DataFrame, depth: int = 3, frequent: float = 1e-6, context_share: float = 0.0,
+    least_context: int = 4, least_entry: int = 2, gain: float = 0.02,
 ) -> SuffixModel:
     """Grow the tree over all ``docs``, whose ``word_counts`` are given; one pass over the texts per level.
 
-    The shares bound the model whatever the corpus: words known to the tree make up at least ``frequent`` of all
-    tokens each, so they are at most 1 / frequent; likewise contexts (``context_share``) and their entries
-    (``entry_share``) per level. These bounded tables are what reaches the driver and, as arrays, the tasks. Counts
-    cover the whole corpus. The longer contexts of level d + 1 are entries of level d whose suffix is a state.
+    A context of up to ``depth`` words is tested if it was seen ``least_context`` times (or makes up ``context_share``
+    of all tokens, if that is asked for and more); its entries are the words that followed it ``least_entry`` times.
+    It passes if its own distribution raises the likelihood of its training occurrences over that of its longest kept
+    suffix by ``gain`` nats per occurrence and by more than the description length of its entries. Counts are discounted
+    by a half; the rest of the mass goes to the suffix. All of it is tables; ``frequent`` is the share of all tokens from
+    which rows travel to the driver and, as arrays, to the tasks, so at most 1 / ``frequent`` per length.
     """
     total = counts.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("distinct"),
         F.count(F.when(F.col("n") == 1, 1)).alias("once"), F.count(F.when(F.col("n") == 2, 1)).alias("twice")).first()
     discount = min(0.95, max(0.05, (total.once + 1) / (total.once + 2 * total.twice + 2)))
-    words, often = _sorted(counts.where((F.col("n") >= frequent * total.tokens) | (F.col("key") == F.lit(int(END.view(np.int64))))))
-    levels: list[Level] = []
-    root = (often - discount) / max(total.tokens, 1)
-    size = max(len(words), 1)
-    first = (often >= context_share * total.tokens) & (words != END)
-    candidates, totals = words[first], often[first]
-    candidate_words = np.flatnonzero(first)[:, None]  # numbers of each context's words, oldest first
-    if len(candidates):
-        candidates = ngrams(Words(candidates, candidates, np.arange(len(candidates)), candidates), 1)[1]
-        order = np.argsort(candidates)
-        candidates, totals, candidate_words = candidates[order], totals[order], candidate_words[order]
-
+    least, hot = max(least_context, context_share * total.tokens), max(1e-5 * total.tokens, 1)
+    shorter = counts.select("key", "n", ((F.col("n") - discount) / max(total.tokens, 1)).alias("p"))
+    parts = [counts.select("key", "n", F.col("n").alias("seen"), F.lit(0.0).alias("delta"), F.lit(0.0).alias("backoff"), F.lit(1).alias("length"))]
+    none = F.lit(0).cast("bigint")
     for length in range(1, depth + 1):
-        if not len(candidates):
-            break
-
-        def pairs(tokens: Words, table=candidates, length=length) -> np.ndarray:
-            hashes, at = contexts(tokens, length)
-            state, word = place(table, hashes), place(words, tokens.hash[at])
-            both = (state >= 0) & (word >= 0)
-            return (state[both] * size + word[both]).astype(np.uint64)
-
-        least = max(2, entry_share * total.tokens)
-        keys, found = _sorted(tallied(docs, pairs).where(F.col("n") >= least))
-        keys = keys.view(np.int64)
-
-        def below(context: np.ndarray, word: np.ndarray, own=candidate_words) -> np.ndarray:
-            return probability([own[context][:, -k] for k in range(1, own.shape[1])], word, levels, words, root, size)
-
-        level = grow_level(keys, found, candidates, totals, below, size, gain)
-        levels.append(level)
-        context, word = keys // size, keys % size
-        # A longer context is its oldest word plus a state: an entry (context, word) whose last words are a state.
-        longer = np.hstack([candidate_words[context], word[:, None]])
-        suffix = context_hash(words, longer[:, 1:])
-        useful = (found >= context_share * total.tokens) & (words[word] != END) & (place(level.states, suffix) >= 0)
-        candidates, totals, candidate_words = context_hash(words, longer[useful]), found[useful], longer[useful]
-        order = np.argsort(candidates)
-        candidates, totals, candidate_words = candidates[order], totals[order], candidate_words[order]
-    return SuffixModel(total.tokens, total.distinct, discount, words, often, tuple(levels))
-
-
-def context_hash(words: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    """Hashes of contexts given as rows of word numbers, as ``contexts`` computes them from texts."""
-    n, length = numbers.shape
-    if not n:
-        return np.zeros(0, np.uint64)
-    flat = words[numbers].reshape(-1)
-    return ngrams(Words(flat, flat, np.repeat(np.arange(n), length), flat), length)[1]
-
-
-def probability(recent: list[np.ndarray], word: np.ndarray, levels: list[Level], words: np.ndarray, root: np.ndarray, size: int) -> np.ndarray:
-    """P(word | the last words) under the levels so far; ``recent`` are word numbers, latest first."""
-    out, done = np.zeros(len(word)), np.zeros(len(word), bool)
-    for length in range(min(len(levels), len(recent)), 0, -1):
-        level = levels[length - 1]
-        state = place(level.states, context_hash(words, np.stack(recent[:length][::-1], axis=1)))
-        entry = place(level.entries, np.where(state >= 0, state * size + word, -1))
-        hit = ~done & (state >= 0) & (entry >= 0)
-        out[hit] += level.logp[entry[hit]]
-        miss = ~done & (state >= 0) & (entry < 0)
-        out[miss] += level.backoff[state[miss]]
-        done |= hit
-    return np.where(done, 10**out, 10**out * root[word])
+        grams = run_counts(docs, length + 1, shorter.where(F.col("n") >= least_entry), least_entry)
+        tested = stored(looked_up(grams, "suffix", shorter, {"p": "lower"}, hot), f"tested-{length}")
+        # own = (n - 1/2) / total; the total is met once per context, after its entries have been summed.
+        sums = tested.groupBy("context").agg(
+            F.sum("lower").alias("under"), F.sum("n").alias("seen"), F.count(F.lit(1)).alias("entries"),
+            F.sum(F.col("n") * F.log((F.col("n") - 0.5) / F.col("lower"))).alias("gained"))
+        sums = sums.join(shorter.where(F.col("n") >= least).select(F.col("key").alias("context"), F.col("n").alias("total")), "context")
+        own = (F.col("seen") - 0.5 * F.col("entries")) / F.col("total")
+        weight = F.greatest(1 - own, F.lit(1e-9)) / F.greatest(1 - F.col("under"), F.lit(1e-9))
+        better = F.col("gained") - F.col("seen") * F.log(F.col("total").cast("double")) + (F.col("total") - F.col("seen")) * F.log(weight)
+        passed = (better > gain * F.col("total")) & (better > 0.5 * (F.col("entries") + 1) * F.log(F.col("total").cast("double")))
+        states = stored(sums.where(passed).select(F.col("context").alias("key"), F.col("total").alias("n"), F.log10(weight).alias("backoff")), f"states-{length}")
+        placed = looked_up(tested, "context", states, {"n": "total", "backoff": "backoff"}, hot, outer=True).withColumn(
+            "own", (F.col("n") - 0.5) / F.col("total"))
+        p = F.when(F.col("backoff").isNotNull(), F.col("own")).otherwise(F.col("lower"))
+        delta = F.coalesce(F.log10(F.col("own") / F.col("lower")) - F.col("backoff"), F.lit(0.0))
+        shorter = stored(placed.select("key", "n", p.alias("p"), delta.alias("delta")), f"level-{length}")
+        parts.append(states.select("key", none.alias("n"), F.col("n").alias("seen"), F.lit(0.0).alias("delta"), "backoff", F.lit(length).alias("length")))
+        parts.append(shorter.where("delta != 0").select(
+            "key", none.alias("n"), F.col("n").alias("seen"), "delta", F.lit(0.0).alias("backoff"), F.lit(length + 1).alias("length")))
+        del grams, tested, sums, placed
+        free_exchanges(docs)
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    table = rows.groupBy("key").agg(
+        F.max("n").alias("n"), F.max("seen").alias("seen"), F.sum("delta").alias("delta"), F.sum("backoff").alias("backoff"), F.max("length").alias("length"))
+    return SuffixModel(total.tokens, total.distinct, discount, depth, stored(table, "suffix-tree"), frequent)
 
 
 def token_scores(tokens: Words, model: SuffixModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per token: log10 of what its states contribute, whether the root must follow, and its word number or -1."""
-    word = place(model.words, tokens.hash)
-    size = max(len(model.words), 1)
-    out, open_ = np.zeros(len(word)), np.ones(len(word), bool)
-    for length in range(len(model.levels), 0, -1):
-        level = model.levels[length - 1]
-        hashes, at = contexts(tokens, length)
-        state = place(level.states, hashes)
-        active = (state >= 0) & open_[at]
-        state, at = state[active], at[active]
-        entry = np.where(word[at] >= 0, place(level.entries, state * size + word[at]), -1)
-        hit = entry >= 0
-        out[at[hit]] += level.logp[entry[hit]]
-        open_[at[hit]] = False
-        out[at[~hit]] += level.backoff[state[~hit]]
-    return out, open_, word
+    """Per token: log10 of what the tree adds to the root, whether the root must follow, and the row of its word or -1.
+
+    Reads the whole table on the driver; for small models, to look at.
+    """
+    table = model._whole
+    word = place(table["key"], tokens.hash)
+    out = np.zeros(len(word))
+    for length, (hashes, inside) in enumerate(runs(tokens, model.depth + 1), 1):
+        at = np.flatnonzero(inside)
+        row = place(table["key"], hashes[at])
+        at, row = at[row >= 0], row[row >= 0]
+        out[at + length - 1] += table["delta"][row]
+        follows = at + length < len(word)
+        follows[follows] = tokens.doc[at[follows]] == tokens.doc[at[follows] + length]
+        out[at[follows] + length] += table["backoff"][row[follows]]
+    return out, np.ones(len(word), bool), word
 
 
 def root_logp(n: Column, model: SuffixModel) -> Column:
@@ -262,36 +332,50 @@ def score_texts(docs: DataFrame, counts: DataFrame, model: SuffixModel, keep: li
     """``docs``' columns ``keep`` plus n_tokens, n_known, train_tokens, base_score and score of every whole text.
 
     ``score`` is the log10 probability of the words and the end of the text under the tree, ``base_score`` that of an
-    add-one unigram model; words outside the training corpus are one symbol in both. Counts of frequent words come
-    from the model; only the rest, looked up in the whole table of counts, is joined by word and summed back by
-    document. Words are compared by 64-bit hashes. Null and empty texts are just the end; rows are scored one by one,
+    add-one unigram model; words outside the training corpus are one symbol in both. Frequent words and runs
+    of words come as arrays; the rest, as far as a filter does not rule it out, is joined with the written tree and
+    summed back by document. Words are compared by 64-bit hashes. Null and empty texts are just the end; rows are scored one by one,
     also if they repeat.
     """
+    hot_keys, hot_counts, hot_values = model.hot
+    bitmap = key_filter(model.table.where("n = 0").where(~model.is_hot()))
+    depth, tokens_, distinct, discount = model.depth, model.tokens, model.distinct, model.discount
+
     def work():
-        total = max(model.tokens, 1)
-        base = np.log10((model.counts + 1) / (model.tokens + model.distinct + 1))
-        root = np.log10(np.maximum(model.counts - model.discount, 1e-12) / total)
+        total = max(tokens_, 1)
+        base = np.log10((hot_counts + 1) / (tokens_ + distinct + 1))
+        root = np.log10(np.maximum(hot_counts - discount, 1e-12) / total)
 
         def one(part: pa.RecordBatch) -> list:
             texts = texts_of(part.column("text"))
             n = len(texts)
             tokens = stream(texts)
-            score, open_, word = token_scores(tokens, model)
-            known = word >= 0
-            score[known & open_] += root[word[known & open_]]
             doc = tokens.doc
-            rare = np.flatnonzero(~known)
-            order = rare[np.lexsort((tokens.hash[rare], doc[rare]))]
-            h, d = tokens.hash[order], doc[order]
+            word = place(hot_keys, tokens.hash)
+            known = word >= 0
+            score = np.zeros(len(doc))
+            score[known] = root[word[known]] + hot_values[word[known]]
+            rare_doc, rare_key, is_word = [doc[~known]], [tokens.hash[~known]], [np.ones(int((~known).sum()), bool)]
+            for length, (hashes, inside) in enumerate(runs(tokens, depth + 1), 1):
+                if length > 1:
+                    row = place(hot_keys, hashes)
+                    score[: len(row)] += np.where(inside & (row >= 0), hot_values[row] if len(hot_values) else 0, 0)
+                    cold = np.flatnonzero(inside & (row < 0))
+                    cold = cold[passes(bitmap, hashes[cold])]
+                    rare_doc.append(doc[cold])
+                    rare_key.append(hashes[cold])
+                    is_word.append(np.zeros(len(cold), bool))
+            d, h, w = (np.concatenate(c) for c in (rare_doc, rare_key, is_word))
+            order = np.lexsort((h, d))
+            d, h, w = d[order], h[order], w[order]
             new = np.ones(len(order), bool)
             new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
             group = np.cumsum(new) - 1
             sizes = np.bincount(group, minlength=int(new.sum()))
-            roots = np.bincount(group, open_[order], int(new.sum())).astype(np.int32)
             offsets = np.zeros(n + 1, np.int32)
             np.cumsum(np.bincount(d[new], minlength=n), out=offsets[1:])
             entry = pa.StructArray.from_arrays(
-                [pa.array(h[new].view(np.int64)), pa.array(sizes.astype(np.int32)), pa.array(roots)], names=["key", "times", "roots"])
+                [pa.array(h[new].view(np.int64)), pa.array(sizes.astype(np.int32)), pa.array(w[new])], names=["key", "times", "word"])
             return [
                 np.bincount(doc, minlength=n).astype(np.int64), np.bincount(doc[known], minlength=n).astype(np.int64),
                 np.bincount(doc[known], base[word[known]], n), np.bincount(doc, score, n),
@@ -299,17 +383,20 @@ def score_texts(docs: DataFrame, counts: DataFrame, model: SuffixModel, keep: li
         return one
 
     added = ("n_tokens long, n_frequent long, frequent_base double, partial_score double, "
-             "rare array<struct<key: long, times: int, roots: int>>")
+             "rare array<struct<key: long, times: int, word: boolean>>")
     kept = docs.select(F.struct(*keep).alias("kept"), "text")
     scored = stored(map_slices(kept, ["kept"], added, work).withColumn("row", F.monotonically_increasing_id()), "partial-scores")
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(counts, "key", "left")
-    n = F.coalesce(F.col("n"), F.lit(0))
+    free_exchanges(docs)
+    values = model.table.where(~model.is_hot()).select("key", "n", (F.col("delta") + F.col("backoff")).alias("value"))
+    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(values, "key", "left")
+    n, times = F.coalesce(F.col("n"), F.lit(0)), F.col("times")
     sums = rare.groupBy("row").agg(
-        F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("times") * base_logp(n, model)).alias("rare_base"), F.sum(F.col("roots") * root_logp(n, model)).alias("rare_root"))
+        F.sum(F.when(F.col("word") & (n > 0), times).otherwise(0)).alias("rare_known"),
+        F.sum(F.when(F.col("word"), times * base_logp(n, model)).otherwise(0.0)).alias("rare_base"),
+        F.sum(times * (F.when(F.col("word"), root_logp(n, model)).otherwise(0.0) + F.coalesce("value", F.lit(0.0)))).alias("rare_score"))
     joined = scored.drop("rare").join(sums, "row", "left")
     return joined.select(
         *[F.col("kept")[k].alias(k) for k in keep], "n_tokens",
         (F.col("n_frequent") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"),
         (F.col("frequent_base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        (F.col("partial_score") + F.coalesce("rare_root", F.lit(0.0))).alias("score"))
+        (F.col("partial_score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"))

@@ -81,3 +81,24 @@ def test_nothing_to_learn_from(make, odd_rows):
     assert len(found) == len(odd_rows)
     assert all((r.base_score, r.score, r.n_known, r.train_tokens) == (0, 0, 0, 0) for r in found)
     assert score_texts(make([]), counts, model, ["doc_id"]).count() == 0
+
+
+def test_what_the_tree_keeps_does_not_depend_on_shares_of_the_corpus(make):
+    """A context seen a few times stays a state, and its long context too, however much other text there is."""
+    rng = random.Random(5)
+    told = [(k, f"alpha beta gamma delta{k % 2} omega beta zeta delta{k % 2}") for k in range(8)]
+    rest = [(100 + k, " ".join(f"w{rng.randint(0, 400)}" for _ in range(200))) for k in range(300)]
+    docs = make(told + rest)
+    counts = word_counts(docs)
+    model = fit_suffix_tree(docs, counts)
+    states = {int(h) for level in model.levels for h in level.states}
+    for history in ("alpha", "alpha beta", "omega beta", "gamma"):
+        h = stream(texts_of(pa.array([history])))
+        length = len(history.split())
+        assert int(contexts(h, length)[0][0]) in states
+    scored = {r.doc_id: r.score for r in score_texts(make(told + [(1000, told[0][1])]), counts, model, ["doc_id"]).collect()}
+    by_token = token_scores(stream(texts_of(pa.array([told[0][1]]))), model)[0].sum()
+    root = {int(r.key): (r.n - model.discount) / model.tokens for r in counts.collect()}
+    root_sum = sum(math.log10(root[int(h)]) for h in stream(texts_of(pa.array([told[0][1]]))).hash.view(np.int64))
+    assert scored[1000] == pytest.approx(scored[0]) == pytest.approx(by_token + root_sum)
+    assert by_token > 10
