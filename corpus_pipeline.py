@@ -13,15 +13,16 @@ from pyspark.sql import functions as F
 from leafscore.llm import exact_dedup, language, mixing, near_dedup, packing
 from leafscore.llm.common import read, stored
 
-#: Documents whose best language scores less are rejected, as are those without a letter.
-LEAST_LANGUAGE_SCORE = 0.25
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents in one of the languages that the documents themselves are labelled with."""
+    """Keep the documents in one of the languages that the documents themselves are labelled with.
+
+    Those without a letter are rejected, and those whose n-grams are less usual in the language found than nearly all
+    of its labelled sample's are (``language.fit_rejection``).
+    """
     model = language.fit_language(docs)
-    found = language.identify(docs, model, docs.columns, names=("_language", "_language_score"))
-    kept = (F.col("_language") != language.UNDETERMINED) & (F.col("_language_score") >= LEAST_LANGUAGE_SCORE)
+    found = language.identify(docs, model, docs.columns, names=("_language", "_language_score", "_language_support"))
+    kept = (F.col("_language") != language.UNDETERMINED) & (F.col("_language_support") >= 0)
     return found.where(kept).select(*docs.columns)
 
 

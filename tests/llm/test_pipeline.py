@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from leafscore.llm.exact_dedup import exact_dedup
@@ -55,3 +56,24 @@ def test_run_applies_all_stages(spark):
     assert {"doc_id", "piece", "sequence_id", "offset", "length"} <= set(found.columns)
     ids = {r.doc_id for r in found.collect()}
     assert ids and ids <= {r.doc_id for r in exact_dedup(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+
+
+def test_language_stage_rejects_what_is_unlike_the_learned_languages(spark):
+    import base64
+    import random
+
+    docs = spark.read.parquet(f"{SF}/../sf0.01/documents.parquet")
+    rng = random.Random(4)
+    junk = []
+    for size in (60, 300, 2000):
+        junk += ["".join(rng.choice(letters) for _ in range(size)) for letters in (
+            "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz   ", [chr(c) for c in range(0x4E00, 0x8E00)], "абвгдежзиклмнопрсту   ", "ابتثجحخدذرزسش  ")]
+        junk += [base64.b64encode(rng.randbytes(size)).decode(), ("for (int i = 0; i < n; ++i) { buf[i] ^= key[i % 16]; } " * 40)[:size]]
+    first = docs.first().asDict()
+    rows = [{**first, "doc_id": 10**9 + k, "text": t, "lang": None} for k, t in enumerate(junk)]
+    kept = {r.doc_id: r.text for r in corpus_pipeline.identify_language(spark, docs.union(spark.createDataFrame(rows, docs.schema)), SF).collect()}
+    assert not [t[:40] for k, t in kept.items() if k >= 10**9]
+    clean = docs.where(r"lang IS NOT NULL AND text RLIKE '\\p{L}'").select("doc_id", F.length("text").alias("n")).collect()
+    assert sum(r.doc_id in kept for r in clean) >= 0.985 * len(clean)
+    short = [r for r in clean if r.n < 60]
+    assert sum(r.doc_id in kept for r in short) >= 0.9 * len(short)
