@@ -31,6 +31,12 @@ OUTSIDE_NAMES = frozenset(
     "contentinfo cookie cookies copyright discussion disqus footer gdpr header login masthead menu modal nav navbar navigation "
     "newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related replies reply "
     "respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split())
+#: Words that name a box and not what it holds: with a listed word they still mark a part outside the article.
+BOX_NAMES = frozenset(
+    "area bar block bottom box btn button buttons column container content form global group holder icons inner item items left link "
+    "links list main module outer page panel posts primary right row secondary section site slot text title top unit wrap wrapper".split())
+#: First words of class names that tell of a layout.
+LAYOUT_NAMES = frozenset("has is no not with without".split())
 RAW = frozenset(("script", "style", "textarea", "title", "noembed", "noframes", "iframe", "xmp"))
 #: An opening tag on the left ends an open element on the right, up to the nearest list or table around it.
 ENDS = {
@@ -53,29 +59,43 @@ class Block(NamedTuple):
     main: bool
     outside: bool
     linked: int
+    form: bool = False  # outside only for the form around it
 
 
-def _outside(tag: str, attributes: str) -> bool:
-    if tag in OUTSIDE:
-        return True
+def _named_outside(name: str) -> bool:
+    """Whether a class, id or role word marks a part outside the article: each of its parts is listed or names a box."""
+    parts = [p.lower() for p in _PARTS.findall(name)]
+    return (bool(parts) and parts[0] not in LAYOUT_NAMES and any(p in OUTSIDE_NAMES for p in parts)
+            and all(p in OUTSIDE_NAMES or p in BOX_NAMES or p.isdigit() for p in parts))
+
+
+def _outside(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether the element is outside the article for its tag (a form apart) or for being hidden, and for its name."""
+    if tag in OUTSIDE and tag != "form":
+        return True, False
     if not attributes or tag in ("html", "body"):
-        return False
+        return False, False
+    named = False
     for m in _NAMES.finditer(attributes):
         name, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, False
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if name in ("class", "id", "role") and any(p.lower() in OUTSIDE_NAMES for p in _PARTS.findall(value)):
-            return True
-    return False
+            return True, False
+        named = named or name in ("class", "id", "role") and any(_named_outside(v) for v in value.split())
+    return False, named
 
 
 def parse(html: str) -> tuple[list[Block], Counter]:
-    """The text blocks of a page in order, and how often each element path occurs. Broken markup is read leniently."""
+    """The text blocks of a page in order, and how often each element path occurs. Broken markup is read leniently.
+
+    A name or a form never excludes a main element, or an article element that is not inside another (as comments are),
+    nor does one around it.
+    """
     blocks: list[Block] = []
     paths: Counter = Counter()
-    stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, path, main, outside, link
+    # tag, path, main, outside, link; outside also without forms; outside also without forms and names; inside an article
+    stack: list[tuple[str, str, bool, bool, bool, bool, bool, bool]] = []
     buffer: list[str] = []
     linked = 0
 
@@ -84,8 +104,8 @@ def parse(html: str) -> tuple[list[Block], Counter]:
         text = " ".join("".join(buffer).split())
         buffer.clear()
         if text:
-            _, path, main, outside, _ = stack[-1] if stack else ("", "", False, False, False)
-            blocks.append(Block(path, text, main, outside, linked))
+            _, path, main, outside, _, named, *_ = stack[-1] if stack else ("", "", False, False, False, False)
+            blocks.append(Block(path, text, main, outside, linked, outside and not named))
         linked = 0
 
     def close(at: int) -> None:
@@ -141,14 +161,20 @@ def parse(html: str) -> tuple[list[Block], Counter]:
                     close(k)
                 elif stack[k][0] in SCOPE:
                     break
-        _, above, main, outside, link = stack[-1] if stack else ("", "", False, False, False)
-        title = main and outside and tag in ("h1", "h2", "h3") and stack[-1][0] == "header" and not any(s[3] for s in stack[:-1])
+        _, above, main, outside, link, named, hard, article = stack[-1] if stack else ("", "", *[False] * 6)
+        title = main and outside and tag in ("h1", "h2", "h3") and stack[-1][0] == "header" and not stack[-2][3]
         path = f"{above}/{tag}"
         paths[path] += 1
         if tag in VOID:
             continue
-        stack.append((
-            tag, path, main or tag in ("article", "main"), not title and (outside or _outside(tag, attributes)), link or tag == "a"))
+        own, by_name = _outside(tag, attributes)
+        if title:
+            outside = named = hard = False
+        elif tag == "main" or tag == "article" and not article:
+            outside = named = hard = hard or own
+        else:
+            hard, named, outside = hard or own, named or own or by_name, outside or own or by_name or tag == "form"
+        stack.append((tag, path, main or tag in ("article", "main"), outside, link or tag == "a", named, hard, article or tag == "article"))
         if tag in RAW:
             end = re.compile(f"</{tag}", re.I).search(html, at)
             stack.pop()
@@ -198,6 +224,8 @@ def host_templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.9,
     at least ``min_pages`` pages and a share ``min_share`` of the host's pages. Paths contain their ancestors' paths,
     which occur wherever they do, so valid classes nest along the element tree into one template. A page has all but
     a share of 1 - ``min_share`` of the template's tokens on average, which bounds the template by the size of a page.
+    A host with fewer than ``min_pages`` pages has no template: equal texts on so few may be chance, and its pages are
+    read by their elements and names alone.
     """
     tokens = page_tokens(pages).groupBy("host", "token").agg(
         F.count(F.lit(1)).alias("support"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"))
@@ -213,16 +241,17 @@ def content(html: str, template: frozenset[int]) -> str:
     """The article's text: what stands in the slots that the template leaves, outside the parts around the article.
 
     With an article or main element, the slots are the blocks inside it. Otherwise they are the blocks whose placed
-    text is not itself part of the template and that do not consist mostly of links.
+    text is not itself part of the template and that do not consist mostly of links; the links of an article stay.
+    A page whose text is all in forms is read as if they were not there.
     """
     blocks, _ = parse(html)
-    inside = [b for b in blocks if not b.outside]
+    inside = [b for b in blocks if not b.outside] or [b for b in blocks if b.form]
     article = [b for b in inside if b.main]
     # Without a template (few pages on the host) an article element speaks for itself.
     if article and (not template or any(_code(p) in template for p in {_article_path(b.path) for b in article})):
         slots = article
     else:
-        slots = [b for b in article or inside if _code(b.path, b.text) not in template and 2 * b.linked <= len(b.text)] or article
+        slots = [b for b in article or inside if _code(b.path, b.text) not in template and (b.main or 2 * b.linked <= len(b.text))] or article
     return "\n".join(b.text for b in slots)
 
 

@@ -56,3 +56,28 @@ def test_blocks_know_what_encloses_them():
     blocks, paths = parse("<body><main><p>a <a href=x>link</a></p></main><nav>b</nav>")
     assert [(b.text, b.main, b.outside, b.linked) for b in blocks] == [("a link", True, False, 4), ("b", False, True, 0)]
     assert paths["/body/main/p"] == 1
+
+
+@pytest.mark.parametrize("html", [
+    "<article class='post with-sidebar'><p>kept</article>", "<main class='no-sidebar'><p>kept</main>", "<article class='sponsored'><p>kept</article>",
+    "<article><div class='share-enabled content'><p>kept</div></article>", "<article><div class='search-result'>kept</div></article>",
+    "<article><div class='header-image'>kept</div></article>", "<form id=aspnet><article><p>kept</article></form>",
+    "<div class='widget'><main><article class=share><p>kept</article></main></div>", "<body><form><p>kept</p></form></body>",
+    "<div class=comments><article><header><h1>kept</h1></header></article></div>",
+])
+def test_names_and_forms_lose_no_article(html):
+    assert content(html, frozenset()) == "kept"
+
+
+@pytest.mark.parametrize("html", [
+    "<article>kept<section class=comments><article class=comment>no</article></section></article>", "<article>kept<div class='ad-box-2'>no</div></article>",
+    "<article>kept<form>no</form></article>", "<article>kept<div class='share-buttons'>no</div></article>",
+    "<div hidden><article>no</article></div><article>kept</article>",
+])
+def test_parts_outside_an_article_still_go(html):
+    assert content(html, frozenset()) == "kept"
+
+
+def test_an_article_outside_the_template_keeps_its_links():
+    html = "<article><p>words</p><p><a href=x>a list of links</a></p></article>"
+    assert content(html, frozenset({1})) == "words\na list of links"
