@@ -53,7 +53,7 @@ def set_digest(shingles: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``digest`` of the whole shingle set, and ``sketch``: its smallest hashes, ascending."""
+    """``doc_id``, ``text_hash``, ``n_shingles``, ``digest`` of the whole shingle set, and ``sketch``: its smallest hashes, ascending."""
     retained = RETAINED
 
     def work():
@@ -65,7 +65,8 @@ def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
                 pa.array([s[:retained] for s in sets], pa.list_(pa.int64()))]
         return one
 
-    return map_slices(docs.select("doc_id", "text"), ["doc_id"], "n_shingles long, digest binary, sketch array<long>", work)
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return map_slices(keyed, ["doc_id", "text_hash"], "n_shingles long, digest binary, sketch array<long>", work)
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -326,6 +327,11 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, star_rounds:
     takes no part: component_id is null and the row is kept. Rows that repeat a doc_id are one document per text, all
     of which stay if their id names the component. An empty table gives an empty result.
     """
+    return _groups(docs, size, percent, star_rounds).drop("text_hash")
+
+
+def _groups(docs: DataFrame, size: int = 5, percent: int = 80, star_rounds: int = 3) -> DataFrame:
+    """What ``near_groups`` returns, with the ``text_hash`` that tells rows of one doc_id apart."""
     docs = docs.select("doc_id", "text")
     rows = stored(sketches(docs, size).withColumn("node", F.monotonically_increasing_id()), "sketches")
     copies = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest", "doc_id").agg(
@@ -337,13 +343,17 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, star_rounds:
         "digest", "doc_id", F.coalesce("component", "node").alias("component")), "placed")
     names = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = stored(placed.join(names, "component").select("digest", "component_id"), "named")
-    whole = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select(
-        "doc_id", "n_shingles",
+    whole = rows.select("doc_id", "text_hash", "n_shingles", "digest").join(named, "digest", "left").select(
+        "doc_id", "text_hash", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
     return whole.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay, with the input's columns: of each component the smallest doc_id."""
-    gone = near_groups(docs, **options).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(small_side(stored(gone, "gone"), 1_000_000), F.col("doc_id") == F.col("gone"), "left_anti")
+    """The documents that stay, with the input's columns: of each component the smallest doc_id.
+
+    Rows go by doc_id and text, so a doc_id that is repeated with another text loses only the one that is a copy.
+    """
+    gone = _groups(docs, **options).where("NOT kept").select(F.col("doc_id").alias("gone"), F.col("text_hash").alias("gone_hash")).distinct()
+    return docs.join(small_side(stored(gone, "gone"), 1_000_000),
+                     (F.col("doc_id") == F.col("gone")) & (F.xxhash64("text") == F.col("gone_hash")), "left_anti")

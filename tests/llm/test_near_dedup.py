@@ -107,3 +107,9 @@ def test_components_of_chains_and_stars(spark):
     found = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(found[k] == 0 for k in range(51)) and all(found[k] == 100 for k in range(100, 180))
     assert found[401] == found[400] == 400 and 300 not in found
+
+
+def test_a_repeated_id_loses_only_the_text_that_is_a_copy(make):
+    first, other = (" ".join(f"{w}{k}" for k in range(40)) for w in "ab")
+    rows = [(1, first), (5, first + " end"), (5, other), (9, other + " end")]
+    assert {(r.doc_id, r.text) for r in nd.near_dedup(make(rows)).collect()} == {rows[0], rows[2]}
