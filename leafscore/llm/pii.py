@@ -81,10 +81,17 @@ def phones(text: str) -> Iterator[Span]:
 
 
 def ibans(text: str) -> Iterator[Span]:
-    for m in _IBAN.finditer(text):
-        compact = m.group().replace(" ", "")
-        if 15 <= len(compact) <= 34 and mod97(compact):
-            yield m.span()
+    """The longest part from a start, up to a space or the end of the match, that passes: other words may follow."""
+    at = 0
+    while (m := _IBAN.search(text, at)) is not None:
+        start, end, at = m.start(), m.end(), m.start() + 1
+        while end > start:
+            compact = text[start:end].replace(" ", "")
+            if 15 <= len(compact) <= 34 and mod97(compact):
+                yield start, end
+                at = end
+                break
+            end = text.rfind(" ", start, end)
 
 
 def ssns(text: str) -> Iterator[Span]:

@@ -59,3 +59,11 @@ def test_spans_are_code_points_and_odd_rows_have_none(make, odd_rows):
     assert all(not found[k] for k in (1, 2, 3, 6, 7, 8, 9))
     assert {r.doc_id: r.redacted for r in redact(docs).collect()}[50] == "é字 [EMAIL], 字"
     assert find_pii(make([])).count() == 0 and find_pii(docs).count() == len(odd_rows) + 1
+
+
+@pytest.mark.parametrize("after", [" BIC COBADEFFXXX", " I wrote", " 12 TIMES", " GB82 WEST 1234 5698 7654 32", ".", ""])
+def test_accounts_are_found_whatever_follows(after):
+    number = "DE89 3704 0044 0532 0130 00"
+    found = [(s, e) for s, k, e, _ in find_spans(f"IBAN {number}{after}", 40, 0.6, 0.4) if NAMES[k] == "iban"]
+    assert found[0] == (5, 5 + len(number)) and len(found) == 1 + ("GB82" in after)
+    assert not any(NAMES[k] == "iban" for _, k, _, _ in find_spans("IBAN DE88 3704 0044 0532 0130 00", 40, 0.6, 0.4))
