@@ -137,8 +137,10 @@ def find_spans(text: str, window: int, threshold: float, boost: float) -> list[t
     return sorted(found)
 
 
-def find_pii(docs: DataFrame, window: int = 40, threshold: float = 0.6, boost: float = 0.4) -> DataFrame:
-    """``doc_id`` and ``spans``, an array of (kind, start, end, score) in code points, of every whole text.
+def find_pii(
+    docs: DataFrame, window: int = 40, threshold: float = 0.6, boost: float = 0.4, keep: tuple[str, ...] = ("doc_id",),
+) -> DataFrame:
+    """The columns ``keep`` and ``spans``, an array of (kind, start, end, score) in code points, of every whole text.
 
     Emails, addresses, cards (Luhn) and phones are always kept once their checks pass; bank accounts (mod 97) and
     social security numbers need the ``threshold``, to which words within ``window`` characters add ``boost``. Spans
@@ -156,7 +158,7 @@ def find_pii(docs: DataFrame, window: int = 40, threshold: float = 0.6, boost: f
         return one
 
     return map_slices(
-        docs.select("doc_id", "text"), ["doc_id"], "spans array<struct<kind: string, start: long, end: long, score: double>>", work)
+        docs.select(*keep, "text"), [*keep], "spans array<struct<kind: string, start: long, end: long, score: double>>", work)
 
 
 def listed(spans: Column) -> Column:

@@ -128,11 +128,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents before and after personal data is replaced by the name of its kind."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     trees = stored(token_counts.count_trees(docs), "count-trees")
-    spans = pii.find_pii(docs).select("doc_id", F.explode("spans").alias("s"))
-    edits = spans.select("doc_id", "s.start", "s.end", F.concat(F.lit("["), F.upper("s.kind"), F.lit("]")).alias("replacement"))
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    spans = pii.find_pii(hashed, keep=("doc_id", "text_hash")).select("doc_id", "text_hash", F.explode("spans").alias("s"))
+    edits = spans.select("doc_id", "text_hash", "s.start", "s.end", F.concat(F.lit("["), F.upper("s.kind"), F.lit("]")).alias("replacement"))
     edited = token_counts.recount(docs, trees, edits).select(
         "doc_id", "text_hash", "n_edits", F.col("n_tokens").alias("edited"), "n_encoded").dropDuplicates(["doc_id", "text_hash"])
     none = F.lit(0).cast("bigint")
-    return trees.select("doc_id", "text_hash", "n_tokens").join(edited, ["doc_id", "text_hash"], "left").select(
+    return token_counts.null_safe(trees.select("doc_id", "text_hash", "n_tokens"), edited, ["doc_id", "text_hash"], "left").select(
         "doc_id", "n_tokens", F.coalesce("n_edits", none).alias("n_edits"), F.coalesce("edited", "n_tokens").alias("n_tokens_edited"),
         F.coalesce("n_encoded", none).alias("n_encoded"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -137,6 +139,13 @@ def count_trees(docs: DataFrame, leaf: int = LEAF, vocabulary: str = VOCABULARY)
     return map_slices(keyed, ["doc_id", "text_hash"], "n_tokens long, chars array<int>, tokens array<int>", work)
 
 
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on ``keys``, nulls being equal, with the left side's keys."""
+    other = right.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return left.join(other, same, how).drop(*[f"_{k}" for k in keys])
+
+
 def recount(docs: DataFrame, trees: DataFrame, edits: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Counts and trees of the edited documents: ``doc_id``, ``text_hash`` (of the text before), ``n_edits``,
     ``n_tokens``, ``n_encoded`` (code points encoded again), ``chars``, ``tokens``.
@@ -144,14 +153,16 @@ def recount(docs: DataFrame, trees: DataFrame, edits: DataFrame, vocabulary: str
     ``edits`` has doc_id, start, end (code points of the text before) and replacement; a null replacement deletes.
     Edits are applied from the last to the first. Of overlapping ones the first by start, then end, counts; places
     outside the text are moved to its ends. Only documents with edits are read again, found by broadcast while their
-    number allows it. Rows that repeat a doc_id are all edited.
+    number allows it. Rows that repeat a doc_id are all edited, and edits of a null doc_id are left out, unless ``edits``
+    has a ``text_hash``: then they belong to the rows with this doc_id, null or not, and this text.
     """
-    grouped = stored(edits.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(
+    keys = ["doc_id", "text_hash"] if "text_hash" in edits.columns else ["doc_id"]
+    grouped = stored((edits if len(keys) > 1 else edits.where("doc_id IS NOT NULL")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
         "start", "end", F.coalesce("replacement", F.lit("")).alias("replacement")))).alias("edits")), "edits")
     wanted = small_side(grouped, 200_000)
-    own = trees.drop("n_tokens").join(wanted.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    own = null_safe(trees.drop("n_tokens"), wanted.select(*keys), keys, "left_semi").dropDuplicates(["doc_id", "text_hash"])
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    ready = keyed.join(wanted, "doc_id").join(own, ["doc_id", "text_hash"])
+    ready = null_safe(null_safe(keyed, wanted, keys, "inner"), own, ["doc_id", "text_hash"], "inner")
 
     def work():
         def one(part: pa.RecordBatch) -> list:

@@ -1,6 +1,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from leafscore.llm.queries import QUERIES
 from leafscore.llm.token_counts import CountTree, EditedText, count_trees, leaves_of, recount
 from leafscore.llm.tokens import VOCABULARY, _tokenizer, encode
 
@@ -56,3 +57,14 @@ def test_empty_table(make, spark):
     edits = spark.createDataFrame([], "doc_id long, start long, end long, replacement string")
     trees = count_trees(make([]))
     assert trees.count() == 0 and recount(make([]), trees, edits).count() == 0
+
+
+def test_counts_of_null_and_repeated_ids_follow_their_own_text(make, spark, tmp_path):
+    texts = ["write to me@site.org please", "a longer text first, then write to some.one@other.org today", "no personal data in this"]
+    rows = [(None, texts[0]), (None, texts[2]), (5, texts[0]), (5, texts[1]), (5, texts[2]), (None, texts[0])]
+    make(rows, extra=False).write.parquet(str(tmp_path / "documents.parquet"))
+    redacted = [texts[0].replace("me@site.org", "[EMAIL]"), texts[1].replace("some.one@other.org", "[EMAIL]"), texts[2]]
+    size = {t: (len(encode(t)), int(r != t), len(encode(r))) for t, r in zip(texts, redacted, strict=True)}
+    found = QUERIES["op3_token_counts"](spark, str(tmp_path)).collect()
+    key = lambda r: (r[0] or 0, *r[1:])
+    assert sorted(map(key, [(r.doc_id, r.n_tokens, r.n_edits, r.n_tokens_edited) for r in found])) == sorted(map(key, [(k, *size[t]) for k, t in rows]))
