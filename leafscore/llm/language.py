@@ -7,7 +7,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafscore.llm.common import stored, uniform
@@ -93,16 +93,16 @@ def fit_language(
     docs: DataFrame, sample_per_language: int = 300, landmarks_per_language: int = 32, max_languages: int = 256,
     ridge: float = 1e-3, seed: str = "language",
 ) -> LanguageModel:
-    """Fit on about ``sample_per_language`` texts of each of the ``max_languages`` most frequent languages.
+    """Fit on about ``sample_per_language`` texts of every language; more than ``max_languages`` are an error.
 
     ``docs`` has doc_id, text and lang; rows with a null text or lang are left out. The bounds are those of the
     training sample, drawn by a hash of doc_id at a rate per language, so no language's rows meet in one task.
     """
     usable = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
-    frequent = Window.orderBy(F.col("n").desc(), "lang")
-    rates = stored(
-        usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumn("place", F.row_number().over(frequent))
-        .where(F.col("place") <= max_languages), "language-rates")
+    rates = stored(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-rates")
+    found = rates.count()
+    if found > max_languages:
+        raise ValueError(f"{found} languages, more than max_languages={max_languages}: none is left out, raise the bound for a larger model")
     drawn = uniform(seed, F.col("doc_id"))
     sample = usable.select("doc_id", "lang", "text", drawn.alias("draw")).join(
         F.broadcast(rates.select(F.col("lang").alias("of"), "n")),  # at most max_languages rows

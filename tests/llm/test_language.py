@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from leafscore.llm.language import DIMENSIONS, fit_language, identify, presence
 from leafscore.llm.words import texts_of
@@ -50,3 +51,10 @@ def test_nothing_to_learn_from(make):
     assert identify(make([]), empty, ["doc_id"]).count() == 0
     single = fit_language(make([(1, "abc", "en", None)]))
     assert [r.lang_pred for r in identify(make([(1, "abc", None, None)]), single, ["doc_id"]).collect()] == ["en"]
+
+
+def test_no_language_is_left_out_silently(make):
+    docs = make(rows(60, 6) + [(900, "solo words", "ww", "s")])
+    assert fit_language(docs, max_languages=4).names == ("ww", "xx", "yy", "zz")
+    with pytest.raises(ValueError, match="4 languages"):
+        fit_language(docs, max_languages=3)
