@@ -226,6 +226,16 @@ def run_counts(docs: DataFrame, length: int, shorter: DataFrame, least: int) ->
     return stored(frequent.mapInArrow(keyed, "context long, suffix long, n long, key long"), f"runs-{length}")
 
 
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete the folders of ``stored`` tables that nothing reads any more."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            jvm, session = table.sparkSession._jvm, table.sparkSession._jsparkSession
+            folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(session.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def free_exchanges(docs: DataFrame) -> None:
     """Let Spark delete the exchange files of frames that are no longer referred to; it does so when it collects garbage."""
     gc.collect()
@@ -265,10 +275,11 @@ def fit_suffix_tree(
     least, hot = max(least_context, context_share * total.tokens), max(1e-5 * total.tokens, 1)
     shorter = counts.select("key", "n", ((F.col("n") - discount) / max(total.tokens, 1)).alias("p"))
     parts = [counts.select("key", "n", F.col("n").alias("seen"), F.lit(0.0).alias("delta"), F.lit(0.0).alias("backoff"), F.lit(1).alias("length"))]
-    none = F.lit(0).cast("bigint")
+    none, spent = F.lit(0).cast("bigint"), []
     for length in range(1, depth + 1):
         grams = run_counts(docs, length + 1, shorter.where(F.col("n") >= least_entry), least_entry)
         tested = stored(looked_up(grams, "suffix", shorter, {"p": "lower"}, hot), f"tested-{length}")
+        drop_stored(grams)
         # own = (n - 1/2) / total; the total is met once per context, after its entries have been summed.
         sums = tested.groupBy("context").agg(
             F.sum("lower").alias("under"), F.sum("n").alias("seen"), F.count(F.lit(1)).alias("entries"),
@@ -287,6 +298,8 @@ def fit_suffix_tree(
         parts.append(states.select("key", none.alias("n"), F.col("n").alias("seen"), F.lit(0.0).alias("delta"), "backoff", F.lit(length).alias("length")))
         parts.append(shorter.where("delta != 0").select(
             "key", none.alias("n"), F.col("n").alias("seen"), "delta", F.lit(0.0).alias("backoff"), F.lit(length + 1).alias("length")))
+        drop_stored(tested)
+        spent += [states, shorter]
         del grams, tested, sums, placed
         free_exchanges(docs)
     rows = parts[0]
@@ -294,7 +307,9 @@ def fit_suffix_tree(
         rows = rows.unionByName(part)
     table = rows.groupBy("key").agg(
         F.max("n").alias("n"), F.max("seen").alias("seen"), F.sum("delta").alias("delta"), F.sum("backoff").alias("backoff"), F.max("length").alias("length"))
-    return SuffixModel(total.tokens, total.distinct, discount, depth, stored(table, "suffix-tree"), frequent)
+    table = stored(table, "suffix-tree")
+    drop_stored(*spent)
+    return SuffixModel(total.tokens, total.distinct, discount, depth, table, frequent)
 
 
 def token_scores(tokens: Words, model: SuffixModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
