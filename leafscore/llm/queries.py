@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafscore.llm import exact_dedup, html_extract, language, mixing, near_dedup, packing, pii, quality, suffix_lm, token_counts
+from leafscore.llm import (
+    exact_dedup, html_extract, language, mixing, near_dedup, packing, periodic, pii, quality, suffix_lm, token_counts,
+)
 from leafscore.llm.common import read, stored
 
 QUERIES = {}
@@ -137,3 +139,18 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.null_safe(trees.select("doc_id", "text_hash", "n_tokens"), edited, ["doc_id", "text_hash"], "left").select(
         "doc_id", "n_tokens", F.coalesce("n_edits", none).alias("n_edits"), F.coalesce("edited", "n_tokens").alias("n_tokens_edited"),
         F.coalesce("n_encoded", none).alias("n_encoded"))
+
+
+@query
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(read(spark, sf_dir, "documents"), plant=True)
+    # The first of the runs with the greatest length / period, compared as fractions.
+    best = F.aggregate(
+        "runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"),
+        lambda top, run: F.when(
+            top.isNull() | (run["length"] * top["period"] > top["length"] * run["period"]), run).otherwise(top))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"), "runs_sha256", "collapsed_sha256",
+    ).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
