@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafscore.llm import (
-    ball_tree, exact_dedup, html_extract, language, mixing, near_dedup, packing, periodic, pii, quality, suffix_lm, token_counts,
+    ball_tree, exact_dedup, html_extract, language, mixing, near_dedup, packing, periodic, pii, quality, repeats, suffix_lm,
+    token_counts,
 )
 from leafscore.llm.common import read, stored
 
@@ -187,3 +188,8 @@ ranked AS (
   FROM scores WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
 """
+
+
+@query
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, sf_dir, "documents"), texts_too=False)
