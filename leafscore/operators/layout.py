@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from leafscore.session import shared_dir
+
 
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """Repartition a scan feeding per-row heavy work when it has fewer splits than the cluster has cores.
@@ -15,3 +17,10 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
     if scan.rdd.getNumPartitions() >= cores:
         return scan
     return scan.repartition(cores * 4, *keys)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: computed once, and the same when an executor is lost."""
+    path = shared_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,20 +1,29 @@
-"""Per-document lifecycle state over the audit stream."""
+"""Per-document lifecycle over the audit log: a stream with state and timers, and a batch twin that splits documents.
+
+A document is uploaded, decided, corrected and completed, and never moves back. Failures count as retries; the third
+one fails it. After completion every event is late and changes nothing.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from datetime import timedelta
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from leafscore.operators.layout import written
 
 MAX_RETRIES = 3
 OUTPUT = (
     "document_id bigint, event_id bigint, action string, state string, retries int, corrections int, "
     "wait_ms double, late boolean"
 )
-STATE = "state string, retries int, corrections int, opened double"
+STATE = "state string, retries int, corrections int, opened double, last bigint, timer bigint"
+NEW = ("", 0, 0, -1.0)
 
 # Lifecycle position of each action; a document never moves back.
 POSITION = {"document_uploaded": "uploaded", "decision_evaluated": "decided", "field_corrected": "corrected", "review_completed": "completed"}
@@ -41,76 +50,152 @@ def advance(state: tuple, action: str, millis: float) -> tuple[tuple, float | No
     return (name, retries, corrections, opened), wait, False
 
 
-def _updater(keep_ms: int | None):
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        current = tuple(state.get) if state.exists else ("", 0, 0, -1.0)
-        frames = [b for b in batches]
-        if not frames:
-            return
-        rows = pd.concat(frames).sort_values(["created_at", "event_id"])
-        out = []
-        for event_id, action, when in zip(rows["event_id"], rows["action"], rows["created_at"]):
-            current, wait, late = advance(current, action, when.value / 1e6)
-            out.append((key[0], event_id, action, current[0], current[1], current[2], wait, late))
-        state.update(current)
-        if keep_ms is not None:
-            last = int(rows["created_at"].iloc[-1].value // 1_000_000)
-            state.setTimeoutTimestamp(max(last + keep_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
-
-    return update
-
+class Lifecycle(StatefulProcessor):
+    """Applies a document's events in event-time order, whatever the order they arrive in.
 
-def lifecycle(events: DataFrame, keep: timedelta | None = None, delay: str = "1 day") -> DataFrame:
-    """Every event with the state it led to. Works on a stream; state per document is four values.
+    Arrived events wait in a map state under (time, event_id), so a repeated delivery counts once. One timer per
+    document stands at its earliest waiting event; when the watermark has passed it, no earlier event can come any
+    more, and all events up to the watermark are applied. With ``keep_ms`` a further timer forgets the document once
+    the watermark is that far past its last event.
+    """
 
-    Within a micro-batch a document's events are applied in time order; across batches in arrival order. With ``keep``
-    a document's state expires once the watermark (``delay`` behind the latest event) is that much past its last
-    event, so state does not grow with all documents ever seen; a later event starts the document anew.
+    def __init__(self, keep_ms: int | None) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", STATE)
+        self.waiting = handle.getMapState("waiting", "micros bigint, event_id bigint", "action string")
+
+    def _load(self) -> tuple[tuple, int | None, int | None]:
+        if not self.state.exists():
+            return NEW, None, None
+        *current, last, timer = self.state.get()
+        return tuple(current), last, timer
+
+    def _save(self, current: tuple, last: int | None, timer: int | None, wanted: int | None) -> None:
+        """Store the document with its one timer at ``wanted``."""
+        if timer != wanted:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+        self.state.update((*current, last, wanted))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        current, last, timer = self._load()
+        earliest = None
+        for part in rows:
+            micros = part["created_at"].to_numpy("datetime64[us]").astype("int64").tolist()
+            for when, event_id, action in zip(micros, part["event_id"].tolist(), part["action"].tolist(), strict=True):
+                self.waiting.updateValue((when, event_id), (action,))
+                earliest = when if earliest is None else min(earliest, when)
+        # A document that waits to be forgotten has its timer later than any new event needs it.
+        due = None if earliest is None else -(-earliest // 1000)
+        self._save(current, last, timer, due if timer is None or due is None else min(due, timer))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        current, last, timer = self._load()
+        now = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted((*k, v[0]) for k, v in self.waiting.iterator())
+        out = []
+        for when, event_id, action in waiting:
+            if when > now * 1000:
+                break
+            if last is not None and self._forgotten(last, when):
+                current = NEW
+            current, wait, late = advance(current, action, when / 1000)
+            last = when
+            out.append((key[0], event_id, action, current[0], current[1], current[2], wait, late))
+            self.waiting.removeKey((when, event_id))
+        rest = waiting[len(out):]
+        if rest:
+            self._save(current, last, None, -(-rest[0][0] // 1000))
+        elif self.keep_ms is None:
+            self._save(current, last, None, None)
+        elif last is not None and now >= last // 1000 + self.keep_ms:
+            self.state.clear()
+        else:
+            self._save(current, last, None, last // 1000 + self.keep_ms)
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+
+    def _forgotten(self, last: int, when: int) -> bool:
+        return self.keep_ms is not None and when // 1000 >= last // 1000 + self.keep_ms
+
+    def close(self) -> None:
+        pass
+
+
+def lifecycle(events: DataFrame, delay: str = "1 day", keep: timedelta | None = None) -> DataFrame:
+    """Every event of a stream with the state it led to, in append mode; run it with the RocksDB state store.
+
+    Events may arrive up to ``delay`` out of order; they are applied in time order (ties by event_id) and delivered
+    once the watermark has passed them, so the result equals the batch twin's. Later ones are dropped, as by any
+    watermark. A document whose next event comes ``keep`` or more after its last one starts anew, and its state goes
+    once the watermark is that far, so state does not grow with all documents ever seen. Events without time or
+    number are left out.
     """
-    rows = events.select("document_id", "event_id", "action", "created_at")
-    if keep is None:
-        return rows.groupBy("document_id").applyInPandasWithState(_updater(None), OUTPUT, STATE, "append", "NoTimeout")
-    rows = rows.withWatermark("created_at", delay)
-    update = _updater(int(keep.total_seconds() * 1000))
-    return rows.groupBy("document_id").applyInPandasWithState(update, OUTPUT, STATE, "append", "EventTimeTimeout")
+    rows = events.select("document_id", "event_id", "action", "created_at").where("created_at IS NOT NULL AND event_id IS NOT NULL")
+    processor = Lifecycle(None if keep is None else int(keep.total_seconds() * 1000))
+    return rows.withWatermark("created_at", delay).groupBy("document_id").transformWithStateInPandas(
+        processor, OUTPUT, "append", "EventTime")
 
 
-def lifecycle_batch(events: DataFrame) -> DataFrame:
-    """Batch twin in window functions: state is a running maximum of positions up to the first completion."""
-    from pyspark.sql import Window
+def lifecycle_batch(events: DataFrame, slices: int | None = None) -> DataFrame:
+    """Batch twin of the stream (without ``keep``): states by slices of documents that are joined by a prefix.
 
-    w = Window.partitionBy("document_id").orderBy("created_at", "event_id")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    Events are range-partitioned by (document, time, event); a slice is what a partition has of a document, so a
+    document with very many events is many slices and none is larger than a partition. Within a slice, running values
+    are windows. A slice's effect on a document is a small summary: retries, corrections and highest position up to
+    its first completion, its first time. Summaries compose, so the state in which a slice begins is a running
+    aggregate over the summaries before it, of which a document has at most one per partition.
+    """
+    key = ["document_id", "created_at", "event_id"]
+    rows = events.select(*key, "action")
+    ranged = rows.repartitionByRange(slices, *key) if slices else rows.repartitionByRange(*key)
+    # Range bounds are sampled: written, so that slices are the same when a part has to be computed again.
+    cut = written(ranged.withColumn("slice", F.spark_partition_id()), "lifecycle-slices")
+    own = Window.partitionBy("document_id", "slice").orderBy("created_at", "event_id")
+    upto, before = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(Window.unboundedPreceding, -1)
     action = F.col("action")
-    done = F.coalesce(F.max((action == "review_completed").cast("int")).over(before), F.lit(0)) == 1
-    rows = events.withColumn("late", done)
-    live = lambda cond: F.when(~F.col("late") & cond, 1).otherwise(0)
-    rank = F.create_map(*[F.lit(x) for a, s in POSITION.items() for x in (a, RANK[s])])
-    rows = rows.withColumns(
-        {
-            "retries": F.sum(live(action == "processing_failed")).over(upto).cast("int"),
-            "corrections": F.sum(live(action == "field_corrected")).over(upto).cast("int"),
-            "opened": F.min("created_at").over(upto),
-        }
-    )
-    place = F.when(F.col("late"), None).when(
-        action == "processing_failed", F.when(F.col("retries") >= MAX_RETRIES, RANK["failed"]).otherwise(0)
-    ).otherwise(F.try_element_at(rank, action))
+    ranks = F.create_map(*[F.lit(x) for a, s in POSITION.items() for x in (a, RANK[s])])
+
+    def count(cond: Column) -> Column:
+        return F.count_if(~F.col("over") & cond).over(upto)
+
+    local = cut.withColumn("over", F.coalesce(F.bool_or(action == "review_completed").over(before), F.lit(False))).withColumns({
+        "n_retries": count(action == "processing_failed"),
+        "n_corrections": count(action == "field_corrected"),
+        "reached": F.coalesce(F.max(F.when(~F.col("over"), F.try_element_at(ranks, action))).over(upto), F.lit(0)),
+    })
+    summary = local.groupBy("document_id", "slice").agg(
+        F.bool_or(action == "review_completed").alias("completes"), F.max("n_retries").alias("n_retries"),
+        F.max("n_corrections").alias("n_corrections"), F.max("reached").alias("reached"), F.min("created_at").alias("opened"))
+    past = Window.partitionBy("document_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    # Once a slice has completed the document, those behind it add nothing.
+    live = ~F.coalesce(F.bool_or("completes").over(past), F.lit(False))
+
+    def carried(name: str, total) -> Column:
+        return F.coalesce(total(F.when(F.col("live"), F.col(name))).over(past), F.lit(0)).alias(f"{name}_0")
+
+    start = summary.withColumn("live", live).select(
+        "document_id", "slice", (~F.col("live")).alias("over_0"), F.min("opened").over(past).alias("opened_0"),
+        carried("n_retries", F.sum), carried("n_corrections", F.sum), carried("reached", F.max))
+    start = start.withColumnsRenamed({"document_id": "_document", "slice": "_slice"})
+    on = [F.col("document_id").eqNullSafe(F.col("_document")), F.col("slice") == F.col("_slice")]
+    met = local.join(start, reduce(Column.__and__, on)).withColumns({
+        "late": F.col("over_0") | F.col("over"),
+        "retries": (F.col("n_retries_0") + F.when(F.col("over_0"), 0).otherwise(F.col("n_retries"))).cast("int"),
+        "corrections": (F.col("n_corrections_0") + F.when(F.col("over_0"), 0).otherwise(F.col("n_corrections"))).cast("int"),
+    })
+    opened = F.least("opened_0", F.min("created_at").over(upto))
+    reached = F.greatest(
+        F.col("reached_0"), F.when(F.col("over_0"), 0).otherwise(F.col("reached")),
+        F.when(F.col("retries") >= MAX_RETRIES, RANK["failed"]).otherwise(0))
     names = F.array(*[F.lit(n) for n, _ in sorted(RANK.items(), key=lambda p: p[1])])
-    rows = rows.withColumn("_rank", F.coalesce(F.max(place).over(upto), F.lit(0)))
-    wait = (F.unix_micros(F.col("created_at").cast("timestamp")) - F.unix_micros(F.col("opened").cast("timestamp"))) / 1000.0
-    return rows.select(
-        "document_id",
-        "event_id",
-        "action",
-        F.element_at(names, F.col("_rank") + 1).alias("state"),
-        "retries",
-        "corrections",
-        F.when(~F.col("late") & (action == "review_completed"), wait).alias("wait_ms"),
-        "late",
-    )
+    wait = (F.unix_micros(F.col("created_at").cast("timestamp")) - F.unix_micros(opened.cast("timestamp"))) / 1000.0
+    return met.select(
+        "document_id", "event_id", "action", F.element_at(names, reached + 1).alias("state"), "retries", "corrections",
+        F.when(~F.col("late") & (action == "review_completed"), wait).alias("wait_ms"), "late")
