@@ -251,7 +251,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, place = asked.flatten().flatten()
         at = place.to_numpy(zero_copy_only=False)
         start, count = texts.offsets[owner] + (at >> 16), (at & 0xFF) + LENGTH
-        step = 1 << 16
+        step = 1 << 12
         for k in range(0, len(at), step):
             c = count[k: k + step]
             data = texts.data[_ranges(start[k: k + step], c)]
