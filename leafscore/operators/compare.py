@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafscore.functions import distance as D
 from leafscore.functions.scalars import ratio
 from leafscore.functions.text import normalize_text
+from leafscore.operators.quantiles import exact_quantiles, with_quantiles
 
 
 def id_mismatch(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -51,19 +52,22 @@ def field_agreement_rates(agreement: DataFrame) -> DataFrame:
 
 
 def run_agreement(compared: DataFrame) -> DataFrame:
-    """One row: exact match rate, mean/median/p95 CER, mean WER and NED, summed token difference."""
-    q = F.percentile("cer", F.array(F.lit(0.5), F.lit(0.95)))
-    return compared.agg(
+    """One row: exact match rate, mean/median/p95 CER, mean WER and NED, summed token difference.
+
+    ``compared`` is read twice, once for its error rates' quantiles: pass a written table if it is dear to derive.
+    """
+    stats = compared.agg(
         F.count("*").alias("documents"),
         F.count_if("exact_text_match").alias("exact_text_match_count"),
         F.round(F.avg(F.col("exact_text_match").cast("int")), 4).alias("exact_text_match_rate"),
         F.round(F.avg("cer"), 4).alias("mean_cer"),
-        F.round(q[0], 4).alias("median_cer"),
-        F.round(q[1], 4).alias("p95_cer"),
         F.round(F.avg("wer"), 4).alias("mean_wer"),
         F.round(F.avg("ned"), 4).alias("mean_ned"),
         F.sum("token_diff").alias("token_count_diff_sum"),
     )
+    found = exact_quantiles(compared, ["cer"], [0.5, 0.95])
+    places = {"median_cer": ("cer", 0), "p95_cer": ("cer", 1)}
+    return with_quantiles(stats, found, places, []).withColumns({n: F.round(n, 4) for n in places})
 
 
 def differing_documents(compared: DataFrame, agreement: DataFrame) -> DataFrame:

@@ -6,11 +6,18 @@ aggregate, so no step gathers a whole document.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafscore.functions.scalars import join_address, plausible_date
 from leafscore.functions.text import contains_any, digit_ratio, is_upper, strip
+from leafscore.operators.quantiles import exact_quantiles
+from leafscore.operators.slices import SLICE, carried, numbered, same, sliced, within
 
 # Keyword lists of the configured vocabulary ("full") and of the built-in one ("short").
 VOCABULARY = {
@@ -352,73 +359,112 @@ def field_union_bbox(fields: DataFrame, boxes: DataFrame) -> DataFrame:
 # Reading order ----------------------------------------------------------------------------------------------
 
 
-def _segments(boxes: DataFrame, factor: float) -> DataFrame:
-    """Tokens with their vertical centre, the document's tolerance, and a segment number.
+def _tolerances(boxes: DataFrame, factor: float) -> DataFrame:
+    """``(document_id, tol)``: the share of the median token height by which a token may miss its line's centre."""
+    height = F.col("y_max") - F.col("y_min")
+    medians = exact_quantiles(boxes.select("document_id", F.when(height > 0, height).alias("height")), ["height"], [0.5], ["document_id"])
+    median = F.coalesce(F.col("m.quantiles")[0], F.lit(15.0))
+    return boxes.select("document_id").distinct().alias("d").join(medians.alias("m"), same("d", "m", ["document_id"]), "left").select(
+        "d.document_id", F.greatest(F.lit(1.0), factor * F.greatest(F.lit(1.0), median)).alias("tol"))
+
+
+CENTRE_ORDER = ["yc", "x_min", "idx"]
+
+
+def _segments(boxes: DataFrame, factor: float, slices: int | None = None) -> DataFrame:
+    """Tokens with their vertical centre, the document's tolerance, and a segment: the centre of its first token.
 
-    Sorted by centre, a step wider than the tolerance always starts a new line, so it is a safe place to cut.
+    Sorted by centre, a step wider than the tolerance always starts a new line, so it is a safe place to cut. The
+    order is by slices, so a document of any size spreads over tasks.
     """
-    height = F.col("y_max") - F.col("y_min")
-    tolerance = boxes.groupBy("document_id").agg(
-        F.greatest(
-            F.lit(1.0), factor * F.greatest(F.lit(1.0), F.coalesce(F.median(F.when(height > 0, height)), F.lit(15.0)))
-        ).alias("tol")
-    )
-    w = Window.partitionBy("document_id").orderBy("yc", "x_min", "idx")
-    return (
-        boxes.withColumn("yc", (F.col("y_min") + F.col("y_max")) / 2.0)
-        .join(tolerance, "document_id")
-        .withColumn("_cut", F.coalesce((F.col("yc") - F.lag("yc").over(w) > F.col("tol")).cast("int"), F.lit(0)))
-        .withColumn("segment", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .drop("_cut")
-    )
+    doc = ["document_id"]
+    rows = boxes.withColumn("yc", (F.col("y_min") + F.col("y_max")) / 2.0).alias("b").join(
+        _tolerances(boxes, factor).alias("t"), same("b", "t", doc)).select("b.*", "t.tol")
+    cut = sliced(rows, doc, CENTRE_ORDER, "reading-slices", slices)
+    own = within(doc, CENTRE_ORDER)
+    cut = carried(cut, doc, [F.max("yc").alias("last")], {"_last": F.max("last")})
+    step = F.col("yc") - F.coalesce(F.lag("yc").over(own), F.col("_last"))
+    starts = F.when(step.isNull() | (step > F.col("tol")), F.col("yc"))
+    cut = cut.withColumn("_start", F.max(starts).over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("_last")
+    cut = carried(cut, doc, [F.max("_start").alias("last")], {"_from": F.max("last")})
+    return cut.withColumn("segment", F.coalesce("_start", "_from")).drop("_start", "_from", SLICE)
+
 
+LINE_COLUMNS = ["document_id", "idx", "text", "x_min", "y_min", "segment"]
+LOOK_AHEAD = 16
 
-def reading_lines(boxes: DataFrame, factor: float = 0.5, exact: bool = True) -> DataFrame:
+
+def fold_lines(yc: np.ndarray, first: np.ndarray, tol: np.ndarray, total: np.ndarray, n: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The line of every token: it joins its segment's line within the tolerance of that line's mean centre.
+
+    Segment ``k`` has the tokens from ``first[k]`` to ``first[k + 1]``. ``total``, ``n`` and ``line`` are the open lines'
+    sums, sizes and numbers; they are brought up to date. A round looks at the next few tokens of all segments.
+    """
+    out = np.empty(len(yc), np.int32)
+    at, end = first[:-1].copy(), first[1:]
+    left = np.flatnonzero(at < end)
+    ahead = np.arange(LOOK_AHEAD)
+    while len(left):
+        place = at[left, None] + ahead
+        inside = place < end[left, None]
+        y = np.where(inside, yc[np.minimum(place, len(yc) - 1)], 0.0)
+        sums = np.cumsum(np.concatenate([total[left, None], y], axis=1), axis=1)
+        size = n[left, None] + ahead
+        far = inside & (size > 0) & (np.abs(y - sums[:, :-1] / np.maximum(size, 1)) > tol[left, None])
+        breaks = far.any(axis=1)
+        take = np.where(breaks, far.argmax(axis=1), inside.sum(axis=1))
+        joins = ahead < take[:, None]
+        out[place[joins]] = np.repeat(line[left], take)
+        at[left] += take
+        total[left] = np.where(breaks, 0.0, sums[np.arange(len(left)), take])
+        n[left] = np.where(breaks, 0, n[left] + take)
+        line[left] += breaks
+        left = left[at[left] < end[left]]
+    return out
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of tokens that come sorted by document, segment and centre; what is open at a batch's end is carried over."""
+    state = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        doc, segment, yc, tol = (batch.column(c) for c in ("document_id", "segment", "yc", "tol"))
+        number = pc.fill_null(doc.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        place = segment.to_numpy(zero_copy_only=False)
+        new = np.ones(len(yc), bool)
+        new[1:] = (number[1:] != number[:-1]) | (place[1:] != place[:-1])
+        heads = np.flatnonzero(new)
+        total, n, line = np.zeros(len(heads)), np.zeros(len(heads), np.int64), np.zeros(len(heads), np.int32)
+        if state is not None and state[0] == (doc[0].as_py(), place[0]):
+            total[0], n[0], line[0] = state[1:]
+        found = fold_lines(yc.to_numpy(zero_copy_only=False), np.append(heads, len(yc)), tol.to_numpy(zero_copy_only=False)[heads], total, n, line)
+        state = (doc[-1].as_py(), place[-1]), total[-1], n[-1], line[-1]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in LINE_COLUMNS], pa.array(found)], names=[*LINE_COLUMNS, "line"])
+
+
+def reading_lines(boxes: DataFrame, factor: float = 0.5, exact: bool = True, slices: int | None = None) -> DataFrame:
     """Token -> line assignment ``(document_id, idx, text, x_min, y_min, segment, line)``.
 
-    ``exact`` compares each token with its line's running mean centre, folding only over one segment at a time;
-    otherwise a segment is a line, which differs on slowly drifting lines.
+    ``exact`` compares each token with its line's running mean centre: tokens stream by in order and a segment's open
+    line is a sum, a size and a number, so work is linear and memory is a batch, also for a document of one segment.
+    Otherwise a segment is a line, which differs on slowly drifting lines.
     """
-    cut = _segments(boxes, factor)
+    cut = _segments(boxes, factor, slices)
     if not exact:
         return cut.select("document_id", "idx", "text", "x_min", "y_min", "segment", F.lit(0).alias("line"))
-    token = F.struct("yc", "x_min", "idx", "y_min", "text")
-    grouped = cut.groupBy("document_id", "segment").agg(
-        F.first("tol").alias("tol"), F.array_sort(F.collect_list(token)).alias("tokens")
-    )
-    state = F.struct(
-        F.lit(0.0).alias("total"),
-        F.lit(0).alias("n"),
-        F.lit(-1).alias("line"),
-        F.array().cast("array<int>").alias("lines"),
-    )
+    rows = cut.select(*LINE_COLUMNS, "yc", F.col("tol").cast("double"))
+    ordered = rows.repartition("document_id", "segment").sortWithinPartitions("document_id", "segment", *CENTRE_ORDER)
+    return ordered.mapInArrow(_lines, rows.select(*LINE_COLUMNS, F.lit(0).alias("line")).schema)
 
-    def step(acc: Column, t: Column) -> Column:
-        joins = (acc["n"] > 0) & (F.abs(t["yc"] - acc["total"] / F.greatest(acc["n"], F.lit(1))) <= F.col("tol"))
-        line = F.when(joins, acc["line"]).otherwise(acc["line"] + 1)
-        return F.struct(
-            F.when(joins, acc["total"] + t["yc"]).otherwise(t["yc"]).alias("total"),
-            F.when(joins, acc["n"] + 1).otherwise(F.lit(1)).alias("n"),
-            line.alias("line"),
-            F.concat(acc["lines"], F.array(line)).alias("lines"),
-        )
-
-    folded = grouped.withColumn("lines", F.aggregate("tokens", state, step, lambda acc: acc["lines"]))
-    return folded.select(
-        "document_id", "segment", F.explode(F.arrays_zip("tokens", "lines")).alias("z")
-    ).select(
-        "document_id", "z.tokens.idx", "z.tokens.text", "z.tokens.x_min", "z.tokens.y_min", "segment",
-        F.col("z.lines").alias("line"),
-    )
 
-
-def reading_order(boxes: DataFrame, factor: float = 0.5, exact: bool = True) -> DataFrame:
+def reading_order(boxes: DataFrame, factor: float = 0.5, exact: bool = True, slices: int | None = None) -> DataFrame:
     """Lines of text top to bottom: ``(document_id, line_no, text)``; blank lines are dropped."""
-    lines = reading_lines(boxes, factor, exact)
+    lines = reading_lines(boxes, factor, exact, slices)
     words = F.array_sort(F.collect_list(F.struct("x_min", "y_min", "idx", strip("text").alias("t"))))
     kept = F.filter(F.transform(words, lambda s: s["t"]), lambda s: s != "")
     out = lines.groupBy("document_id", "segment", "line").agg(
         F.min("y_min").alias("top"), F.array_join(kept, " ").alias("text")
-    )
-    w = Window.partitionBy("document_id").orderBy("top", "segment", "line")
-    return out.where("text <> ''").select("document_id", F.row_number().over(w).alias("line_no"), "text")
+    ).where("text <> ''")
+    return numbered(out, ["document_id"], ["top", "segment", "line"], "line_no", "reading-lines", slices).select(
+        "document_id", "line_no", "text")

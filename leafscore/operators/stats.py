@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafscore.functions.scalars import mean4, ratio
-from leafscore.operators import scoring
+from leafscore.operators import quantiles, scoring
 
 
 def condition_counts(records: DataFrame, conditions: DataFrame | None = None) -> DataFrame:
@@ -218,24 +218,16 @@ def run_integrity(checks: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
 def latency_stats(samples: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
     """Mean, median, population deviation, extremes and exact p90/p95/p99, two decimals.
 
-    Exact percentiles keep one counter per distinct value. Latencies here are fractional milliseconds, so round
-    very fine timers before calling this on billions of rows.
+    Percentiles are found over value ranges (``quantiles``), so any number of different times may be given.
     """
+    keys = keys or []
     v = F.col(value)
-    q = F.percentile(v, F.array(*[F.lit(x) for x in (0.5, 0.9, 0.95, 0.99)]))
     two = lambda c: F.round(c, 2)
-    return (
-        samples.groupBy(*(keys or []))
-        .agg(
-            two(F.avg(v)).alias("mean_ms"),
-            two(F.stddev_pop(v)).alias("std_ms"),
-            two(F.min(v)).alias("min_ms"),
-            two(F.max(v)).alias("max_ms"),
-            q.alias("_q"),
-        )
-        .withColumns({f"{n}_ms": two(F.col("_q")[i]) for i, n in enumerate(("median", "p90", "p95", "p99"))})
-        .drop("_q")
-    )
+    stats = samples.groupBy(*keys).agg(
+        two(F.avg(v)).alias("mean_ms"), two(F.stddev_pop(v)).alias("std_ms"), two(F.min(v)).alias("min_ms"), two(F.max(v)).alias("max_ms"))
+    places = {f"{n}_ms": (value, k) for k, n in enumerate(("median", "p90", "p95", "p99"))}
+    found = quantiles.exact_quantiles(samples, [value], [0.5, 0.9, 0.95, 0.99], keys)
+    return quantiles.with_quantiles(stats, found, places, keys).withColumns({n: two(n) for n in places})
 
 
 def speedup_projection(slow: DataFrame, fast: DataFrame, evaluations: int) -> DataFrame:

@@ -197,7 +197,7 @@ def _(t):
 
 @query("run_agreement")
 def _(t):
-    return C.run_agreement(C.run_compare(spread(t.run_pairs, "document_id")))
+    return C.run_agreement(t.once(C.run_compare(spread(t.run_pairs, "document_id")), "compared"))
 
 
 @query("run_id_mismatch", """SELECT coalesce(a.document_id, b.document_id) AS document_id, CASE WHEN a.document_id IS NULL THEN 'only_b' ELSE 'only_a' END AS side

@@ -140,9 +140,18 @@ def _boxes(t):
     ).withColumn("y_max", F.col("y_min") + 10.0)
 
 
-@query("reading_order")
+# Each token is compared with the mean centre of the line before it, one token of every document per step.
+@query("reading_order", """WITH RECURSIVE b AS (SELECT document_id, idx, trim(text) AS t, x_min, idx // 2 * 12.0E0 + idx % 2 * 3 + document_id % 5 AS y_min FROM {page_tokens}),
+  s AS (SELECT *, y_min + 5 AS yc, row_number() OVER (PARTITION BY document_id ORDER BY y_min, x_min, idx) AS k FROM b),
+  f AS (SELECT document_id, k, yc AS total, 1 AS n, 1 AS line FROM s WHERE k = 1
+    UNION ALL
+    SELECT s.document_id, s.k, CASE WHEN abs(s.yc - f.total / f.n) <= 5.0E0 THEN f.total + s.yc ELSE s.yc END,
+      CASE WHEN abs(s.yc - f.total / f.n) <= 5.0E0 THEN f.n + 1 ELSE 1 END, CASE WHEN abs(s.yc - f.total / f.n) <= 5.0E0 THEN f.line ELSE f.line + 1 END
+    FROM f JOIN s ON s.document_id = f.document_id AND s.k = f.k + 1),
+  l AS (SELECT document_id, line, min(y_min) AS top, string_agg(t, ' ' ORDER BY x_min, y_min, idx) FILTER (t <> '') AS text
+    FROM f JOIN s USING (document_id, k) GROUP BY 1, 2)
+  SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY top, line)::INTEGER AS line_no, text FROM l WHERE text IS NOT NULL""")
 def _(t):
-    """Running-mean line fold; checked against a plain loop in the tests."""
     return X.reading_order(_boxes(t))
 
 

@@ -285,8 +285,13 @@ def duckdb_sql(body: str) -> str:
     """The body with every ``{view}`` it names prepended as a common table expression."""
     names = _ordered(tuple(dict.fromkeys(n for n in _NAME.findall(body) if n in VIEWS or n in TABLES)))
     ctes = [f"{n} AS ({VIEWS[n]})" for n in names]
-    sql = (f"WITH {', '.join(ctes)} {body}" if ctes and not body.lstrip().upper().startswith("WITH ")
-           else f"WITH {', '.join(ctes)}, {body.lstrip()[5:]}" if ctes else body)
+    start = re.match(r"\s*WITH (RECURSIVE )?", body)
+    if not ctes:
+        sql = body
+    elif start:
+        sql = f"WITH {start[1] or ''}{', '.join(ctes)}, {body[start.end():]}"
+    else:
+        sql = f"WITH {', '.join(ctes)} {body}"
 
     def known(m: re.Match) -> str:
         name = m.group(1)

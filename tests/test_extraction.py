@@ -1,5 +1,7 @@
+import random
 import re
 
+import numpy as np
 import pytest
 
 from leafscore.operators import extraction as X
@@ -181,3 +183,63 @@ def test_fast_reading_order_differs_only_on_drift(spark):
     df = spark.createDataFrame(level, BOXES)
     assert [tuple(r) for r in X.reading_order(df, exact=False).orderBy("line_no").collect()] == [
         tuple(r) for r in X.reading_order(df).orderBy("line_no").collect()]
+
+
+def dense_document(n):
+    """One document whose tokens follow each other so closely that nothing can be cut, in steps of a sixteenth."""
+    rng = random.Random(n)
+    centres, y = [], 0.0
+    for _ in range(n):
+        y += rng.choice([0, 0, 1, 1, 2, 40]) / 16
+        centres.append(y)
+    return centres
+
+
+def plain_line_numbers(centres, tol):
+    total, n, line, out = 0.0, 0, 0, []
+    for y in centres:
+        if n and abs(y - total / n) > tol:
+            total, n, line = 0.0, 0, line + 1
+        total, n = total + y, n + 1
+        out.append(line)
+    return out
+
+
+@pytest.mark.parametrize("cuts", [[], [1, 2, 3, 5], list(range(7, 4000, 13))])
+def test_line_fold_is_the_same_however_it_is_cut(cuts):
+    centres = np.array(dense_document(4000))
+    found, total, n, line = [], np.zeros(1), np.zeros(1, np.int64), np.zeros(1, np.int32)
+    for a, b in zip([0, *cuts], [*cuts, 4000]):
+        found += X.fold_lines(centres[a:b], np.array([0, b - a]), np.array([5.0]), total, n, line).tolist()
+    assert found == plain_line_numbers(centres.tolist(), 5.0)
+
+
+def test_many_segments_fold_at_once():
+    rng = random.Random(2)
+    parts = [dense_document(rng.choice([1, 2, 17, 60])) for _ in range(200)]
+    first = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    tol = np.array([rng.choice([1.0, 3.0, 5.0]) for _ in parts])
+    zero = np.zeros(len(parts), np.int64)
+    got = X.fold_lines(np.concatenate(parts), first, tol, np.zeros(len(parts)), zero, zero.astype(np.int32))
+    assert got.tolist() == [v for p, t in zip(parts, tol) for v in plain_line_numbers(p, t)]
+
+
+def test_a_document_of_very_many_tokens_spreads_over_slices(spark):
+    """One segment in many slices, batches and partitions; line by line as the plain loop has it."""
+    n = 60_000
+    centres = dense_document(n)
+    df = spark.createDataFrame([(1, i, f"w{i}", float(i % 7), y - 5, y + 5) for i, y in enumerate(centres)], BOXES).repartition(5)
+    cut = X._segments(df, 0.5, slices=9)
+    assert cut.select("segment").distinct().count() == 1
+    got = X.reading_lines(df, slices=9).select("idx", "line").toPandas().set_index("idx")["line"]
+    order = sorted(range(n), key=lambda i: (centres[i], i % 7, i))
+    want = plain_line_numbers([centres[i] for i in order], 5.0)
+    assert got.loc[order].tolist() == want
+    lines = X.reading_order(df, slices=9).orderBy("line_no").select("line_no").collect()
+    assert [r[0] for r in lines] == list(range(1, want[-1] + 2))
+
+
+def test_reading_order_of_nulls_and_no_rows(spark):
+    df = spark.createDataFrame([(None, 1, "b", 9.0, 0.0, 10.0), (None, 2, "a", 1.0, 1.0, 11.0), (4, 1, " ", 0.0, 0.0, 0.0)], BOXES)
+    assert [tuple(r) for r in X.reading_order(df).collect()] == [(None, 1, "a b")]
+    assert X.reading_order(df.limit(0)).count() == 0
