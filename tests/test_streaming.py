@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from leafscore.streaming import kpis as K
 from leafscore.streaming import lifecycle as L
-from leafscore.streaming.run import run_available, with_open_windows
+from leafscore.streaming.run import Arrivals, run_available
 
 SCHEMA = "event_id bigint, document_id bigint, action string, field_name string, created_at timestamp"
 ACTIONS = ["document_uploaded", "decision_evaluated", "field_corrected", "review_completed", "processing_failed"]
@@ -51,14 +52,80 @@ def test_repeated_delivery_counts_once(stream, batch):
     assert K.dedup(batch.unionByName(batch)).count() == 400
 
 
-def test_lifecycle_equals_the_batch_in_order(spark, batch, tmp_path):
-    folder = str(tmp_path / "ordered")
-    for part in range(4):
-        batch.where(F.floor(F.col("event_id") / 100) == part).coalesce(1).write.mode("append").parquet(folder)
-    ordered = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
-    got = sorted((tuple(r) for r in run_available(L.lifecycle(ordered), "t").collect()), key=lambda r: r[1])
+def replay(spark, folder, events, build, keys=None, **options):
+    """The stream over files that arrive late and out of order, stopped after three of them and resumed."""
+    feed = Arrivals(events, f"{folder}/in", "created_at", F.col("event_id") % 13 == 0, parts=6)
+
+    def run():
+        files = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(feed.folder)
+        return run_available(build(files, feed.delay), "t", location=f"{folder}/sink", **options)
+
+    for part in range(3):
+        feed.send(part)
+    first = run().count()
+    for part in range(3, feed.parts + 1):
+        feed.send(part)
+    feed.close(event_id=F.lit(-1), document_id=F.lit(-1), action=F.lit("field_corrected"))
+    return first, run()
+
+
+def test_lifecycle_equals_the_batch_however_events_arrive(spark, batch, tmp_path):
+    """Late and out-of-order arrivals in seven files, several micro-batches, one restart: every event as in the batch."""
+    shuffled = batch.orderBy(F.hash("event_id")).coalesce(1)
+    first, rows_ = replay(spark, str(tmp_path), shuffled, L.lifecycle, rocksdb=True)
+    got = sorted((tuple(r) for r in rows_.collect()), key=lambda r: r[1])
     want = sorted((tuple(r) for r in L.lifecycle_batch(batch).collect()), key=lambda r: r[1])
-    assert got == want
+    assert got == want and 0 < first < len(got) == 400
+    commits = list((tmp_path / "sink" / "checkpoint" / "commits").glob("[0-9]*"))
+    assert len(commits) >= 8
+
+
+@pytest.mark.parametrize("build", [K.daily_kpis, K.correction_rate, K.review_sessions])
+def test_a_closed_stream_delivers_every_window_by_itself(spark, batch, tmp_path, build):
+    first, rows_ = replay(spark, str(tmp_path), batch, build)
+    want = sorted(map(str, build(batch).collect()))
+    assert sorted(map(str, rows_.collect())) == want and 0 < first < len(want)
+
+
+def test_repeated_deliveries_and_ties_apply_once_in_order(spark, tmp_path):
+    when = datetime(2024, 1, 1)
+    part = [(2, 5, "review_completed", None, when), (1, 5, "field_corrected", None, when), (3, 5, "field_corrected", None, when)]
+    events = spark.createDataFrame(part + part, SCHEMA)
+    _, rows_ = replay(spark, str(tmp_path), events, L.lifecycle, rocksdb=True)
+    got = sorted((r.event_id, r.state, r.corrections, r.late) for r in rows_.collect())
+    assert got == [(1, "corrected", 1, False), (2, "completed", 1, False), (3, "completed", 1, True)]
+
+
+def plain_lifecycle(events):
+    out, states = {}, {}
+    for e in sorted(events, key=lambda r: (r[1], r[4], r[0])):
+        state, wait, late = L.advance(states.get(e[1], L.NEW), e[2], e[4].timestamp() * 1000)
+        states[e[1]] = state
+        out[e[0]] = (e[1], e[2], *state[:3], wait, late)
+    return out
+
+
+@pytest.mark.parametrize("slices", [None, 1, 13])
+def test_batch_lifecycle_matches_the_plain_loop_for_a_hot_document(spark, slices):
+    rng = random.Random(3)
+    start = datetime(2024, 1, 1)
+    early = ACTIONS[:3] + ["processing_failed", "note"]
+    events = [(i, rng.choice([1, 1, 1, 2, 3, 4, 50]), rng.choice(early if i < 2300 else ACTIONS), None, start + timedelta(seconds=rng.randint(0, 9999) + 20 * i))
+              for i in range(3000)]
+    df = spark.createDataFrame(events, SCHEMA).repartition(5)
+    got = {r.event_id: (r.document_id, r.action, r.state, r.retries, r.corrections, r.wait_ms, r.late) for r in L.lifecycle_batch(df, slices).collect()}
+    want = plain_lifecycle(events)
+    assert set(got) == set(want)
+    for k, w in want.items():
+        assert got[k][:5] == w[:5] and got[k][6] == w[6] and got[k][5] == pytest.approx(w[5])
+
+
+def test_a_hot_document_is_several_slices(spark):
+    from leafscore.operators.slices import SLICE, sliced
+
+    df = spark.range(4000).select(F.lit(1).alias("document_id"), F.col("id").alias("event_id"))
+    sizes = [r[1] for r in sliced(df, ["document_id"], ["event_id"], "t", 8).groupBy(SLICE).count().collect()]
+    assert len(sizes) >= 7 and max(sizes) < 1500
 
 
 def test_lifecycle_steps():
@@ -115,16 +182,8 @@ def test_a_stopped_stream_resumes_without_repeats_or_gaps(spark, tmp_path):
     assert run() == list(range(300))
 
 
-def test_open_windows_follow_when_the_input_ends(spark):
-    batch_ = spark.createDataFrame(rows(), SCHEMA)
-    whole = K.daily_kpis(batch_)
-    last = whole.agg(F.max("window_end")).first()[0]
-    closed = whole.where(F.col("window_end") < last)
-    assert sorted(map(tuple, with_open_windows(closed, whole, ["window_start", "action"]).collect())) == sorted(map(tuple, whole.collect()))
-
-
 def test_lifecycle_state_expires(spark, tmp_path):
-    """Day files: document 1 returns long after its state has expired and starts anew; document 2 stays in time."""
+    """Day files: document 1 returns long after its last event and starts anew; document 2 stays in time."""
     start = datetime(2024, 1, 1)
     days = [
         [(1, 1, "review_completed", None, start), (2, 2, "field_corrected", None, start)],
@@ -132,13 +191,19 @@ def test_lifecycle_state_expires(spark, tmp_path):
         [(4, 3, "document_uploaded", None, start + timedelta(days=30)), (5, 2, "field_corrected", None, start + timedelta(days=30))],
         [(6, 3, "decision_evaluated", None, start + timedelta(days=31))],
         [(7, 1, "field_corrected", None, start + timedelta(days=60)), (8, 3, "field_corrected", None, start + timedelta(days=32))],
+        [(9, 9, "field_corrected", None, start + timedelta(days=200))],
     ]
     folder = str(tmp_path / "events")
     for part in days:
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
     files = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
-    got = {r.event_id: (r.state, r.corrections, r.late) for r in run_available(L.lifecycle(files, timedelta(days=10)), "t").collect()}
+
+    def run(keep):
+        rows_ = run_available(L.lifecycle(files, "2 days", keep), "t", rocksdb=True)
+        return {r.event_id: (r.state, r.corrections, r.late) for r in rows_.collect()}
+
+    got = run(timedelta(days=10))
     assert got[3] == ("corrected", 2, False) and got[8] == ("corrected", 1, False)
-    assert got[7] == ("corrected", 1, False)  # the completed state of document 1 is gone
-    kept = {r.event_id: (r.state, r.late) for r in run_available(L.lifecycle(files), "t").collect()}
-    assert kept[7] == ("completed", True)
+    assert got[5] == ("corrected", 1, False) and got[7] == ("corrected", 1, False)  # their earlier states are gone
+    kept = run(None)
+    assert kept[7] == ("completed", 0, True) and kept[5] == ("corrected", 3, False)
