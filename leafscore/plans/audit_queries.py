@@ -9,10 +9,13 @@ from leafscore.operators import compare as C
 from leafscore.operators import matrix as M
 from leafscore.operators import robustness as R
 from leafscore.operators import sampling as P
+from leafscore.operators.canonical import nested_config_hash
 from leafscore.operators.layout import spread
 from leafscore.plans.matrix_queries import configured
 from leafscore.plans.registry import query
 from leafscore.plans.scoring_queries import text_sql
+from leafscore.session import shared_dir
+from leafscore.sources import corpus
 
 LINES = """pt AS (SELECT document_id, line_no, string_split(line, ',') AS p FROM {box_lines} WHERE trim(line) <> ''),
   pc AS (SELECT *, list_transform(p[1:8], lambda x: TRY_CAST(trim(x) AS DOUBLE)) AS c FROM pt),
@@ -42,6 +45,32 @@ def _(t):
     return A.parse_entities(t.entity_files)
 
 
+# The files of the corpus as a real tree: every tenth name in capitals, next to files that are no part of it.
+NAMED = """concat(stem, CASE kind WHEN 'img' THEN CASE WHEN size % 10 = 3 THEN '.PNG' ELSE '.jpg' END WHEN 'box' THEN '.txt' ELSE '.json' END)"""
+
+
+@query("read_corpus_index", f"""WITH f AS (SELECT split, stem, kind, concat(split, '/', kind, '/', {NAMED}) AS path FROM {{corpus_files}})
+  SELECT split, stem, max(path) FILTER (kind = 'img') AS img_path, max(path) FILTER (kind = 'box') AS box_path,
+    max(path) FILTER (kind = 'entities') AS entities_path,
+    bool_or(kind = 'img') OR split NOT IN (SELECT split FROM f WHERE kind = 'img') AS is_document FROM f GROUP BY split, stem""")
+def _(t):
+    root = shared_dir(t.spark, "corpus-tree")
+    files = t.corpus_files.select("split", "kind", F.expr(NAMED).alias("name"), "size")
+    others = files.where("size % 50 = 1").select("split", "kind", F.concat(F.lit("."), "name").alias("name"), F.lit(1).alias("size"))
+    corpus.write_corpus_tree(files.unionByName(others), root)
+    index = corpus.read_corpus_index(t.spark, root)
+    inner = lambda c: F.regexp_extract(c, r"((train|test)/(img|box|entities)/[^/]+)$", 1)
+    return index.withColumns({c: F.when(F.col(c).isNotNull(), inner(c)) for c in ("img_path", "box_path", "entities_path")})
+
+
+@query("read_corpus_files", "SELECT split, kind, stem, size FROM {corpus_files}")
+def _(t):
+    """Sizes as listed, zero-length files among them."""
+    root = shared_dir(t.spark, "corpus-sizes")
+    corpus.write_corpus_tree(t.corpus_files.select("split", "kind", F.expr(NAMED).alias("name"), "size"), root)
+    return corpus.read_corpus_files(t.spark, root)
+
+
 CHECKS = """ck AS (SELECT document_id, idx, array_to_string(list_filter([CASE WHEN confidence IS NOT NULL AND TRY_CAST(confidence AS DOUBLE) IS NULL THEN 'confidence_not_a_number' END,
     CASE WHEN TRY_CAST(confidence AS DOUBLE) * 1.1E0 > 1 THEN 'confidence_out_of_range' END, CASE WHEN document_id % 37 = 0 THEN 'box_inverted' END], lambda x: x IS NOT NULL), ',') AS violations FROM {page_tokens})"""
 
@@ -256,6 +285,31 @@ def _(t):
     return P.config_hash(t.config_entries)
 
 
+# Nested configurations of the parts: objects and lists three levels deep, run-time keys at every one.
+NESTED = """'{"brand":"' || p_brand || '","pipeline":{"steps":[{"name":"' || p_name || '","size":' || p_size::VARCHAR || '},"' || p_type
+    || '"],"types":[]},"threshold":' || CASE WHEN p_size % 2 = 0 THEN '0.5' ELSE '10' END || '}'"""
+
+
+@query("config_hash_nested", f"SELECT p_partkey AS config_id, sha256({NESTED}) AS config_hash FROM {{part}}")
+def _(t):
+    def field(name, value):
+        return F.concat(F.lit(f'"{name}": '), value)
+
+    def text(c):
+        return F.concat(F.lit('"'), F.col(c), F.lit('"'))
+
+    def listed(*fields):
+        return F.concat(F.lit("{"), F.concat_ws(" , ", *fields), F.lit("}"))
+
+    stamp = field("timestamp", F.col("p_retailprice").cast("string"))
+    step = listed(stamp, field("size", F.col("p_size").cast("string")), field("name", text("p_name")), field("run_id", listed(stamp)))
+    steps = F.concat(F.lit("["), step, F.lit(", "), text("p_type"), F.lit("]"))
+    pipeline = listed(field("types", F.lit("[ ]")), field("log_dir", F.lit("[1, 2]")), field("steps", steps))
+    threshold = F.when(F.col("p_size") % 2 == 0, "0.50").otherwise("10.0")
+    whole = listed(field("threshold", threshold), field("pid", F.col("p_size").cast("string")), field("pipeline", pipeline), field("brand", text("p_brand")))
+    return nested_config_hash(t.part.select(F.col("p_partkey").alias("config_id"), F.parse_json(whole).alias("config")))
+
+
 # Robustness on text ---------------------------------------------------------------------------------------------
 
 B1 = f"""b1 AS (SELECT 'none' AS degradation, 0 AS severity UNION ALL SELECT g, v FROM (SELECT unnest([{', '.join(repr(n) for n in M.DEGRADATION_CODE if n not in ('none', 'control'))}]) AS g)

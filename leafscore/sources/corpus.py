@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import islice
+from urllib.parse import unquote, urlparse
+
 import pandas as pd
 from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from leafscore.operators.audit import parse_box_lines, parse_entities
 
@@ -18,45 +25,102 @@ EXTENSIONS = {
 TREE = r"/(train|test)/(img|box|entities)/([^/]+)\.([^./]+)$"
 
 
-def _folders(root: str) -> list[tuple[str, str, str]]:
-    """(split, kind, folder) of the tree at ``root`` or in one nested folder; looks at folder names only."""
-    store, base = FileSystem.from_uri(root)
-    names = lambda d: [
-        i.path for i in store.get_file_info(FileSelector(d, allow_not_found=True)) if i.type == FileType.Directory
-    ]
-    top = names(base)
-    if not any(d.rsplit("/", 1)[-1] in ("train", "test") for d in top):
-        top = [inner for d in top for inner in names(d)]
-    out = []
-    for split in (d for d in top if d.rsplit("/", 1)[-1] in ("train", "test")):
-        for kind in names(split):
-            if kind.rsplit("/", 1)[-1] in EXTENSIONS:
-                out.append((split.rsplit("/", 1)[-1], kind.rsplit("/", 1)[-1], kind))
-    return out
+#: Names of a folder that are looked at to find the bounds of its parts.
+SAMPLED_NAMES = 4096
+
+
+@dataclass
+class NameRange(InputPartition):
+    """The files of one folder whose names lie in ``[low, high)``; ``None`` is open."""
+
+    split: str
+    kind: str
+    folder: str
+    low: str | None
+    high: str | None
+
+    def holds(self, name: str) -> bool:
+        return (self.low is None or name >= self.low) and (self.high is None or name < self.high)
+
+
+class _Store:
+    """Folder listings of a local path or of any store that has a URI scheme."""
+
+    def __init__(self, root: str) -> None:
+        self.local = "://" not in root or root.startswith("file:")
+        self.scheme = "" if self.local or "://" not in root else root.split("://", 1)[0] + "://"
+        self.base = unquote(urlparse(root).path) if self.local and root.startswith("file:") else root
+
+    def entries(self, folder: str) -> Iterator[tuple[str, str, int | None]]:
+        """(name, path, size) of each entry, size being null for folders; a local listing is read as it goes."""
+        if self.local:
+            if os.path.isdir(folder):
+                with os.scandir(folder) as found:
+                    for e in found:
+                        yield e.name, e.path, e.stat().st_size if e.is_file() else None
+            return
+        store, path = FileSystem.from_uri(folder)
+        for i in store.get_file_info(FileSelector(path, allow_not_found=True)):
+            yield i.base_name, self.scheme + i.path, i.size if i.type == FileType.File else None
+
+    def folders(self, folder: str) -> dict[str, str]:
+        return {name: path for name, path, size in self.entries(folder) if size is None}
+
+
+class CorpusTreeReader(DataSourceReader):
+    """Lists the ``img``, ``box`` and ``entities`` folders of each split, one task per range of file names."""
+
+    def __init__(self, root: str, parts: int) -> None:
+        self.root, self.parts = root, parts
+
+    def partitions(self) -> list[NameRange]:
+        store = _Store(self.root)
+        if store.local and not os.path.isdir(store.base):
+            raise FileNotFoundError(f"no corpus at {self.root}")
+        top = store.folders(store.base)
+        if not top.keys() & {"train", "test"}:
+            nested = [store.folders(path) for _, path in sorted(top.items())]
+            top = next((t for t in nested if t.keys() & {"train", "test"}), {})
+        out = []
+        for split in ("train", "test"):
+            for kind, folder in sorted(store.folders(top[split]).items() if split in top else ()):
+                if kind in EXTENSIONS:
+                    names = sorted(e[0] for e in islice(store.entries(folder), SAMPLED_NAMES))
+                    cuts = sorted({names[len(names) * k // self.parts] for k in range(1, self.parts)} if names else ())
+                    out += [NameRange(split, kind, folder, a, b) for a, b in zip([None, *cuts], [*cuts, None])]
+        return out or [NameRange("", "", "", "", "")]
+
+    def read(self, partition: NameRange) -> Iterator[tuple]:
+        if not partition.folder:
+            return
+        for name, path, size in _Store(self.root).entries(partition.folder):
+            if size is not None and partition.holds(name):
+                yield partition.split, partition.kind, name, size, path
+
+
+class CorpusTree(DataSource):
+    """``spark.read.format("corpus_tree").option("parts", 8).load(root)``: file metadata of a corpus tree.
+
+    Contents are never read and zero-length files are kept, which Spark's own file sources leave out of a scan and
+    which are what the audit looks for. A folder is split into ``parts`` ranges of names, with bounds from a bounded
+    look at its names, so its rows spread over tasks. A root that holds neither split may hold them one folder down.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "corpus_tree"
 
+    def schema(self) -> str:
+        return "split string, kind string, name string, size bigint, path string"
 
-def _listing(spark: SparkSession, root: str) -> DataFrame:
-    """File metadata of the tree, listed by one task per folder; contents are never read.
+    def reader(self, schema) -> CorpusTreeReader:
+        return CorpusTreeReader(self.options["path"], int(self.options.get("parts", 8)))
 
-    Spark's own file sources leave zero-length files out of a scan, and those are what the audit looks for.
-    """
-    scheme = root.split("://", 1)[0] + "://" if "://" in root else ""
-
-    def entries(batches):
-        for folders in batches:
-            for split, kind, folder in folders.itertuples(index=False):
-                store, base = FileSystem.from_uri(scheme + folder if scheme else folder)
-                files = [i for i in store.get_file_info(FileSelector(base)) if i.type == FileType.File]
-                for k in range(0, len(files), 10_000):
-                    part = files[k : k + 10_000]
-                    yield pd.DataFrame(
-                        {"split": split, "kind": kind, "name": [i.base_name for i in part],
-                         "size": [i.size for i in part], "path": [scheme + i.path for i in part]}
-                    )
-
-    folders = spark.createDataFrame(_folders(root), "split string, kind string, folder string")
-    spread = folders.repartition(max(1, len(EXTENSIONS) * 2), "folder")
-    rows = spread.mapInPandas(entries, "split string, kind string, name string, size bigint, path string")
+
+def _listing(spark: SparkSession, root: str, parts: int = 8) -> DataFrame:
+    """File metadata of the tree with stems and lower-case endings; other files and hidden ones are left out."""
+    spark.dataSource.register(CorpusTree)
+    rows = spark.read.format("corpus_tree").option("parts", parts).load(root)
     part = lambda k: F.regexp_extract("name", r"^(.+)\.([^.]+)$", k)
     out = rows.select("split", "kind", part(1).alias("stem"), F.lower(part(2)).alias("ext"), "size", "path")
     known = F.lit(False)
@@ -65,6 +129,22 @@ def _listing(spark: SparkSession, root: str) -> DataFrame:
     return out.where(known & ~F.col("stem").startswith("."))
 
 
+def write_corpus_tree(files: DataFrame, root: str) -> int:
+    """Write ``files (split, kind, name, size)`` as files of blanks under ``root``, by the tasks; how many there are."""
+    def write(batches):
+        store, base = FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        for files in batches:
+            for split, kind, name, size in files.itertuples(index=False):
+                store.create_dir(f"{base}/{split}/{kind}", recursive=True)
+                with store.open_output_stream(f"{base}/{split}/{kind}/{name}") as out:
+                    for at in range(0, int(size), 1 << 20):
+                        out.write(b" " * min(1 << 20, int(size) - at))
+            yield pd.DataFrame({"n": [len(files)]})
+
+    written = files.select("split", "kind", "name", "size").mapInPandas(write, "n bigint")
+    return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def read_corpus_files(spark: SparkSession, root: str) -> DataFrame:
     """(split, kind, stem, size): the form the audits take."""
     return _listing(spark, root).select("split", "kind", "stem", "size")

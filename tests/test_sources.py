@@ -38,6 +38,39 @@ def test_corpus_index(spark, tree):
     assert {k for k, r in rows.items() if r["is_document"]} == {("train", "doc_1"), ("train", "doc_2"), ("test", "doc_1"), ("test", "doc_9")}
 
 
+def test_a_folder_is_listed_in_ranges_of_names(tmp_path):
+    folder = tmp_path / "train" / "img"
+    folder.mkdir(parents=True)
+    names = {f"X{k:04d}.jpg" for k in range(0, 900, 3)} | {"é.jpg", "0.png"}
+    for k, name in enumerate(sorted(names)):
+        (folder / name).write_bytes(b"x" * (k % 4))
+    (folder / "inner").mkdir()
+    reader = corpus.CorpusTreeReader(str(tmp_path), 7)
+    parts = reader.partitions()
+    found = [list(reader.read(p)) for p in parts]
+    assert len(parts) == 7 and max(map(len, found)) < 60
+    rows = [r for part in found for r in part]
+    assert {r[2] for r in rows} == names and len(rows) == len(names)
+    assert sum(r[3] == 0 for r in rows) == sum(k % 4 == 0 for k in range(len(names)))
+
+
+def test_written_tree_reads_back_with_zero_length_files(spark, tmp_path):
+    rows = [("train", "img", f"a {k}.jpg", k % 3) for k in range(40)] + [("test", "box", "ü.txt", 0), ("test", "box", "b.md", 3)]
+    files = spark.createDataFrame(rows, "split string, kind string, name string, size bigint").repartition(3)
+    assert corpus.write_corpus_tree(files, str(tmp_path / "t")) == 42
+    for root in (str(tmp_path / "t"), f"file://{tmp_path}/t"):
+        got = sorted(map(tuple, corpus.read_corpus_files(spark, root).collect()))
+        assert got == sorted((s, k, n.rsplit(".", 1)[0], z) for s, k, n, z in rows if not n.endswith(".md"))
+    index = {r.stem: r for r in corpus.read_corpus_index(spark, str(tmp_path / "t")).collect()}
+    assert index["ü"].is_document and index["a 7"].img_path.endswith("train/img/a 7.jpg")
+
+
+def test_missing_and_empty_trees(spark, tmp_path):
+    assert corpus.read_corpus_files(spark, str(tmp_path)).count() == 0
+    with pytest.raises(Exception, match="no corpus"):
+        corpus.read_corpus_files(spark, str(tmp_path / "none")).count()
+
+
 def test_box_lines(spark, tree):
     rows = corpus.read_box_lines(spark, tree)
     good, bad = A.quarantine(rows.where("split = 'train'"))
