@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -22,8 +22,8 @@ RETAINED = 48
 LISTED, ESTIMATED = 512, 128
 #: Chance that a pair of large sets at the threshold shares fewer retained values than is relied upon.
 MISS = 1e-10
-#: Members of an inverted list that are compared at once.
-BLOCK = 256
+#: Members of an inverted list that are compared with as many others at once, and how many values their sets have.
+BLOCK, BLOCK_VALUES = 256, 1_000_000
 
 
 def shingle_sets(texts: Texts, size: int) -> list[np.ndarray]:
@@ -187,47 +187,77 @@ def spanning(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return members[np.array(a, int)], members[np.array(b, int)]
 
 
-def common_enough(node: np.ndarray, component: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, sketch: pa.Array, threshold: float, retained: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs from two sets of members, of different components, whose sketches share as much as the threshold needs.
+def incidence(lists: pa.Array) -> np.ndarray:
+    """Which of the values each list has, as a matrix of zeros and ones."""
+    lengths = np.diff(lists.offsets.to_numpy())
+    distinct, values = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    x = np.zeros((len(lists), len(distinct)), np.float32)
+    x[np.repeat(np.arange(len(lists)), lengths), values] = 1
+    return x
 
-    Sets within the sketch size are compared exactly, and of their links a spanning forest is enough.
-    """
-    lengths = np.diff(sketch.offsets.to_numpy())
-    _, values = np.unique(sketch.flatten().to_numpy(), return_inverse=True)
-    x = np.zeros((len(node), int(values.max()) + 1), np.float32)
-    x[np.repeat(np.arange(len(node)), lengths), values] = 1
-    left, right = np.flatnonzero(left), np.flatnonzero(right)
-    a, b = n[left][:, None], n[right][None, :]
-    exact = np.ceil(np.round((a + b) * threshold / (1 + threshold), 6))
-    least = np.where(np.maximum(a, b) <= retained, exact, np.minimum(sure_overlap(threshold, retained), np.ceil(np.round(np.minimum(a, b) * threshold, 6))))
-    i, j = np.nonzero((x[left] @ x[right].T >= least) & (component[left][:, None] != component[right][None, :]))
-    i, j = left[i], right[j]
-    sure = np.maximum(n[i], n[j]) <= retained
-    linked = spanning(i[sure], j[sure])
-    a, b = (node[np.concatenate([s, e[~sure]])] for s, e in zip(linked, (i, j), strict=True))
-    return np.minimum(a, b), np.maximum(a, b)
 
+def to_compare(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members of the group's two blocks, and which pairs of them are to be compared here.
 
-def block_pairs(lists: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components within the lists: sketches are compared a block against a block in arrays.
-
-    A list's members are dealt to blocks by hash, and each pair of blocks is a group of about two blocks, so no
-    group grows with the list, and only pairs that share enough retained values leave it.
+    Their components differ, their sizes allow the threshold, and they share no ``earlier`` value: such a pair is left
+    to that value's list, so it is compared once, however many lists hold it.
     """
-    sized = lists.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn(
-        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "value", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component")
-    keys, retained = ["value", "low", "high"], LISTED
-    sketched = sets.select("node", F.slice("set", 1, retained).alias("sketch"), F.size("set").alias("n"))
-    ready = dealt.join(sketched, "node").repartition(*keys).sortWithinPartitions(*keys)
-
-    def compare(group: pa.Table) -> pa.RecordBatch:
-        node, component, block, n = (group.column(c).to_numpy() for c in ("node", "component", "block", "n"))
-        left, right = (block == group.column(c)[0].as_py() for c in ("low", "high"))
-        a, b = common_enough(node, component, n, left, right, group.column("sketch").combine_chunks(), threshold, retained)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
+    component, block, n = (group.column(c).to_numpy() for c in ("component", "block", "n"))
+    left, right = (np.flatnonzero(block == group.column(c)[0].as_py()) for c in ("low", "high"))
+    a, b = n[left][:, None], n[right][None, :]
+    pairs = (component[left][:, None] != component[right][None, :]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+    if pairs.any():
+        met = incidence(group.column("earlier").combine_chunks())
+        pairs &= met[left] @ met[right].T == 0
+    return left, right, pairs
+
+
+def near_members(group: pa.Table, percent: int, retained: int) -> pa.Table:
+    """The group's members whose sketch shares with another's as much as the threshold needs."""
+    left, right, pairs = to_compare(group, percent)
+    if not pairs.any():
+        return group.slice(0, 0)
+    threshold = percent / 100
+    x, n = incidence(group.column("sketch").combine_chunks()), group.column("n").to_numpy()
+    a, b = n[left][:, None], n[right][None, :]
+    exact = np.ceil(np.round((a + b) * threshold / (1 + threshold), 6))
+    sure = np.minimum(sure_overlap(threshold, retained), np.ceil(np.round(np.minimum(a, b) * threshold, 6)))
+    pairs &= x[left] @ x[right].T >= np.where(np.maximum(a, b) <= retained, exact, sure)
+    return group.take(pa.array(np.union1d(left[pairs.any(1)], right[pairs.any(0)])))
+
+
+def common_sizes(sets: pa.Array, left: np.ndarray, right: np.ndarray, columns: int = 1 << 13) -> np.ndarray:
+    """How many values the sets on the left share with those on the right, a bounded number of values at a time."""
+    owner = np.repeat(np.arange(len(sets)), np.diff(sets.offsets.to_numpy()))
+    values = sets.flatten().to_numpy()
+    order = np.argsort(values, kind="stable")
+    owner, values = owner[order], values[order]
+    number = np.cumsum(np.append(0, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+    often = np.bincount(number, minlength=1)[number] > 1  # a value that one set has is in no intersection
+    owner, number = owner[often], np.unique(number[often], return_inverse=True)[1]
+    common = np.zeros((len(left), len(right)), np.int64)
+    for at in range(0, int(number[-1]) + 1 if len(number) else 0, columns):
+        part = slice(*np.searchsorted(number, [at, at + columns]))
+        x = np.zeros((len(sets), columns), np.float32)
+        x[owner[part], number[part] - at] = 1
+        common += (x[left] @ x[right].T).astype(np.int64)
+    return common
+
+
+def exact_links(group: pa.Table, percent: int) -> pa.RecordBatch:
+    """Pairs of the group with the exact similarity on whole sets, reduced to a spanning forest."""
+    left, right, pairs = to_compare(group, percent)
+    if pairs.any():
+        n = group.column("n").to_numpy()
+        common = common_sizes(group.column("set").combine_chunks(), left, right)
+        pairs &= 100 * common >= percent * (n[left][:, None] + n[right][None, :] - common)
+    i, j = np.nonzero(pairs)
+    a, b = (group.column("node").to_numpy()[k] for k in spanning(left[i], right[j]))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def by_group(rows: DataFrame, keys: list[str], work: Callable, schema) -> DataFrame:
+    """``work`` on each group of rows with equal keys, as Arrow tables; one group is held at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
@@ -235,12 +265,39 @@ def block_pairs(lists: DataFrame, sets: DataFrame, threshold: float) -> DataFram
             code = np.stack([table.column(c).to_numpy() for c in keys])
             ends = np.flatnonzero((code[:, 1:] != code[:, :-1]).any(0)) + 1
             for at, to in zip([0, *ends[:-1]], ends, strict=True) if len(ends) else ():
-                yield compare(table.slice(at, to - at))
+                yield work(table.slice(at, to - at))
             rest = table.slice(ends[-1] if len(ends) else 0)
         if rest is not None and rest.num_rows:
-            yield compare(rest)
+            yield work(rest)
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(batches):
+            yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(flat, schema)
+
 
-    return ready.mapInArrow(run, "a long, b long")
+def block_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between different components within the lists: a block of members against a block, in arrays.
+
+    A list's members are dealt to blocks by hash, few enough for their whole sets, and each pair of blocks is a group,
+    so no group grows with the list. Two members are compared under the smallest value that lists both. Sketches say
+    which members have a likely partner; only those come with their whole sets, once per group, and are compared
+    exactly. A group gives a spanning forest of its links, so no pair of similar texts ever is a row.
+    """
+    keys, retained = ["value", "low", "high"], LISTED
+    sketched = sets.select("node", F.slice("set", 1, retained).alias("sketch"), F.size("set").alias("n"))
+    own = lists.groupBy("node").agg(F.collect_set("value").alias("own"))  # at most the sketch size
+    met = sketched.join(own, "node")
+    sized = lists.join(sets.select("node", F.size("set").alias("n")), "node").groupBy("value").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_VALUES)).cast("int").alias("blocks"))
+    dealt = lists.join(stored(sized, "list-blocks"), "value").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "value", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component")
+    ready = dealt.join(met, "node").withColumn("earlier", F.filter("own", lambda v: v < F.col("value"))).drop("own")
+    likely = stored(by_group(ready, keys, lambda group: near_members(group, percent, retained), ready.schema), "likely-members")
+    whole = likely.drop("sketch").join(sets, "node")
+    return by_group(whole, keys, lambda group: exact_links(group, percent), "a long, b long")
 
 
 def sets_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -294,10 +351,10 @@ def near_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, size: int,
             break
         if round_number < star_rounds:
             pairs, leads = led_pairs(lists, labels, leads)
+            likely = stored(estimated(stored(pairs.distinct(), "pairs"), sets, percent), "likely")
+            found = stored(verified(likely, sets, percent), "links")
         else:
-            pairs = block_pairs(lists, sets, threshold)
-        likely = stored(estimated(stored(pairs.distinct(), "pairs"), sets, percent), "likely")
-        found = stored(verified(likely, sets, percent), "links")
+            found = stored(block_links(lists, sets, percent), "links")
         links = found if links is None else links.union(found)
         joined = components(links).select(F.col("node").alias("linked"), "component")
         labels = stored(listed.select("node").join(joined, F.col("node") == F.col("linked"), "left").select(
@@ -319,8 +376,8 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, star_rounds:
        list costs its length, not its square.
     3. Pairs pass the union-sketch estimate, then exact Jaccard on whole sets. The links give components.
     4. Lists that still hold several components choose a new leader outside the last one's component, for
-       ``star_rounds`` rounds; then all their remaining pairs of different components are compared by their sketches,
-       block by block. Pairs within a component are never formed: they change nothing.
+       ``star_rounds`` rounds; then all their remaining pairs of different components are compared block by block
+       (``block_links``). Pairs within a component are never formed: they change nothing.
 
     Sets are compared whole. A linked pair is missed with a chance of about 10^-10 if its sets exceed the sketch, and
     never if they are within it. Null and empty texts have no shingles and are linked with nothing. A null doc_id

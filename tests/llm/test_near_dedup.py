@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from leafscore.llm import near_dedup as nd
@@ -86,6 +88,29 @@ def test_long_lists_go_block_by_block(make, monkeypatch):
     assert {r.doc_id: r.component_id for r in found} == {k: c for k, (_, c) in brute(rows, 4, 80).items()}
 
 
+def test_many_copies_that_are_not_linked_make_few_rows(make, spark, monkeypatch):
+    """Copies of one long text that differ too much from each other, and some that do not: rows stay in proportion."""
+    monkeypatch.setattr(nd, "BLOCK", 32)
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(900)]
+    rows = [(k, varied(rng, base, 20)) for k in range(120)]
+    rows += [(500 + k, rows[k][1] + " end") for k in range(10)]
+    made = []
+    plain = nd.stored
+    monkeypatch.setattr(nd, "stored", lambda df, label: made.append((label, out := plain(df, label))) or out)
+    found = nd.near_groups(make(rows), size=5, star_rounds=0).collect()
+    assert {r.doc_id: r.component_id for r in found} == {k: c for k, (_, c) in brute(rows, 5, 80).items()}
+    assert dict(made)["links"].count() < len(rows)
+
+
+def test_common_sizes_in_parts():
+    rng = random.Random(1)
+    sets = [sorted(rng.sample(range(300), rng.randint(0, 80))) for _ in range(40)]
+    left, right = np.arange(25), np.arange(25, 40)
+    got = nd.common_sizes(pa.array(sets, pa.list_(pa.int64())), left, right, columns=7)
+    assert got.tolist() == [[len(set(sets[a]) & set(sets[b])) for b in right] for a in left]
+
+
 def test_odd_rows_and_empty_table(make, odd_rows):
     found = nd.near_groups(make(odd_rows)).collect()
     assert len(found) == len(odd_rows)
