@@ -11,6 +11,7 @@ from leafscore.operators import robustness as R
 from leafscore.operators import sampling as P
 from leafscore.operators.canonical import nested_config_hash
 from leafscore.operators.layout import spread
+from leafscore.operators.records import schema_checks
 from leafscore.plans.matrix_queries import configured
 from leafscore.plans.registry import query
 from leafscore.plans.scoring_queries import text_sql
@@ -85,6 +86,57 @@ def _(t):
     return A.record_checks(rows).select("document_id", "idx", F.array_join("violations", ",").alias("violations"))
 
 
+def _bodies(kind):
+    """A JSON record per document, as a Spark expression; every so many have a fault of one sort."""
+    def fault(n, bad, good, rest=0):
+        return f"CASE WHEN doc_id % {n} = {rest} THEN '{bad}' ELSE {good} END"
+
+    name = "concat('\"doc', CAST(doc_id AS STRING), '\"')"
+    box = f"""'{{"x_min":', {fault(47, 'true', "'0'")}, ',"y_min":0.5,"x_max":', {fault(53, '-1', "'10'")}, ',"y_max":5}}'"""
+    token = f"""'{{"text":"w","bbox":', {box}, ',"confidence":', {fault(59, '1.5', "'0.5'")}, '}}'"""
+    return {
+        "recognition": f"""concat('{{"document_id":', {fault(41, '"  "', name)}, ',"full_text":', {fault(43, '5', name)}, ',"tokens":[', {token},
+            '],"processing_time_ms":', {fault(61, '-1', "CAST(n_chars AS STRING)")}, '}}')""",
+        "extraction": f"""concat('{{"document_id":', {name}, ',"fields":', {fault(31, '[]', "'{}'")}, ',"confidences":{{"date":1,"total":', {fault(37, 'false', "'0.5'")}, '}}}}')""",
+        "document": f"""concat('{{"document_id":', {name}, {fault(67, '', "',\"image_path\":\"p\"'")}, ',"width":', CASE WHEN doc_id % 71 = 1 THEN '5.5' ELSE {fault(71, 'true', "CAST(n_chars + 1 AS STRING)")} END,
+            ',"height":', {fault(73, '0', "'7'")}, ',"split":', {fault(79, '"dev"', "'\"train\"'")}, '}}')""",
+        "experiment": f"""concat('{{"experiment_id":"e","document_id":', {name}, ',"degradation":{{"type":"blur","severity":', CASE WHEN doc_id % 83 = 1 THEN 'true' ELSE {fault(83, '5', "CAST(doc_id % 5 AS STRING)")} END,
+            '}},"preprocessing":{{"methods":["a",', {fault(89, '""', "'\"b\"'")}, ']}},"ocr_model":"o","kie_model":', {fault(97, 'null', "'\"k\"'")}, '}}')""",
+        "token": fault(29, "{", f"concat({token})", 3),
+    }[kind]
+
+
+def _found(*faults):
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {when} THEN '{code}' END" for when, code in faults) + "], lambda c: c IS NOT NULL), ',')"
+
+
+def _token_faults(at, sound="true"):
+    return [(f"{sound} AND doc_id % 47 = 0", f"{at}.bbox.x_min: not_a_number"), (f"{sound} AND doc_id % 53 = 0 AND doc_id % 47 <> 0", f"{at}.bbox: inverted"),
+            (f"{sound} AND doc_id % 59 = 0", f"{at}.confidence: out_of_range")]
+
+
+FAULTS = {
+    "recognition": [("doc_id % 41 = 0", "$.document_id: blank"), ("doc_id % 43 = 0", "$.full_text: not_a_string"), *_token_faults("$.tokens[0]"),
+                    ("doc_id % 61 = 0", "$.processing_time_ms: out_of_range")],
+    "extraction": [("doc_id % 31 = 0", "$.fields: not_an_object"), ("doc_id % 37 = 0", "$.confidences.total: not_a_number")],
+    "document": [("doc_id % 67 = 0", "$.image_path: missing"), ("doc_id % 71 < 2", "$.width: not_an_integer"), ("doc_id % 73 = 0", "$.height: out_of_range"),
+                 ("doc_id % 79 = 0", "$.split: unknown_value")],
+    "experiment": [("doc_id % 83 = 0", "$.degradation.severity: out_of_range"), ("doc_id % 83 = 1", "$.degradation.severity: not_an_integer"),
+                   ("doc_id % 89 = 0", "$.preprocessing.methods[1]: blank"), ("doc_id % 97 = 0", "$.kie_model: not_a_string")],
+    "token": [("doc_id % 29 = 3", "$: malformed_json"), *_token_faults("$", "doc_id % 29 <> 3")],
+}
+
+
+@query("schema_checks", " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, {_found(*f)} AS violations FROM {{documents}}" for k, f in FAULTS.items()))
+def _(t):
+    out = None
+    for kind in FAULTS:
+        rows = t.documents.select("doc_id", F.lit(kind).alias("kind"), F.expr(_bodies(kind)).alias("body"))
+        found = schema_checks(rows, kind).select("doc_id", "kind", F.array_join("violations", ",").alias("violations"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 TRIP = """fl AS (SELECT split, stem, bool_or(kind = 'img') AS i, bool_or(kind = 'box') AS b, bool_or(kind = 'entities') AS e FROM {corpus_files} GROUP BY 1, 2),
   tr AS (SELECT split, stem, i AND b AND e AS paired, NOT i AND (b OR e) AS missing_image, i AND NOT b AS missing_ocr, i AND NOT e AS missing_kie,
     b AND NOT i AS extra_ocr, e AND NOT i AS extra_kie, i AND NOT (b AND e) AS extra_image FROM fl)"""
