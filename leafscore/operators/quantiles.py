@@ -42,10 +42,9 @@ def quantiles_of(cut: DataFrame, probabilities: list[float], keys: list[str]) ->
     totals = slice_totals(cut, keys)
     position = [(F.col("total") - 1) * p for p in probabilities]
     wanted = F.array(*[
-        F.struct(F.lit(k).alias("k"), side.cast("long").alias("rank"), weight.alias("weight"))
-        for k, h in enumerate(position)
-        for side, weight in ((F.floor(h), F.floor(h) + 1 - h), (F.floor(h) + 1, h - F.floor(h)))])
-    inside = F.filter(wanted, lambda w: (w["weight"] > 0) & (w["rank"] >= F.col("before")) & (w["rank"] < F.col("before") + F.col("size")))
+        F.struct(F.lit(k).alias("k"), F.lit(side).alias("side"), (F.floor(h) if side == 0 else F.ceil(h)).cast("long").alias("rank"))
+        for k, h in enumerate(position) for side in (0, 1)])
+    inside = F.filter(wanted, lambda w: (w["rank"] >= F.col("before")) & (w["rank"] < F.col("before") + F.col("size")))
     asked = totals.withColumn("asked", inside).where(F.size("asked") > 0)
     # Only the slices that hold a wanted rank are looked into.
     met = cut.alias("c").join(asked.alias("a"), same("c", "a", [*group, "slice"])).select("c.*", "a.before", "a.total", "a.asked")
@@ -53,9 +52,11 @@ def quantiles_of(cut: DataFrame, probabilities: list[float], keys: list[str]) ->
     met = met.withColumn("above", F.col("before") + F.sum("n").over(upto))
     hits = met.withColumn("hit", F.explode(F.filter(
         "asked", lambda w: (w["rank"] < F.col("above")) & (w["rank"] >= F.col("above") - F.col("n")))))
+    ends = [[F.max(F.when((F.col("hit.k") == k) & (F.col("hit.side") == side), F.col("value"))) for side in (0, 1)] for k in range(len(probabilities))]
+    at = [(F.first("total") - 1) * p for p in probabilities]
     return hits.groupBy(*group).agg(
         F.first("total").alias("n"),
-        F.array(*[F.sum(F.when(F.col("hit.k") == k, F.col("value") * F.col("hit.weight"))) for k in range(len(probabilities))]).alias("quantiles"))
+        F.array(*[low + (high - low) * (h - F.floor(h)) for (low, high), h in zip(ends, at, strict=True)]).alias("quantiles"))
 
 
 def exact_quantiles(

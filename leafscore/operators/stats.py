@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafscore.functions.scalars import mean4, ratio
-from leafscore.operators import quantiles, scoring
+from leafscore.operators import quantiles, resampling, scoring
 
 
 def condition_counts(records: DataFrame, conditions: DataFrame | None = None) -> DataFrame:
@@ -54,6 +54,31 @@ def condition_text_stats(records: DataFrame, metrics: list[str], keys: list[str]
     return records.where(F.col("status") == "success").groupBy(*(keys or ["condition_id"])).agg(*aggs)
 
 
+def metric_summary(
+    records: DataFrame, metrics: list[str], keys: list[str] | None = None, estimators: dict[str, resampling.Estimator] | None = None,
+    iterations: int = 1000, ci: float = 0.95, seed: int = 42,
+) -> DataFrame:
+    """Per group and metric of the successful rows: ``(*keys, metric, sample_size, mean, median, std, ci_lower, ci_upper)``.
+
+    The interval is the bootstrap's for the mean, or for the metric's estimator in ``estimators`` (``resampling``). Medians
+    and intervals work on value counts by ranges of values, so any number of groups, metrics and rows may be given; the
+    two are joined by group and metric. Nulls of a metric are left out of it, and a metric without values has no row.
+    """
+    keys = keys or ["condition_id"]
+    rows = records.where(F.col("status") == "success").select(*keys, *metrics)
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])
+    moments = rows.select(*keys, F.explode(each).alias("_m")).select(*keys, "_m.metric", "_m.v").where("v IS NOT NULL").groupBy(
+        *keys, "metric").agg(
+            F.count("*").alias("sample_size"), mean4("v").alias("mean"), F.round(F.coalesce(F.stddev_samp("v"), F.lit(0.0)), 4).alias("std"))
+    medians = quantiles.exact_quantiles(rows, metrics, [0.5], keys)
+    chosen = {m: (estimators or {}).get(m, resampling.mean(m)) for m in metrics}
+    intervals = resampling.bootstrap(rows, chosen, keys, iterations, ci, seed)
+    group = [*keys, "metric"]
+    met = moments.alias("m").join(medians.alias("q"), quantiles.same("m", "q", group)).join(intervals.alias("i"), quantiles.same("m", "i", group))
+    return met.select(
+        *[f"m.{k}" for k in group], "m.sample_size", "m.mean", F.round(F.col("q.quantiles")[0], 4).alias("median"), "m.std", "i.ci_lower", "i.ci_upper")
+
+
 # Hash bootstrap ---------------------------------------------------------------------------------------------
 
 

@@ -37,6 +37,24 @@ def _(t):
     return X.condition_text_stats(t.run_records, ["cer", "macro_match"])
 
 
+# At most three decimals, so that no median of two values ends in the half that the engines round apart.
+SIX = {"cer": "cer", "wer": "round(cer * 1.5E0, 4)", "ned": "round(1 - cer, 4)", "cer_normalized": "round(cer * 0.5E0, 4)",
+       "wer_normalized": "round(cer * 0.6E0, 4)", "macro_match": "macro_match"}
+
+
+@query("metric_summary", " UNION ALL ".join(f"""SELECT condition_id, '{m}' AS metric, count(*) AS sample_size, {mean_sql('v')} AS mean, round(median(v), 4) AS median,
+    round(coalesce(stddev_samp(v), 0), 4) AS std, true AS covers, true AS narrow FROM (SELECT condition_id, {e} AS v FROM {{run_records}} WHERE status = 'success') GROUP BY condition_id""" for m, e in SIX.items()))
+def _(t):
+    """Six metrics with intervals: each holds the sample's mean and is as narrow as its standard error allows."""
+    rows = t.run_records.select("condition_id", "status", *[F.expr(e).alias(m) for m, e in SIX.items()])
+    found = X.metric_summary(rows, list(SIX))
+    error = F.col("std") / F.sqrt("sample_size")
+    return found.select(
+        "condition_id", "metric", "sample_size", "mean", "median", "std",
+        F.col("mean").between(F.col("ci_lower"), F.col("ci_upper")).alias("covers"),
+        (F.col("ci_upper") - F.col("ci_lower") <= 5 * error + 0.0002).alias("narrow"))
+
+
 @query("scored_documents")
 def _(t):
     """Flagship: whole documents scored in their own characters, then summarized per language."""

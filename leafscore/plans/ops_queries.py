@@ -376,6 +376,28 @@ def _(t):
     return B.breakdown(_df(t), "reason")
 
 
+def _dimension_sql(key, reviewed="in_map"):
+    return f"SELECT '{key}' AS dimension, {key} AS key, reviewed_documents, documents_with_corrections, correction_events, correction_rate FROM ({breakdown_sql(key, reviewed)})"
+
+
+@query("feedback_breakdowns", f"WITH {FEEDBACK} {_dimension_sql('reason')} UNION ALL {_dimension_sql('document_type')} UNION ALL {_dimension_sql('status')}")
+def _(t):
+    """Reason, type and status in one pass over grouping sets."""
+    return B.breakdowns(_df(t), ["reason", "document_type", "status"])
+
+
+@query("feedback_by_field_approx", """SELECT coalesce(nullif(field_name, ''), 'unknown') AS field, count(*) AS correction_count, true AS within_bound
+  FROM {audit_events} WHERE action = 'field_corrected' GROUP BY 1""")
+def _(t):
+    """Sketches per day and field, merged per field, against the exact counts: within four standard errors."""
+    events = t.audit_events.withColumns({
+        "field": F.coalesce(F.when(F.col("field_name") != "", F.col("field_name")), F.lit("unknown")), "day": F.to_date("created_at")})
+    near = B.sketched_documents(B.correction_sketches(events, ["field", "day"]), ["field"])
+    exact = B.by_field(t.audit_events).select("field", F.col("affected_documents").alias("_exact"))
+    return near.join(exact, "field").select(
+        "field", "correction_count", (F.abs(F.col("affected_documents") - F.col("_exact")) <= 4 * 1.04 / 64 * F.col("_exact")).alias("within_bound"))
+
+
 @query("ranked_breakdowns", f"WITH {FEEDBACK}, b AS ({breakdown_sql('reason')}) SELECT * FROM b ORDER BY correction_events DESC, reviewed_documents DESC, reason")
 def _(t):
     return B.ranked(B.breakdown(_df(t), "reason"), "reason")

@@ -142,3 +142,50 @@ def test_list_documents_pages(spark):
     got = O.list_documents(d, search="_X%", limit=2, offset=1).collect()
     assert [r["document_id"] for r in got] == [6, 5] and got[0]["total"] == 7
     assert O.list_documents(d, search="axx").count() == 0
+
+
+def reviewed_documents(spark, n=400):
+    kinds, reasons = ["receipt", "invoice", None], ["low_confidence", "invalid_date", "none", None]
+    d = docs(spark, *[doc(i, ["completed_manual", "completed_automatic", "manual_review"][i % 3], reasons[i % 4], kind=kinds[i % 3 - i % 2]) for i in range(n)])
+    e = events(spark, *[(i * 7 % (n + 9), "field_corrected", ["total", "date", None, ""][i % 4], None, 1 + i % 20) for i in range(n)])
+    return d, e
+
+
+def test_breakdowns_in_one_pass_equal_one_by_one(spark):
+    d, e = reviewed_documents(spark)
+    rows = B.document_feedback(d, e)
+    for only in (False, True):
+        got = sorted(map(str, B.breakdowns(rows, ["reason", "document_type", "status"], only).collect()))
+        want = [r for k in ("reason", "document_type", "status") for r in B.breakdown(rows, k, only).select(
+            F.lit(k).alias("dimension"), F.col(k).alias("key"), "reviewed_documents", "documents_with_corrections", "correction_events", "correction_rate").collect()]
+        assert got == sorted(map(str, want)) and len(got) > 5
+    assert B.breakdowns(rows.limit(0), ["reason", "status"]).count() == 0
+
+
+def test_sketches_merge_and_stay_within_their_error(spark):
+    d = spark.range(60_000).select((F.col("id") % 20_000).alias("document_id"), F.lit("field_corrected").alias("action"), (F.col("id") % 3 + F.col("id") % 20_000 % 2).alias("f"), (F.col("id") % 11).alias("day"))
+    exact = {r.f: (r[1], r[2]) for r in d.groupBy("f").agg(F.count("*"), F.countDistinct("document_id")).collect()}
+    near = B.sketched_documents(B.correction_sketches(d, ["f", "day"]), ["f"]).collect()
+    assert {r.f: r.correction_count for r in near} == {f: n for f, (n, _) in exact.items()}
+    assert all(abs(r.affected_documents - exact[r.f][1]) <= 4 * 1.04 / 64 * exact[r.f][1] for r in near)
+    few = d.where("document_id < 5")
+    assert {r.affected_documents for r in B.sketched_documents(B.correction_sketches(few, ["day"]), []).collect()} == {5}
+
+
+def test_signals_read_the_tables_a_few_times(spark, tmp_path):
+    """The plans of everything that is read, written bases included, scan source tables at most five times."""
+    d, e = reviewed_documents(spark)
+    f = spark.createDataFrame([(i, "total", "a", "b", 0.5) for i in range(50)], FIELD)
+    for name, df in (("docs", d), ("events", e), ("fields", f)):
+        df.write.parquet(str(tmp_path / name))
+    read = []
+    plain = B.written
+    B.written = lambda df, label: (read.append(df), plain(df, label))[1]
+    try:
+        out = B.signals(*[spark.read.parquet(str(tmp_path / n)) for n in ("docs", "events", "fields")])
+    finally:
+        B.written = plain
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in [*read, out]]
+    assert 3 <= sum(p.count(str(tmp_path)) for p in plans) <= 5
+    assert out.count() > 0
+
