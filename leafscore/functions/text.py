@@ -128,3 +128,26 @@ def sniff_mime(head: Column) -> Column:
         .when(h.startswith("49492A00") | h.startswith("4D4D002A"), "image/tiff")
         .otherwise("application/octet-stream")
     )
+
+
+def upload_check(head: Column, declared: Column, size: Column, limit: int) -> Column:
+    """``struct(is_valid, mime, message, mismatch)`` of an uploaded file from its first bytes.
+
+    Empty and oversized files fail before their format is looked at, unknown formats fail; the bytes decide the type,
+    and ``mismatch`` says that another one was declared (``image/jpg`` counts as ``image/jpeg``). Null sizes count as 0.
+    """
+    mime = sniff_mime(F.coalesce(head, F.lit(b"")))
+    named = F.coalesce(declared, F.lit(""))
+    octets = "application/octet-stream"
+    message = (
+        F.when(F.coalesce(size, F.lit(0)) <= 0, "File is empty.")
+        .when(size > limit, f"File size exceeds maximum limit of {limit} bytes.")
+        .when(mime == octets, "Unrecognized or unsupported file format signature.")
+        .otherwise("")
+    )
+    looked_at = (F.coalesce(size, F.lit(0)) > 0) & (size <= limit)
+    other = ~named.isin("", octets) & (F.when(named == "image/jpg", "image/jpeg").otherwise(named) != mime)
+    return F.struct(
+        (message == "").alias("is_valid"), F.when(looked_at, mime).otherwise("").alias("mime"), message.alias("message"),
+        ((message == "") & other).alias("mismatch"))
+

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafscore.functions.scalars import clamp01, is_date_text, parse_amount
 from leafscore.functions.text import strip
+from leafscore.operators.slices import carried, same, sliced, within
 
 # Required fields by document type (receipt rules for unknown types) and confidence thresholds.
 REQUIRED = {
@@ -281,9 +282,34 @@ def decide(docs: DataFrame, fields: DataFrame, quality: DataFrame) -> DataFrame:
         .alias("explanation"),
         F.when(~poor & invalid, F.col("errors")).otherwise(F.array().cast(ERROR_TYPE)).alias("validation_errors"),
         F.when(~poor & ~invalid & weak, F.col("low_fields")).alias("low_fields"),
+        F.when(~poor & ~invalid & weak, F.map_from_entries(F.transform("low_fields", lambda r: F.struct(
+            r["field"], F.struct(F.lit("review").alias("status"), r["confidence"], r["threshold"]))))).alias("field_details"),
+        F.round("quality_score", 4).alias("quality_score"),
     )
 
 
+def review_details(decided: DataFrame) -> DataFrame:
+    """``decided`` plus ``review_details_json``: the reasons with their measurements, null for automatic decisions.
+
+    ``reasons`` holds one entry for poor quality, one per validation error or one per weak field; ``fields`` the status,
+    confidence and threshold of the weak ones.
+    """
+    reason = "code string, field string, confidence double, threshold double, message string"
+    entry = lambda code, field, confidence, threshold, message: F.struct(
+        code.alias("code"), field.alias("field"), confidence.alias("confidence"), threshold.alias("threshold"), message.alias("message"))
+    none, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    reasons = (
+        F.when(F.col("reason") == "low_image_quality", F.array(
+            entry(F.col("reason"), none, F.col("quality_score"), F.lit(MIN_QUALITY), F.col("explanation"))))
+        .when(F.size("validation_errors") > 0, F.transform(
+            "validation_errors", lambda e: entry(e["code"], e["field"], number, number, e["message"])))
+        .when(F.col("low_fields").isNotNull(), F.transform(
+            "low_fields", lambda r: entry(F.lit("low_confidence"), r["field"], r["confidence"], r["threshold"], r["message"])))
+    ).cast(f"array<struct<{', '.join(p.replace(' ', ':', 1) for p in reason.split(', '))}>>")
+    details = F.to_json(F.struct(reasons.alias("reasons"), "validation_errors", F.col("field_details").alias("fields")))
+    return decided.withColumn("review_details_json", F.when(F.col("decision") == "manual_review", details))
+
+
 # Events and review ------------------------------------------------------------------------------------------
 
 
@@ -313,25 +339,22 @@ def latest_job(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("document_id").agg(newest.alias("j")).select("document_id", "j.*")
 
 
-def corrections_replay(fields: DataFrame, events: DataFrame) -> DataFrame:
+def corrections_replay(fields: DataFrame, events: DataFrame, slices: int | None = None) -> DataFrame:
     """Every correction with the value it replaced, in event order per (document, field).
 
-    The first correction replaces the extracted active value; a field created by a correction had none.
+    The first correction replaces the extracted active value; a field created by a correction had none. Events are
+    ordered by slices, so a field with very many corrections spreads over tasks.
     """
-    base = fields.groupBy("document_id", "field_name").agg(
-        F.max(F.coalesce("corrected_value", "value")).alias("_start")
-    )
-    rows = events.where("action = 'field_corrected' AND field_name IS NOT NULL").select(
-        "document_id", "field_name", "event_id", "created_at", "new_value"
-    )
-    w = Window.partitionBy("document_id", "field_name").orderBy("created_at", "event_id")
-    return (
-        rows.withColumn("_prev", F.lag("new_value").over(w))
-        .join(base, ["document_id", "field_name"], "left")
-        .select(
-            "document_id", "field_name", "event_id", F.coalesce("_prev", "_start").alias("old_value"), "new_value"
-        )
-    )
+    group, order = ["document_id", "field_name"], ["created_at", "event_id"]
+    base = fields.groupBy(*group).agg(F.max(F.coalesce("corrected_value", "value")).alias("_start"))
+    rows = events.where("action = 'field_corrected' AND field_name IS NOT NULL").select(*group, *order, "new_value")
+    cut = sliced(rows, group, order, "corrections", slices)
+    at = F.struct(*order)
+    cut = carried(cut, group, [F.max(at).alias("at"), F.max_by(F.struct("new_value"), at).alias("last")], {"_before": F.max_by("last", "at")})
+    own = within(group, order)
+    before = F.when(F.row_number().over(own) == 1, F.col("_before.new_value")).otherwise(F.lag("new_value").over(own))
+    met = cut.withColumn("_prev", before).alias("e").join(base.alias("b"), same("e", "b", group), "left")
+    return met.select(*[f"e.{c}" for c in group], "event_id", F.coalesce("_prev", "_start").alias("old_value"), "new_value")
 
 
 def current_fields(fields: DataFrame, events: DataFrame) -> DataFrame:

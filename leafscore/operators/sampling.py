@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafscore.operators.slices import numbered
+
 # Run-time keys that are no part of a configuration's identity.
 VOLATILE_KEYS = ("timestamp", "pid", "temp_path", "output_dir", "log_dir", "start_time", "end_time", "run_id")
 TEST_SPLITS = ("test", "test_split", "test_set")
@@ -16,18 +18,21 @@ def _hashed(ids: DataFrame, column: str, seed: int) -> DataFrame:
 
 
 def subset_sample(ids: DataFrame, n: int, seed: int = 42, column: str = "document_id") -> DataFrame:
-    """Exactly n ids (or all), the same for the same seed: a bounded top-n by hash, no global sort."""
-    return _hashed(ids, column, seed).orderBy("_h", column).limit(n).select(column)
+    """Exactly n ids (or all), the same for the same seed: the first in hash order, of any number.
+
+    Places come from slices of the hash order, so neither a task nor the driver gathers the n ids.
+    """
+    placed = numbered(_hashed(ids, column, seed), [], ["_h", column], "_place", "subset")
+    return placed.where(F.col("_place") <= n).select(column)
 
 
 def split_assign(
     ids: DataFrame, development: int = 500, validation: int = 126, seed: int = 42, column: str = "document_id"
 ) -> DataFrame:
-    """Disjoint development and validation ids from the first positions of the hash order."""
-    head = _hashed(ids, column, seed).orderBy("_h", column).limit(development + validation)
-    place = F.row_number().over(Window.orderBy("_h", column))
-    return head.select(
-        column, F.when(place <= development, "development").otherwise("validation").alias("split")
+    """Disjoint development and validation ids from the first places of the hash order, of any number."""
+    placed = numbered(_hashed(ids, column, seed), [], ["_h", column], "_place", "split")
+    return placed.where(F.col("_place") <= development + validation).select(
+        column, F.when(F.col("_place") <= development, "development").otherwise("validation").alias("split")
     )
 
 

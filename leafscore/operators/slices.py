@@ -50,7 +50,8 @@ def carried(rows: DataFrame, group: list[str], parts: list[Column], carries: dic
     summary = rows.groupBy(*group, SLICE).agg(*parts)
     past = before(group)
     summary = summary.select(*group, SLICE, *[c.over(past).alias(n) for n, c in carries.items()])
-    return rows.alias("r").join(summary.alias("s"), same("r", "s", [*group, SLICE])).select("r.*", *[f"s.{n}" for n in carries])
+    on = same("r", "s", group) & (F.col(f"r.{SLICE}") == F.col(f"s.{SLICE}"))
+    return rows.alias("r").join(summary.alias("s"), on).select("r.*", *[f"s.{n}" for n in carries])
 
 
 def numbered(rows: DataFrame, group: list[str], order: list, name: str, label: str, slices: int | None = None) -> DataFrame:

@@ -144,7 +144,28 @@ def _(t):
       WHEN n = 1 THEN msg WHEN n > 1 THEN concat('Fields ', names, ' confidence below required threshold.')
       ELSE 'All required fields present, confidence thresholds satisfied, quality gate passed.' END AS explanation FROM j""")
 def _(t):
-    return D.decide(t.doc_lifecycle, t.review_fields, D.quality_score(t.quality_measures)).drop("validation_errors", "low_fields")
+    return D.decide(t.doc_lifecycle, t.review_fields, D.quality_score(t.quality_measures)).drop(
+        "validation_errors", "low_fields", "field_details", "quality_score")
+
+
+@query("decision_details", f"""WITH {QS}, {validation_sql('{review_fields}')},
+  th AS (SELECT document_id, field_name, round(min(confidence), 4) AS c, CASE field_name WHEN 'company' THEN 0.9E0 WHEN 'date' THEN 0.9E0 WHEN 'address' THEN 0.85E0 WHEN 'total' THEN 0.95E0 ELSE 0.85E0 END AS t
+    FROM {{review_fields}} GROUP BY 1, 2),
+  lo AS (SELECT document_id, string_agg(concat('low_confidence|', field_name, '|', c::VARCHAR, '|', t::VARCHAR), ';' ORDER BY field_name) AS low,
+    string_agg(field_name, ';' ORDER BY field_name) AS names FROM th WHERE c < t GROUP BY 1),
+  j AS (SELECT vd.document_id, er, is_valid, low, names, coalesce(quality_score < 0.5, false) AS poor, round(quality_score, 4) AS q FROM vd LEFT JOIN lo USING (document_id)
+    LEFT JOIN (SELECT document_id, quality_score FROM qs) USING (document_id))
+  SELECT document_id, CASE WHEN poor THEN concat('low_image_quality|-|', q::VARCHAR, '|0.5')
+      WHEN NOT is_valid THEN array_to_string(list_transform(er, lambda e: concat(split_part(e, '|', 2), '|', split_part(e, '|', 1), '|-|-')), ';') ELSE low END AS reasons,
+    CASE WHEN NOT poor AND is_valid THEN names END AS fields FROM j""")
+def _(t):
+    """What the details of a manual review hold, read back from their JSON."""
+    found = D.review_details(D.decide(t.doc_lifecycle, t.review_fields, D.quality_score(t.quality_measures)))
+    shape = "reasons array<struct<code:string,field:string,confidence:double,threshold:double>>, fields map<string,struct<status:string,confidence:double,threshold:double>>"
+    read = found.select("document_id", F.from_json("review_details_json", shape).alias("d"))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    each = F.transform("d.reasons", lambda r: F.concat_ws("|", r["code"], text(r["field"]), text(r["confidence"]), text(r["threshold"])))
+    return read.select("document_id", F.array_join(each, ";").alias("reasons"), F.array_join(F.array_sort(F.map_keys("d.fields")), ";").alias("fields"))
 
 
 @query("parse_amount", f"SELECT document_id, field_name, {AMOUNT.format(CLEAN)} AS amount FROM (SELECT *, {unmarked('pred')} AS am FROM {{kie_pairs}})")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafscore.functions.scalars import confident_tokens, quad_to_bbox, scale_bbox
-from leafscore.functions.text import contains_any, digit_ratio, humanize, is_upper, sanitize_filename
+from leafscore.functions.text import contains_any, digit_ratio, humanize, is_upper, sanitize_filename, sniff_mime, upload_check
 from leafscore.operators import extraction as X
 from leafscore.plans.registry import query
 
@@ -209,3 +209,35 @@ def _(t):
     trim(regexp_replace(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '[^A-Za-z0-9_\\s.-]', '_', 'g'), '\\s+', '_', 'g'), '._') AS v FROM {pages})""")
 def _(t):
     return t.pages.select("page_id", sanitize_filename(F.col("url"), F.col("page_id").cast("string")).alias("name"))
+
+
+# Uploads derived from the pages: first bytes by rule, then the page's own text.
+HEADS = ["FFD8FFE0", "89504E470D0A1A0A", "52494646000000005745425056", "25504446", "49492A00", "4D4D002A", "3C68746D6C", "89504E47"]
+TYPES = ["image/jpeg", "image/png", "image/webp", "application/pdf", "image/tiff", "image/tiff", "application/octet-stream", "application/octet-stream"]
+LIMIT = 20_000
+
+
+def _uploads(t):
+    prefix = F.element_at(F.array(*[F.unhex(F.lit(h)) for h in HEADS]), (F.col("page_id") % len(HEADS) + 1).cast("int"))
+    size = F.when(F.col("page_id") % 13 == 4, 0).otherwise(F.length("html"))
+    declared = F.element_at(F.array(*[F.lit(v) for v in ("image/jpg", "image/png", "", "application/octet-stream")]), (F.col("page_id") % 4 + 1).cast("int"))
+    return t.pages.select("page_id", F.concat(prefix, F.encode(F.substring("html", 1, 40), "UTF-8")).alias("head"), declared.alias("declared"), size.alias("size"))
+
+
+MIME_SQL = "[" + ", ".join(f"'{v}'" for v in TYPES) + f"][page_id % {len(TYPES)} + 1]"
+
+
+@query("sniff_mime", f"SELECT page_id, {MIME_SQL} AS mime FROM {{pages}}")
+def _(t):
+    return _uploads(t).select("page_id", sniff_mime(F.col("head")).alias("mime"))
+
+
+@query("upload_check", f"""WITH u AS (SELECT page_id, {MIME_SQL} AS sniffed, CASE WHEN page_id % 13 = 4 THEN 0 ELSE length(html) END AS size,
+    ['image/jpg', 'image/png', '', 'application/octet-stream'][page_id % 4 + 1] AS declared FROM {{pages}}),
+  c AS (SELECT *, CASE WHEN size <= 0 THEN 'File is empty.' WHEN size > {LIMIT} THEN 'File size exceeds maximum limit of {LIMIT} bytes.'
+    WHEN sniffed = 'application/octet-stream' THEN 'Unrecognized or unsupported file format signature.' ELSE '' END AS message FROM u)
+  SELECT page_id, message = '' AS is_valid, CASE WHEN size > 0 AND size <= {LIMIT} THEN sniffed ELSE '' END AS mime, message,
+    message = '' AND declared NOT IN ('', 'application/octet-stream') AND replace(declared, 'jpg', 'jpeg') <> sniffed AS mismatch FROM c""")
+def _(t):
+    return _uploads(t).select("page_id", upload_check(F.col("head"), F.col("declared"), F.col("size"), LIMIT).alias("u")).select("page_id", "u.*")
+

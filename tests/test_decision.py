@@ -1,3 +1,6 @@
+import random
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +144,46 @@ def test_corrections_replay_and_gate(spark):
     pending = spark.createDataFrame([(1, "receipt", "manual_review")], "document_id int, document_type string, status string")
     assert D.review_gate(pending, fields, ev).first()["status"] == "completed_manual"
     assert D.review_gate(pending, fields, ev.where("event_id < 2")).first()["review_reason"] == "invalid_number"
+
+
+def test_corrections_replay_of_a_hot_field(spark):
+    """One field with most corrections, in many slices; ties in time go by event id."""
+    rng = random.Random(4)
+    start = datetime(2024, 1, 1)
+    events = [(k, rng.choice([1, 1, 1, 2]), "field_corrected", rng.choice(["total", "total", "date", None]), start + timedelta(minutes=rng.randint(0, 500)),
+               rng.choice([None, f"v{k}"])) for k in range(1500)]
+    df = spark.createDataFrame(events, "event_id int, document_id int, action string, field_name string, created_at timestamp, new_value string").repartition(4)
+    fields = spark.createDataFrame([(1, "total", "first", None), (2, "date", "x", "y")], "document_id int, field_name string, value string, corrected_value string")
+    base, want, seen = {(1, "total"): "first", (2, "date"): "y"}, {}, {}
+    for k, d, _, f, _, v in sorted(events, key=lambda e: (e[4], e[0])):
+        if f is not None:
+            old = seen.get((d, f))
+            want[k] = (d, f, old if old is not None else base.get((d, f)), v)
+            seen[d, f] = v
+    for slices in (1, 11):
+        got = {r.event_id: (r.document_id, r.field_name, r.old_value, r.new_value) for r in D.corrections_replay(fields, df, slices).collect()}
+        assert got == want
+
+
+def test_samples_of_any_size_without_a_single_task(spark):
+    from leafscore.operators import sampling as P
+
+    ids = spark.range(3000).select((F.col("id") % 1000).alias("document_id"))
+    order = [r[0] for r in P._hashed(ids, "document_id", 42).orderBy("_h", "document_id").collect()]
+    assert sorted(r[0] for r in P.subset_sample(ids, 700).collect()) == sorted(order[:700])
+    got = {r.document_id: r.split for r in P.split_assign(ids, 300, 200).collect()}
+    assert got == {d: "development" if k < 300 else "validation" for k, d in enumerate(order[:500])}
+    assert P.subset_sample(ids, 5000).count() == 1000 and P.subset_sample(ids.limit(0), 5).count() == 0
+
+
+@pytest.mark.parametrize("head, declared, size, want", [
+    (b"\xff\xd8\xff\xe0", "image/jpg", 9, (True, "image/jpeg", "", False)), (b"%PDF-1", "image/png", 9, (True, "application/pdf", "", True)),
+    (b"%PDF", "application/octet-stream", 9, (True, "application/pdf", "", False)), (b"<html>", None, 9, (False, "application/octet-stream", "Unrecognized or unsupported file format signature.", False)),
+    (b"%PDF", "x", 0, (False, "", "File is empty.", False)), (None, None, None, (False, "", "File is empty.", False)),
+    (b"%PDF", "x", 101, (False, "", "File size exceeds maximum limit of 100 bytes.", False)), (None, "", 5, (False, "application/octet-stream", "Unrecognized or unsupported file format signature.", False)),
+])
+def test_upload_check(spark, head, declared, size, want):
+    from leafscore.functions.text import upload_check
+
+    row = spark.createDataFrame([(None if head is None else bytearray(head), declared, size)], "h binary, d string, s int")
+    assert tuple(row.select(upload_check(F.col("h"), F.col("d"), F.col("s"), 100)).first()[0]) == want
