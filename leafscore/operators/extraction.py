@@ -224,8 +224,8 @@ def extract_total(
     return out.unionByName(rest)
 
 
-def extract_company(tokens: DataFrame, vocabulary: str = "full", header_lines: int = 5) -> DataFrame:
-    """Best header line among the first ``2 * header_lines`` tokens."""
+def company_candidates(tokens: DataFrame, vocabulary: str = "full", header_lines: int = 5) -> DataFrame:
+    """Header lines among the first ``2 * header_lines`` tokens that may name the company, scored."""
     legal, negative = VOCABULARY[vocabulary]["company_legal"], VOCABULARY[vocabulary]["company_negative"]
     t = strip("text")
     rows = tokens.where(F.col("idx") < header_lines * 2).withColumn("value", t)
@@ -238,7 +238,7 @@ def extract_company(tokens: DataFrame, vocabulary: str = "full", header_lines: i
         + F.when(contains_any(F.upper(v), legal), 0.25).otherwise(0.0)
         + F.when(is_upper(v) & (F.char_length(v) > 4), 0.05).otherwise(0.0)
     )
-    candidates = rows.select(
+    return rows.select(
         "document_id",
         "idx",
         F.lit("company").alias("field_name"),
@@ -247,7 +247,16 @@ def extract_company(tokens: DataFrame, vocabulary: str = "full", header_lines: i
         F.array("idx").alias("token_indices"),
         F.lit("header_legal_heuristic").alias("rule"),
     )
-    return best(candidates, -F.col("confidence"), F.col("idx"))
+
+
+def ranked_candidates(candidates: DataFrame) -> DataFrame:
+    """Candidates with their rank in the document: most confident first, then by position. For a few per document."""
+    return candidates.withColumn("rank", F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("confidence"), "idx")))
+
+
+def extract_company(tokens: DataFrame, vocabulary: str = "full", header_lines: int = 5) -> DataFrame:
+    """Best header line among the first ``2 * header_lines`` tokens."""
+    return best(company_candidates(tokens, vocabulary, header_lines), -F.col("confidence"), F.col("idx"))
 
 
 def _address_frame(blocks: DataFrame) -> DataFrame:

@@ -251,12 +251,13 @@ def _(t):
   SELECT *, CASE WHEN errors = 0 THEN 'PASSED' ELSE 'FAILED' END AS status FROM (SELECT "check", name, coalesce(sum(violations) FILTER (severity = 'error'), 0)::BIGINT AS errors,
     coalesce(sum(violations) FILTER (severity = 'warning'), 0)::BIGINT AS warnings FROM al GROUP BY 1, 2)""")
 def _(t):
-    # Lines and entity files are parsed once; all checks read the parsed rows.
+    # The listing, the lines and the entity files are derived once; all checks read the written rows.
+    files = t.once(t.corpus_files, "audited-files")
     boxes = t.once(A.parse_box_lines(t.box_lines), "parsed-boxes")
     entities = t.once(A.parse_entities(t.entity_files), "parsed-entities")
     return A.audit_report(
-        A.audit_files(t.corpus_files), A.audit_polygons(boxes), A.audit_boxes(boxes, _sizes(t)), A.audit_entities(entities),
-        A.audit_isolation(t.corpus_files), A.audit_triplets(t.corpus_files))
+        A.audit_files(files), A.audit_polygons(boxes), A.audit_boxes(boxes, _sizes(t)), A.audit_entities(entities),
+        A.audit_isolation(files), A.audit_triplets(files))
 
 
 @query("audit_text_table", """SELECT 'empty_text' AS "check", count(*) FILTER (text IS NULL OR trim(text) = '') AS violations FROM {documents}

@@ -99,16 +99,8 @@ def _(t):
 
 @query("candidate_rank", f"""WITH {TOK}, {COMPANY} SELECT document_id, idx, t AS value, confidence, rn AS rank FROM ck""")
 def _(t):
-    from pyspark.sql import Window
-
-    text, u = F.trim("text"), F.upper("text")
-    rows = t.receipt_tokens.where("idx < 10").where(
-        F.char_length(text).between(3, 100) & ~contains_any(u, FULL["company_negative"]) & (digit_ratio(text) <= 0.35))
-    score = (F.greatest(F.lit(0.4), 0.85 - F.col("idx") * 0.08) + F.when(contains_any(u, FULL["company_legal"]), 0.25).otherwise(0.0)
-             + F.when(is_upper(text) & (F.char_length(text) > 4), 0.05).otherwise(0.0))
-    rows = rows.select("document_id", "idx", text.alias("value"), F.round(F.least(F.lit(1.0), score), 4).alias("confidence"))
-    w = Window.partitionBy("document_id").orderBy(F.desc("confidence"), "idx")
-    return rows.withColumn("rank", F.row_number().over(w))
+    ranked = X.ranked_candidates(X.company_candidates(t.receipt_tokens))
+    return ranked.select("document_id", "idx", "value", "confidence", "rank")
 
 
 @query("neighbor_keyword", f"""WITH {TOK} SELECT document_id, idx, coalesce({any_sql('pu', FULL['date'])}, false) AS after_date,
