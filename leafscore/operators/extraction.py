@@ -7,6 +7,7 @@ aggregate, so no step gathers a whole document.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from leafscore.functions.scalars import join_address, plausible_date
 from leafscore.functions.text import contains_any, digit_ratio, is_upper, strip
-from leafscore.operators.quantiles import exact_quantiles
+from leafscore.operators.layout import written
 from leafscore.operators.slices import SLICE, carried, numbered, same, sliced, within
 
 # Keyword lists of the configured vocabulary ("full") and of the built-in one ("short").
@@ -369,34 +370,56 @@ def field_union_bbox(fields: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def _tolerances(boxes: DataFrame, factor: float) -> DataFrame:
-    """``(document_id, tol)``: the share of the median token height by which a token may miss its line's centre."""
+    """``(document_id, tol, tokens)``: the share of the median token height by which a token may miss its line's centre.
+
+    Heights are counted per document first, so a document's median is taken over its different heights.
+    """
     height = F.col("y_max") - F.col("y_min")
-    medians = exact_quantiles(boxes.select("document_id", F.when(height > 0, height).alias("height")), ["height"], [0.5], ["document_id"])
-    median = F.coalesce(F.col("m.quantiles")[0], F.lit(15.0))
-    return boxes.select("document_id").distinct().alias("d").join(medians.alias("m"), same("d", "m", ["document_id"]), "left").select(
-        "d.document_id", F.greatest(F.lit(1.0), factor * F.greatest(F.lit(1.0), median)).alias("tol"))
+    counted = boxes.groupBy("document_id", F.when(height > 0, height).alias("height")).agg(F.count(F.lit(1)).alias("n"))
+    median = F.coalesce(F.percentile("height", F.lit(0.5), F.col("n")), F.lit(15.0))
+    return counted.groupBy("document_id").agg(
+        F.greatest(F.lit(1.0), factor * F.greatest(F.lit(1.0), median)).alias("tol"), F.sum("n").alias("tokens"))
 
 
 CENTRE_ORDER = ["yc", "x_min", "idx"]
+#: Documents of more tokens are ordered by slices, so that they spread over tasks; smaller ones by plain windows.
+LARGE_DOCUMENT = 200_000
+
+
+def _by_size(boxes: DataFrame, factor: float, slices: int | None) -> list[tuple[DataFrame, bool]]:
+    """Tokens with their centre and tolerance, in two parts: of documents for one task each, and of larger ones.
+
+    The second part is left out if there is none. With ``slices`` all documents count as large.
+    """
+    tolerances = written(_tolerances(boxes, factor), "tolerances")
+    rows = boxes.withColumn("yc", (F.col("y_min") + F.col("y_max")) / 2.0).alias("b")
+    large = F.col("tokens") > (LARGE_DOCUMENT if slices is None else 0)
+    met = lambda own: rows.join(tolerances.where(own).alias("t"), same("b", "t", ["document_id"])).select("b.*", "t.tol")
+    if not tolerances.where(large).limit(1).count():
+        return [(met(~large), False)]
+    return [(met(large), True)] if slices is not None else [(met(~large), False), (met(large), True)]
 
 
-def _segments(boxes: DataFrame, factor: float, slices: int | None = None) -> DataFrame:
-    """Tokens with their vertical centre, the document's tolerance, and a segment: the centre of its first token.
+def _segments(rows: DataFrame, split: bool, slices: int | None = None) -> DataFrame:
+    """Tokens with a segment: the centre of its first token.
 
-    Sorted by centre, a step wider than the tolerance always starts a new line, so it is a safe place to cut. The
-    order is by slices, so a document of any size spreads over tasks.
+    Sorted by centre, a step wider than the tolerance always starts a new line, so it is a safe place to cut. With
+    ``split`` the order is by slices, otherwise a document is one.
     """
     doc = ["document_id"]
-    rows = boxes.withColumn("yc", (F.col("y_min") + F.col("y_max")) / 2.0).alias("b").join(
-        _tolerances(boxes, factor).alias("t"), same("b", "t", doc)).select("b.*", "t.tol")
-    cut = sliced(rows, doc, CENTRE_ORDER, "reading-slices", slices)
+
+    def earlier(rows: DataFrame, value: str, name: str) -> DataFrame:
+        if split:
+            return carried(rows, doc, [F.max(value).alias("last")], {name: F.max("last")})
+        return rows.withColumn(name, F.lit(None).cast("double"))
+
+    cut = sliced(rows, doc, CENTRE_ORDER, "reading-slices", slices) if split else rows.withColumn(SLICE, F.lit(0))
     own = within(doc, CENTRE_ORDER)
-    cut = carried(cut, doc, [F.max("yc").alias("last")], {"_last": F.max("last")})
+    cut = earlier(cut, "yc", "_last")
     step = F.col("yc") - F.coalesce(F.lag("yc").over(own), F.col("_last"))
     starts = F.when(step.isNull() | (step > F.col("tol")), F.col("yc"))
     cut = cut.withColumn("_start", F.max(starts).over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("_last")
-    cut = carried(cut, doc, [F.max("_start").alias("last")], {"_from": F.max("last")})
-    return cut.withColumn("segment", F.coalesce("_start", "_from")).drop("_start", "_from", SLICE)
+    return earlier(cut, "_start", "_from").withColumn("segment", F.coalesce("_start", "_from")).drop("_start", "_from", SLICE)
 
 
 LINE_COLUMNS = ["document_id", "idx", "text", "x_min", "y_min", "segment"]
@@ -452,6 +475,15 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in LINE_COLUMNS], pa.array(found)], names=[*LINE_COLUMNS, "line"])
 
 
+def _lines_of(rows: DataFrame, split: bool, exact: bool, slices: int | None) -> DataFrame:
+    cut = _segments(rows, split, slices)
+    if not exact:
+        return cut.select(*LINE_COLUMNS, F.lit(0).alias("line"))
+    kept = cut.select(*LINE_COLUMNS, "yc", F.col("tol").cast("double"))
+    ordered = kept.repartition("document_id", "segment").sortWithinPartitions("document_id", "segment", *CENTRE_ORDER)
+    return ordered.mapInArrow(_lines, kept.select(*LINE_COLUMNS, F.lit(0).alias("line")).schema)
+
+
 def reading_lines(boxes: DataFrame, factor: float = 0.5, exact: bool = True, slices: int | None = None) -> DataFrame:
     """Token -> line assignment ``(document_id, idx, text, x_min, y_min, segment, line)``.
 
@@ -459,21 +491,21 @@ def reading_lines(boxes: DataFrame, factor: float = 0.5, exact: bool = True, sli
     line is a sum, a size and a number, so work is linear and memory is a batch, also for a document of one segment.
     Otherwise a segment is a line, which differs on slowly drifting lines.
     """
-    cut = _segments(boxes, factor, slices)
-    if not exact:
-        return cut.select("document_id", "idx", "text", "x_min", "y_min", "segment", F.lit(0).alias("line"))
-    rows = cut.select(*LINE_COLUMNS, "yc", F.col("tol").cast("double"))
-    ordered = rows.repartition("document_id", "segment").sortWithinPartitions("document_id", "segment", *CENTRE_ORDER)
-    return ordered.mapInArrow(_lines, rows.select(*LINE_COLUMNS, F.lit(0).alias("line")).schema)
+    return reduce(DataFrame.unionByName, [_lines_of(rows, split, exact, slices) for rows, split in _by_size(boxes, factor, slices)])
 
 
 def reading_order(boxes: DataFrame, factor: float = 0.5, exact: bool = True, slices: int | None = None) -> DataFrame:
     """Lines of text top to bottom: ``(document_id, line_no, text)``; blank lines are dropped."""
-    lines = reading_lines(boxes, factor, exact, slices)
     words = F.array_sort(F.collect_list(F.struct("x_min", "y_min", "idx", strip("text").alias("t"))))
     kept = F.filter(F.transform(words, lambda s: s["t"]), lambda s: s != "")
-    out = lines.groupBy("document_id", "segment", "line").agg(
-        F.min("y_min").alias("top"), F.array_join(kept, " ").alias("text")
-    ).where("text <> ''")
-    return numbered(out, ["document_id"], ["top", "segment", "line"], "line_no", "reading-lines", slices).select(
-        "document_id", "line_no", "text")
+    order, parts = ["top", "segment", "line"], []
+    for rows, split in _by_size(boxes, factor, slices):
+        out = _lines_of(rows, split, exact, slices).groupBy("document_id", "segment", "line").agg(
+            F.min("y_min").alias("top"), F.array_join(kept, " ").alias("text")
+        ).where("text <> ''")
+        if split:
+            out = numbered(out, ["document_id"], order, "line_no", "reading-lines", slices)
+        else:
+            out = out.withColumn("line_no", F.row_number().over(Window.partitionBy("document_id").orderBy(*order)))
+        parts.append(out.select("document_id", "line_no", "text"))
+    return reduce(DataFrame.unionByName, parts)

@@ -42,16 +42,22 @@ def before(group: list[str]):
     return Window.partitionBy(*group).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def carried(rows: DataFrame, group: list[str], parts: list[Column], carries: dict[str, Column]) -> DataFrame:
-    """``rows`` plus what the earlier slices of their group come to.
-
-    ``parts`` are aggregates (aliased) over a slice, ``carries`` aggregates of them over the earlier slices.
+def carried(
+    rows: DataFrame, group: list[str], parts: list[Column], carries: dict[str, Column], wholes: dict[str, Column] | None = None,
+) -> DataFrame:
+    """``rows`` plus what the earlier slices of their group come to; null in a group's first slice.
+
+    ``parts`` are aggregates (aliased) over a slice, ``carries`` aggregates of them over the earlier slices, which may
+    use ``wholes``, aggregates over all slices of the group. Ranges part
+    at most one group at each bound, so a slice has at most one group that began before it: what is carried over is no
+    longer than the number of partitions, whatever the rows, and is broadcast.
     """
     summary = rows.groupBy(*group, SLICE).agg(*parts)
+    summary = summary.withColumns({n: c.over(Window.partitionBy(*group)) for n, c in (wholes or {}).items()})
     past = before(group)
-    summary = summary.select(*group, SLICE, *[c.over(past).alias(n) for n, c in carries.items()])
+    summary = summary.select(*group, SLICE, F.count(F.lit(1)).over(past).alias("_earlier"), *[c.over(past).alias(n) for n, c in carries.items()])
     on = same("r", "s", group) & (F.col(f"r.{SLICE}") == F.col(f"s.{SLICE}"))
-    return rows.alias("r").join(summary.alias("s"), on).select("r.*", *[f"s.{n}" for n in carries])
+    return rows.alias("r").join(F.broadcast(summary.where("_earlier > 0")).alias("s"), on, "left").select("r.*", *[f"s.{n}" for n in carries])
 
 
 def numbered(rows: DataFrame, group: list[str], order: list, name: str, label: str, slices: int | None = None) -> DataFrame:

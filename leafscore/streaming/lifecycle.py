@@ -8,14 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from datetime import timedelta
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from leafscore.operators.layout import written
+from leafscore.operators.slices import carried, sliced, within
 
 MAX_RETRIES = 3
 OUTPUT = (
@@ -149,15 +148,12 @@ def lifecycle_batch(events: DataFrame, slices: int | None = None) -> DataFrame:
     Events are range-partitioned by (document, time, event); a slice is what a partition has of a document, so a
     document with very many events is many slices and none is larger than a partition. Within a slice, running values
     are windows. A slice's effect on a document is a small summary: retries, corrections and highest position up to
-    its first completion, its first time. Summaries compose, so the state in which a slice begins is a running
-    aggregate over the summaries before it, of which a document has at most one per partition.
+    its first completion, its first time. Summaries compose, so the state in which a slice begins is what the summaries
+    before it come to, of which a document has at most one per partition (``slices.carried``).
     """
-    key = ["document_id", "created_at", "event_id"]
-    rows = events.select(*key, "action")
-    ranged = rows.repartitionByRange(slices, *key) if slices else rows.repartitionByRange(*key)
-    # Range bounds are sampled: written, so that slices are the same when a part has to be computed again.
-    cut = written(ranged.withColumn("slice", F.spark_partition_id()), "lifecycle-slices")
-    own = Window.partitionBy("document_id", "slice").orderBy("created_at", "event_id")
+    group, order = ["document_id"], ["created_at", "event_id"]
+    cut = sliced(events.select(*group, *order, "action"), group, order, "lifecycle-slices", slices)
+    own = within(group, order)
     upto, before = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(Window.unboundedPreceding, -1)
     action = F.col("action")
     ranks = F.create_map(*[F.lit(x) for a, s in POSITION.items() for x in (a, RANK[s])])
@@ -170,22 +166,16 @@ def lifecycle_batch(events: DataFrame, slices: int | None = None) -> DataFrame:
         "n_corrections": count(action == "field_corrected"),
         "reached": F.coalesce(F.max(F.when(~F.col("over"), F.try_element_at(ranks, action))).over(upto), F.lit(0)),
     })
-    summary = local.groupBy("document_id", "slice").agg(
-        F.bool_or(action == "review_completed").alias("completes"), F.max("n_retries").alias("n_retries"),
-        F.max("n_corrections").alias("n_corrections"), F.max("reached").alias("reached"), F.min("created_at").alias("opened"))
-    past = Window.partitionBy("document_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    # Once a slice has completed the document, those behind it add nothing.
-    live = ~F.coalesce(F.bool_or("completes").over(past), F.lit(False))
-
-    def carried(name: str, total) -> Column:
-        return F.coalesce(total(F.when(F.col("live"), F.col(name))).over(past), F.lit(0)).alias(f"{name}_0")
-
-    start = summary.withColumn("live", live).select(
-        "document_id", "slice", (~F.col("live")).alias("over_0"), F.min("opened").over(past).alias("opened_0"),
-        carried("n_retries", F.sum), carried("n_corrections", F.sum), carried("reached", F.max))
-    start = start.withColumnsRenamed({"document_id": "_document", "slice": "_slice"})
-    on = [F.col("document_id").eqNullSafe(F.col("_document")), F.col("slice") == F.col("_slice")]
-    met = local.join(start, reduce(Column.__and__, on)).withColumns({
+    # Retries, corrections and positions of the slices behind the document's first completion do not count.
+    done = F.when(action == "review_completed", F.struct("created_at", "event_id"))
+    parts = [F.min(done).alias("done"), F.max("n_retries").alias("r"), F.max("n_corrections").alias("c"), F.max("reached").alias("p"),
+             F.min("created_at").alias("opened"), F.min(F.struct("created_at", "event_id")).alias("first")]
+    live = F.col("end").isNull() | (F.col("first") <= F.col("end"))
+    met = carried(local, group, parts, {
+        "over_0": F.bool_or(F.col("done").isNotNull()), "opened_0": F.min("opened"), "n_retries_0": F.sum(F.when(live, F.col("r"))),
+        "n_corrections_0": F.sum(F.when(live, F.col("c"))), "reached_0": F.max(F.when(live, F.col("p")))}, {"end": F.min("done")})
+    met = met.withColumns({"over_0": F.coalesce("over_0", F.lit(False)), **{n: F.coalesce(n, F.lit(0)) for n in ("n_retries_0", "n_corrections_0", "reached_0")}})
+    met = met.withColumns({
         "late": F.col("over_0") | F.col("over"),
         "retries": (F.col("n_retries_0") + F.when(F.col("over_0"), 0).otherwise(F.col("n_retries"))).cast("int"),
         "corrections": (F.col("n_corrections_0") + F.when(F.col("over_0"), 0).otherwise(F.col("n_corrections"))).cast("int"),

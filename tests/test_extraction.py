@@ -229,7 +229,8 @@ def test_a_document_of_very_many_tokens_spreads_over_slices(spark):
     n = 60_000
     centres = dense_document(n)
     df = spark.createDataFrame([(1, i, f"w{i}", float(i % 7), y - 5, y + 5) for i, y in enumerate(centres)], BOXES).repartition(5)
-    cut = X._segments(df, 0.5, slices=9)
+    (rows, split), = X._by_size(df, 0.5, slices=9)
+    cut = X._segments(rows, split, slices=9)
     assert cut.select("segment").distinct().count() == 1
     got = X.reading_lines(df, slices=9).select("idx", "line").toPandas().set_index("idx")["line"]
     order = sorted(range(n), key=lambda i: (centres[i], i % 7, i))
@@ -243,3 +244,13 @@ def test_reading_order_of_nulls_and_no_rows(spark):
     df = spark.createDataFrame([(None, 1, "b", 9.0, 0.0, 10.0), (None, 2, "a", 1.0, 1.0, 11.0), (4, 1, " ", 0.0, 0.0, 0.0)], BOXES)
     assert [tuple(r) for r in X.reading_order(df).collect()] == [(None, 1, "a b")]
     assert X.reading_order(df.limit(0)).count() == 0
+
+
+def test_large_and_small_documents_together(spark, monkeypatch):
+    monkeypatch.setattr(X, "LARGE_DOCUMENT", 50)
+    tokens = [(d, i, f"w{i}", float(i % 3), y - 5, y + 5) for d, n in ((1, 300), (2, 40), (3, 51)) for i, y in enumerate(dense_document(n))]
+    df = spark.createDataFrame(tokens, BOXES)
+    assert [split for _, split in X._by_size(df, 0.5, None)] == [False, True]
+    got = sorted(map(tuple, X.reading_order(df).collect()))
+    monkeypatch.setattr(X, "LARGE_DOCUMENT", 10_000)
+    assert got == sorted(map(tuple, X.reading_order(df).collect()))
